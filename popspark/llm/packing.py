@@ -8,9 +8,11 @@ that the run takes. The plan places every piece by its rank among pieces of its
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -92,25 +94,54 @@ def plan(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple]:
     return out
 
 
+def _shown(data: bytes) -> str:
+    """Bytes as the characters that byte-level tokenizers show them as: printable ones as themselves, the others from U+0100 on."""
+    return data.decode("latin-1").translate(_SHOWN)
+
+
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_TAIL = ",.!?|:;"
+
+
 class Ids(dict):
-    """The ids of a word, as little-endian unsigned 32-bit bytes; words are remembered up to a bound."""
+    """The ids of a word, as little-endian unsigned 32-bit bytes; words are remembered up to a bound.
+
+    The tokenizer cuts between letters and punctuation and ignores case, so a word is looked up as its letters in lower
+    case and what follows them. Letters alone go to the tokenizer's model straight away, all else through all of it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        core = word.rstrip(_TAIL)
+        if core != word and core.isalpha() and core.lower().isalpha():
+            ids = self[core] + self[word[len(core) :]]
+        elif word.isalpha() and is_normalized("NFC", word) and word.lower() == word:
+            ids = np.array([t.id for t in self.model.tokenize(_shown(word.encode()))], dtype="<u4").tobytes()
+        else:
+            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) < 100:
             self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
         """Words are cut at blanks and line ends, where the tokenizer itself always cuts."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if is_normalized("NFC", text) and not _KEEP_CASE.search(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+#: Here case counts, or lower case isn't made letter by letter: special tokens, the final sigma, the dotted I.
+_KEEP_CASE = re.compile("<\\||[\u03a3\u0130]")
 
 
 def _tokenise(path: str, size: int):
