@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import exact_dedup, mixing, near_dedup, packing
+from popspark.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity
 from popspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm
@@ -72,7 +80,7 @@ FROM r
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op5_mix_sources": op5_mix_sources, "op7_best_fit_packing": op7_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {"op2_exact_dedup": op2_exact_dedup, "op5_mix_sources": op5_mix_sources, "op7_best_fit_packing": op7_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_quality_outliers": op10_quality_outliers}
 
 
 def oracle_sql() -> dict[str, str]:
