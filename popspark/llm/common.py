@@ -91,3 +91,11 @@ def without(rows: DataFrame, dropped: DataFrame, key: str, limit: int = BROADCAS
     """rows whose key isn't in dropped; dropped goes out as a broadcast up to limit rows, beyond it is shuffled."""
     few = dropped.limit(limit + 1).count() <= limit
     return rows.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, those of least hash of key; only about as many rows as are asked for are ordered."""
+    total = rows.count()
+    mark = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
+    share = min(1.0, (1.1 * most + 100) / max(total, 1))
+    return rows.filter(mark <= int(share * (1 << 30))).orderBy(mark, key).limit(most)

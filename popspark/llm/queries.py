@@ -5,17 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from popspark.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from popspark.llm import exact_dedup, language, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 from popspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the time of its capture; the table has none, so page_id gives one in 2024."""
+    seconds = F.lit(1_704_067_200) + F.pmod(F.col("page_id") * 48_271, F.lit(31_536_000))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(seconds).alias("fetched"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A log of list entries for the hosts of pages, as the tables hold no list: a hash of the host gives kinds and days."""
+    n = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 7), 16, 10).cast("long")
+    hosts = pages.select(url_filter.address(F.col("url"))["host"].alias("host")).distinct().withColumn("n", n)
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
+    day = lambda d: F.timestamp_seconds(F.lit(1_704_067_200) + d * 86_400)
+    row = lambda when, pattern, category, action, d: F.when(when, F.struct(pattern.alias("pattern"), F.lit(category).alias("category"), F.lit(action).alias("action"), day(d).alias("at")))
+    host, n = F.col("host"), F.col("n")
+    rows = F.array(
+        row(n % 3 == 0, host, "spam", "add", n % 200),
+        row(n % 3 == 0, host, "spam", "remove", n % 200 + 20 + n % 90),
+        row(n % 6 == 0, host, "spam", "add", n % 200 + 65 + n % 90),
+        row(n % 2 == 0, F.concat(host, F.lit("/en")), "mature", "add", n % 300),
+        row(n % 5 == 0, domain, "malware", "add", n % 330),
+        row(n % 5 == 0, domain, "malware", "remove", n % 330 + 40),
+    )
+    return hosts.select(F.explode(rows).alias("r")).filter("r is not null").select("r.*")
+
+
+def op1_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.evaluate(captures(spark, sf_dir), dated_list(table(spark, sf_dir, "pages")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,9 +119,50 @@ FROM r
 """
 
 
+OP1_SQL = r"""
+WITH c AS (
+  SELECT page_id, to_timestamp(1704067200 + (page_id * 48271) % 31536000) AT TIME ZONE 'UTC' AS fetched,
+         lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host,
+         rtrim(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/') AS path
+  FROM pages
+), h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) AS n FROM c
+), log AS (
+  SELECT host AS pattern, 'spam' AS category, 'add' AS action, n % 200 AS day FROM h WHERE n % 3 = 0
+  UNION ALL SELECT host, 'spam', 'remove', n % 200 + 20 + n % 90 FROM h WHERE n % 3 = 0
+  UNION ALL SELECT host, 'spam', 'add', n % 200 + 65 + n % 90 FROM h WHERE n % 6 = 0
+  UNION ALL SELECT host || '/en', 'mature', 'add', n % 300 FROM h WHERE n % 2 = 0
+  UNION ALL SELECT regexp_extract(host, '[^.]*\.?[^.]*$', 0), 'malware', 'add', n % 330 FROM h WHERE n % 5 = 0
+  UNION ALL SELECT regexp_extract(host, '[^.]*\.?[^.]*$', 0), 'malware', 'remove', n % 330 + 40 FROM h WHERE n % 5 = 0
+), state AS (
+  SELECT pattern, category, to_timestamp(1704067200 + day * 86400) AT TIME ZONE 'UTC' AS since, bool_and(action = 'add') AS active
+  FROM log GROUP BY ALL
+), valid AS (
+  SELECT *, coalesce(lead(since) OVER (PARTITION BY pattern, category ORDER BY since), TIMESTAMP '9999-12-31') AS until FROM state
+), hit AS (
+  SELECT c.page_id, v.pattern, v.category
+  FROM c JOIN valid v ON v.active AND c.fetched >= v.since AND c.fetched < v.until
+   AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) OR c.host || c.path = v.pattern OR starts_with(c.host || c.path, v.pattern || '/') AND contains(v.pattern, '/'))
+)
+SELECT c.page_id, c.host, c.fetched, count(hit.pattern) > 0 AS blocked, count(hit.pattern) AS n_active,
+       max_by(hit.pattern, contains(hit.pattern, '/')::INT * 1000 + length(hit.pattern)) AS pattern,
+       coalesce(string_agg(DISTINCT hit.category, ',' ORDER BY hit.category), '') AS categories
+FROM c LEFT JOIN hit USING (page_id) GROUP BY ALL
+"""
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM t
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op5_mix_sources": op5_mix_sources, "op7_best_fit_packing": op7_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_quality_outliers": op10_quality_outliers}
+    return {q.__name__: q for q in (op1_dated_url_lists, op2_exact_dedup, op3_warc_zstd, op4_language_backoff, op5_mix_sources, op7_best_fit_packing, op8_minhash_near_dedup, op9_toxicity, op10_quality_outliers)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op1_dated_url_lists": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc_zstd": OP3_SQL, "op5_mix_sources": OP5_SQL}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import ship, written
+from popspark.llm.common import bounded_sample, ship, written
 
 LETTERS, SPAN, DECAY = 4, 6, 0.7
 LANDMARKS = 256
@@ -278,7 +278,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, landmarks: int = LANDMARK
     """
     spark = labelled.sparkSession
     ship(spark)
-    ids = written(labelled.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    ids = written(bounded_sample(labelled.select("doc_id", "toxic"), "doc_id", most), "sample")
     totals = {r["toxic"]: r["count"] for r in ids.groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
