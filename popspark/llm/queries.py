@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm import exact_dedup, language, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from popspark.llm import exact_dedup, html_text, language, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 from popspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -161,7 +165,7 @@ FROM t
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_dated_url_lists, op2_exact_dedup, op3_warc_zstd, op4_language_backoff, op5_mix_sources, op7_best_fit_packing, op8_minhash_near_dedup, op9_toxicity, op10_quality_outliers)}
+    return {q.__name__: q for q in (op1_dated_url_lists, op2_exact_dedup, op3_warc_zstd, op4_language_backoff, op5_mix_sources, op6_host_suffix_array, op7_best_fit_packing, op8_minhash_near_dedup, op9_toxicity, op10_quality_outliers)}
 
 
 def oracle_sql() -> dict[str, str]:
