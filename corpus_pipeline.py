@@ -1,4 +1,4 @@
-"""The training-data pipeline over documents: STAGES in order, each applied to what its predecessor kept."""
+"""The training-data pipeline over documents: each stage works on all rows that the one before it kept."""
 
 from __future__ import annotations
 
@@ -7,13 +7,80 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm import exact_dedup, mixing, packing
-from popspark.llm.common import shared_dir, table, without
-STAGES = []
+from popspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from popspark.llm.common import shared_dir, ship, table, without, written
+
+
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id. Repeated ids are looked for first, so texts move only if there are any."""
+    repeated = written(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    some = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(some)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that operator 9 predicts to be toxic; it learns from the labels of documents given."""
+    ship(spark)
+    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(toxicity.chance(model)(F.col("text")) < toxicity.CUT)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents of equal text keep the one that operator 2 keeps."""
+    found = exact_dedup.exact_dedup(docs)
+    dropped = written(found.filter("not kept").select("doc_id"), "dropped")
+    kept = written(found.filter("kept").select("doc_id").join(dropped, "doc_id", "left_semi").distinct(), "both")
+    # An id may stand on several rows, some kept and some not; such ids keep one row for each text.
+    only = dropped.join(kept, "doc_id", "left_anti").filter("doc_id is not null").distinct()
+    rest = without(docs, only, "doc_id")
+    if kept.isEmpty():
+        return rest
+    twice = docs.join(F.broadcast(kept) if kept.limit(100_001).count() <= 100_000 else kept, "doc_id", "left_semi")
+    names = docs.columns
+    single = twice.withColumn("_norm", exact_dedup.normalised(F.col("text"))).dropDuplicates(["_norm"]).select(*names)
+    return without(rest, kept, "doc_id").unionByName(single)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component that operator 8 finds keep one document."""
+    found = near_dedup.near_dedup(docs)
+    dropped = written(found.filter("not kept").select("doc_id").filter("doc_id is not null").distinct(), "dropped")
+    return _one_row_each(without(docs, dropped, "doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as operator 5 takes it."""
+    taken = mixing.mix(docs).select("doc_id", "repeats")
+    names = docs.columns
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    taken = taken.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "repeats").filter("repeats > 0").groupBy("_key").agg(F.max("repeats").alias("_repeats"))
+    taken = written(taken, "taken")
+    few = taken.limit(1_000_001).count() <= 1_000_000
+    joined = rows.join(F.broadcast(taken) if few else taken, "_key")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*names)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, by operator 7."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Learned scores, signatures and tokens can't be expressed in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
