@@ -2,10 +2,12 @@
 
 The kernel of two words counts their shared subsequences of LETTERS characters that span at most SPAN, each weighted by
 DECAY to the power of its span, and is normalised to 1 for equal words; so a word with a few characters put in or
-changed stays near the plain one. Labels belong to whole texts: grams that set toxic texts apart pick a witness word
-from each, hard and random words of clean texts stand against them, and the machine is trained on these words. A word's
-value is linear in its subsequences, so the landmarks fold into one weight for each subsequence. A text's score is that
-of its highest word, put on a scale of 0 to 1 by a logistic curve.
+changed stays near the plain one. Labels belong to whole texts: grams that set toxic texts apart pick witness words
+from them, hard and random words of clean texts stand against them, and the machines are trained on these words. Some
+words are never used in clean texts, others only mark a text as toxic where they come again and again; so there are two
+machines, one for a text's single worst word and one that counts marked words. A word's value is linear in its
+subsequences, so the landmarks fold into one weight for each subsequence. Two logistic curves put the highest word and
+the count of marked words on a scale of 0 to 1; a text's score is the higher of both.
 """
 
 from __future__ import annotations
@@ -43,26 +45,38 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
 
-def words(text: str | None) -> set[str]:
-    """The distinct words of a text, with runs of single characters put together as well."""
-    if not text:
-        return set()
-    raw = text.split()
-    out = {_EDGE.sub("", w) for w in set(raw)}
-    if sum(map(len, raw)) < 4 * len(raw) or any(len(w) == 1 for w in raw):
+def tokens(text: str | None) -> list[str]:
+    """A text's words in order, without those equal to the one before; runs of single characters also count as one word."""
+    raw = text.split() if text else []
+    out = [w for w, before in zip(raw, ["", *raw]) if w != before]
+    if any(len(w) == 1 for w in raw):
         run: list[str] = []
         for w in (*raw, "  "):
             if len(w) == 1:
                 run.append(w)
             elif run:
                 if len(run) > 2:
-                    out.add("".join(run))
+                    out.append("".join(run))
                 run = []
-    out.update([_INNER.sub("", w) for w in out if not w.isalnum()])
-    out.discard("")
-    for w in [w for w in out if len(w) > LONG]:
-        out.discard(w)
-        out.update(w[i : i + LONG] for i in range(0, len(w), LONG // 2))
+    return out
+
+
+def forms(token: str) -> list[str]:
+    """What a word may stand for: without marks at its ends, and without those inside; long ones in overlapping pieces."""
+    bare = _EDGE.sub("", token)
+    found = [bare] if bare.isalnum() else [bare, _INNER.sub("", bare)]
+    out = []
+    for w in found:
+        out += [w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w), LONG // 2)]
+    return [w for w in out if w]
+
+
+def words(text: str | None) -> Counter:
+    """How often each form of a word comes in a text."""
+    out: Counter = Counter()
+    for token, n in Counter(tokens(text)).items():
+        for w in forms(token):
+            out[w] += n
     return out
 
 
@@ -97,6 +111,15 @@ def grams(word: str) -> set[str]:
     return {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
 
 
+def levels(found: Counter) -> set[tuple[str, int]]:
+    """The grams of a text's words, at level 1 those that it has and at level 2 those that it has twice or more."""
+    n: Counter = Counter()
+    for w, c in found.items():
+        for g in grams(w):
+            n[g] += c
+    return {(g, 1) for g in n} | {(g, 2) for g, c in n.items() if c > 1}
+
+
 def features(batch: list[str], index: np.ndarray) -> np.ndarray:
     """Rows of subsequence weights of the words, for the sorted codes in index."""
     out = np.zeros((len(batch), len(index)), np.float32)
@@ -109,43 +132,68 @@ def features(batch: list[str], index: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Two machines over the same subsequences: column 0 of the weights is that of the worst word, column 1 that of marked words."""
+
     codes: np.ndarray
     weights: np.ndarray
-    bias: float
-    slope: float = 4.0
-    shift: float = 0.0
+    bias: np.ndarray
+    worst: tuple[float, float] = (4.0, 0.0)
+    marked: tuple[float, float, float, float] = (0.0, 0.0, 0.0, -9.0)
 
     def __post_init__(self):
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.codes >> np.uint64(48)).astype(np.int64)] = True
 
     def values(self, batch: list[str]) -> np.ndarray:
-        out = np.zeros(len(batch))
+        out = np.zeros((len(batch), 2))
         for row, codes, weight in coded(batch):
-            may = self.seen[(codes >> np.uint64(48)).astype(np.int64)]
+            may = np.flatnonzero(self.seen[(codes >> np.uint64(48)).astype(np.int64)])
             row, codes = row[may], codes[may]
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            out += weight * np.bincount(row, np.where(self.codes[at] == codes, self.weights[at], 0.0), len(batch))
-        return self.bias + out / _norms(batch)
-
-    def scorer(self):
-        """The highest word of each text of a batch; words are remembered up to a bound."""
-        known: dict[str, float] = {}
-
-        def score(texts) -> np.ndarray:
-            found = [words(t) for t in texts]
+            hit = np.flatnonzero(self.codes[at] == codes)
+            row, at = row[hit], at[hit]
+            for k in (0, 1):
+                out[:, k] += weight * np.bincount(row, self.weights[at, k], len(batch))
+        return self.bias + out / _norms(batch)[:, None]
+
+    def measurer(self):
+        """For a batch of texts: each one's worst word, sum of marked words and number of words. Words are remembered up to a bound."""
+        known: dict[str, int] = {}
+        table = np.zeros((0, 2))
+
+        def measure(texts) -> np.ndarray:
+            nonlocal table
+            found = [tokens(t) for t in texts]
             if len(known) > REMEMBERED:
                 known.clear()
-            fresh = sorted(set().union(*found).difference(known), key=len)
-            for at in range(0, len(fresh), 5000):
-                part = fresh[at : at + 5000]
-                known.update(zip(part, self.values(part).tolist()))
-            return np.array([max(map(known.__getitem__, f)) if f else self.bias for f in found])
-
-        return score
-
-    def chance(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (value - self.shift), -40, 40)))
+                table = np.zeros((0, 2))
+            fresh = list(dict.fromkeys(w for f in found for w in f if w not in known))
+            of = sorted(((w, i) for i, t in enumerate(fresh) for w in forms(t)), key=lambda x: len(x[0]))
+            new = np.full((len(fresh), 2), -9.0)
+            for at in range(0, len(of), 5000):
+                part = of[at : at + 5000]
+                np.maximum.at(new, [i for _, i in part], self.values([w for w, _ in part]))
+            known.update(zip(fresh, range(len(table), len(table) + len(fresh))))
+            new[:, 1] = np.clip(4 * new[:, 1] - 1, 0, 1)
+            table = np.concatenate([table, new])
+            out = np.zeros((len(found), 3))
+            for i, f in enumerate(found):
+                own = table[np.fromiter(map(known.__getitem__, f), np.int64, len(f))]
+                out[i] = (own[:, 0].max(initial=-9.0), own[:, 1].sum(), len(f))
+            return out
+
+        return measure
+
+    def chance(self, measured: np.ndarray) -> np.ndarray:
+        slope, shift = self.worst
+        one = slope * (np.maximum(measured[:, 0], -2.0) - shift)
+        two = _density(measured) @ np.array(self.marked)
+        return 1 / (1 + np.exp(-np.clip(np.maximum(one, two), -40, 40)))
+
+
+def _density(measured: np.ndarray) -> np.ndarray:
+    k, n = measured[:, 1] + 0.3, measured[:, 2] + 30
+    return np.c_[np.log(k / n), np.log(k), np.minimum(k, 2.3), np.ones(len(k))]
 
 
 def _landmarks(names: list[str], n: int) -> list[str]:
@@ -162,8 +210,8 @@ def _landmarks(names: list[str], n: int) -> list[str]:
     return out
 
 
-def fit_words(bad: dict[str, int], good: dict[str, int], landmarks: int = LANDMARKS, steps: int = 50, ridge: float = 1e-3) -> Model:
-    """A squared-hinge machine on Nystroem features of weighted words. good comes in order, hardest first."""
+def fit_words(bad: dict[str, int], good: dict[str, int], landmarks: int = LANDMARKS, steps: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Codes, weights and bias of a squared-hinge machine on Nystroem features of weighted words. good comes in order, hardest first."""
     names = [*bad, *good]
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
     c = np.array([*bad.values(), *good.values()], float)
@@ -187,40 +235,53 @@ def fit_words(bad: dict[str, int], good: dict[str, int], landmarks: int = LANDMA
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
-    return Model(index, (known.T @ (root @ w[:-1])).astype(float), float(w[-1]))
+    return index, (known.T @ (root @ w[:-1])).astype(float), float(w[-1])
 
 
-def _calibrate(model: Model, value: np.ndarray, toxic: np.ndarray) -> None:
-    """A logistic curve through the values of whole texts, drawn in so that it stays finite if the labels part fully."""
+def joined(first: tuple, second: tuple) -> Model:
+    codes = np.union1d(first[0], second[0])
+    weights = np.zeros((len(codes), 2))
+    for k, one in enumerate((first, second)):
+        weights[np.searchsorted(codes, one[0]), k] = one[1]
+    return Model(codes, weights, np.array([first[2], second[2]]))
+
+
+def _curve(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """A logistic curve through columns of values, drawn in so that it stays finite if the labels part fully. The last column is 1."""
     y = np.where(toxic == 1, 0.99, 0.01)
-    x, w = np.c_[value, np.ones(len(value))] / 1.0, np.array([4.0, 0.0])
-    for _ in range(200):
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 2e-3)
+    ridge[-1] = 1e-5
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + np.array([2e-3, 1e-5]) * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag([2e-3, 1e-5]), grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge), x.T @ (p - y) / len(y) + ridge * w)
         w = w - np.clip(step, -1, 1)
-    model.slope = max(float(w[0]), 0.1)
-    model.shift = -float(w[1]) / model.slope
+    return w
+
+
+def _calibrate(model: Model, measured: np.ndarray, toxic: np.ndarray) -> None:
+    slope, at = _curve(np.c_[np.maximum(measured[:, 0], -2.0), np.ones(len(toxic))], toxic)
+    slope = max(float(slope), 0.1)
+    model.worst, model.marked = (slope, -float(at) / slope), tuple(map(float, _curve(_density(measured), toxic)))
 
 
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            found = set().union(*map(grams, words(text)))
-            yield pd.DataFrame({"gram": list(found), "toxic": toxic})
+            found = levels(words(text))
+            yield pd.DataFrame({"gram": [g for g, _ in found], "level": [n for _, n in found], "toxic": toxic})
 
 
-def _present(grams_of_interest: dict[str, float]):
+def _present(evidence: dict[tuple[str, int], float]):
     """The grams of interest of each toxic text, as one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"found": [sorted(set().union(*map(grams, words(t))) & grams_of_interest.keys()) for t in pdf["text"]]})
+            yield pd.DataFrame({"found": [[f"{n}{g}" for g, n in sorted(levels(words(t)) & evidence.keys())] for t in pdf["text"]]})
 
     return run
 
 
-def choose(evidence: dict[str, float], texts: list[set[str]]) -> set[str]:
+def choose(evidence: dict[tuple[str, int], float], texts: list[set[tuple[str, int]]]) -> set[tuple[str, int]]:
     """Grams that stand out by far, and those that best cover the texts without one, each at least two."""
     far = RELATIVE * max(evidence.values(), default=0.0)
     out = {g for g, v in evidence.items() if v >= far}
@@ -235,37 +296,53 @@ def choose(evidence: dict[str, float], texts: list[set[str]]) -> set[str]:
     return out
 
 
-def _witnesses(chosen: set[str], evidence: dict[str, float]):
-    """Of toxic texts the words with a chosen gram; of clean ones the two with most evidence, and four by hash."""
+def _witnesses(chosen: set[tuple[str, int]], evidence: dict[tuple[str, int], float]):
+    """Of toxic texts the words with a chosen gram, by its level; of clean ones the two with most evidence, and four by hash."""
+    most: dict[str, float] = {}
+    for (g, _), v in evidence.items():
+        most[g] = max(v, most.get(g, 0.0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                found = sorted(words(text))
+                count = words(text)
+                found = sorted(count)
                 if toxic:
-                    rows += [(w, 1) for w in found if grams(w) & chosen]
+                    own = levels(count) & chosen
+                    for w in found:
+                        at = [n for n in (1, 2) if any((g, n) in own for g in grams(w))]
+                        rows += [(w, at[0])] if at else []
                 else:
-                    value = {w: max((evidence.get(g, 0.0) for g in grams(w)), default=0.0) for w in found}
+                    value = {w: max((most.get(g, 0.0) for g in grams(w)), default=0.0) for w in found}
                     rows += [(w, 0) for w in sorted(found, key=lambda w: -value[w])[:2]]
-                    rows += [(w, 0) for w in sorted(found, key=lambda w: zlib.crc32(w.encode()))[:4]]
-            yield pd.DataFrame(rows, columns=["word", "toxic"])
+                    rows += [(w, 0) for w in sorted(found, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:4]]
+            yield pd.DataFrame(rows, columns=["word", "level"])
 
     return run
 
 
-def _hardest(model: Model):
-    """The value of each text, and of clean texts the word that it comes from."""
+def _hardest(model: Model, marks: set[str]):
+    """Of clean texts the words that either machine rates highest; a word with a mark may come there, if not often."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+            for text in pdf["text"]:
                 found = sorted(words(text))
-                value = model.values(found) if found else np.array([model.bias])
-                at = int(np.argmax(value))
-                rows.append((float(value[at]), toxic, found[at] if found and not toxic else None))
-            yield pd.DataFrame(rows, columns=["value", "toxic", "word"])
+                value = model.values(found) if found else np.zeros((0, 2))
+                value[[bool(grams(w) & marks) for w in found], 1] = -9.0
+                rows += [(float(value[at, k]), found[at], k) for k in (0, 1) if found for at in [int(np.argmax(value[:, k]))]]
+            yield pd.DataFrame(rows, columns=["value", "word", "machine"])
+
+    return run
+
+
+def _measured(model: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        measure = model.measurer()
+        for pdf in batches:
+            yield pd.DataFrame(measure(pdf["text"]), columns=["worst", "marked", "n"]).assign(toxic=pdf["toxic"].to_numpy())
 
     return run
 
@@ -273,8 +350,8 @@ def _hardest(model: Model):
 def train(labelled: DataFrame, most: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Model | None:
     """A model from rows (doc_id, text, toxic), at most so many; None if one of the labels is missing.
 
-    Only counts of the sample's grams and a few words of each of its texts come to the driver. The machine is fitted
-    twice: the second time also against the words that the first one rates highest in clean texts.
+    Only counts of the sample's grams and a few words of each of its texts come to the driver. The machines are fitted
+    twice: the second time also against the words that the first ones rate highest in clean texts.
     """
     spark = labelled.sparkSession
     ship(spark)
@@ -285,25 +362,36 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, landmarks: int = LANDMARK
         return None
     sample = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     sample = written(sample.repartition(4 * spark.sparkContext.defaultParallelism), "sample-texts")
-    counts = sample.mapInPandas(_gram_rows, "gram string, toxic int").groupBy("gram").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = sample.mapInPandas(_gram_rows, "gram string, level int, toxic int").groupBy("gram", "level").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = written(counts.filter(F.col("t") >= min(3, bad)), "grams")
+    least = float(np.log(max(1, counts.count())) + 1)  # what the best of so many grams may reach by chance
     base, rate = bad / (bad + good), F.col("t") / F.col("n")
     bits = rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    top = counts.filter((F.col("t") >= min(3, bad)) & (rate >= 0.8)).withColumn("evidence", F.col("n") * bits)
-    evidence = {r["gram"]: r["evidence"] for r in top.orderBy(F.desc("evidence"), "gram").limit(GRAMS).collect()}
-    texts = [set(r["found"]) for r in sample.filter("toxic = 1").mapInPandas(_present(evidence), "found array<string>").collect()]
+    top = counts.filter(rate >= 0.8).withColumn("evidence", F.col("n") * bits).filter(F.col("evidence") >= min(least, bad * float(-np.log(base)) / 2))
+    evidence = {(r["gram"], r["level"]): r["evidence"] for r in top.orderBy(F.desc("evidence"), "gram", "level").limit(GRAMS).collect()}
+    texts = [{(x[1:], int(x[0])) for x in r["found"]} for r in sample.filter("toxic = 1").mapInPandas(_present(evidence), "found array<string>").collect()]
     chosen = choose(evidence, texts)
-    found = sample.mapInPandas(_witnesses(chosen, evidence), "word string, toxic int").groupBy("word", "toxic").count().toPandas()
-    clean = Counter(dict(zip(found["word"][found["toxic"] == 0], found["count"][found["toxic"] == 0])))
-    toxic = {w: n for w, n in zip(found["word"][found["toxic"] == 1], found["count"][found["toxic"] == 1]) if n > 3 * clean[w]}
-    if not toxic:
+    found = sample.mapInPandas(_witnesses(chosen, evidence), "word string, level int").groupBy("word", "level").count().toPandas()
+    by = {n: Counter(dict(zip(found["word"][found["level"] == n], found["count"][found["level"] == n]))) for n in (0, 1, 2)}
+    clean = by[0]
+    toxic = [{w: n for w, n in x.items() if n > 3 * clean[w]} for x in (by[1], by[1] + by[2])]
+    unsure = {g for g, n in chosen if n == 2 and (g, 1) not in evidence}  # once is no sign, again and again is
+    toxic[0] = {w: n for w, n in toxic[0].items() if not grams(w) & unsure} or toxic[1]
+    if not toxic[1]:
         return None
-    hard: Counter = Counter()
+    marks, hard = {g for g, _ in chosen}, [Counter(), Counter()]
     for _ in range(2):
-        rest = {w: clean[w] + 5 * hard[w] for w in sorted(clean | hard, key=lambda w: (-hard[w], -clean[w], w)) if w not in toxic}
-        model = fit_words(toxic, dict(list(rest.items())[:GOOD]) or {" ": 1}, landmarks)
-        seen = sample.mapInPandas(_hardest(model), "value double, toxic int, word string").toPandas()
-        hard.update(seen["word"][(seen["toxic"] == 0) & (seen["value"] > -0.7)].dropna())
-    _calibrate(model, seen["value"].to_numpy(), seen["toxic"].to_numpy())
+        fits = []
+        for k in (0, 1):
+            order = sorted(clean | hard[k], key=lambda w: (-hard[k][w], -clean[w], w))
+            rest = {w: clean[w] + 5 * hard[k][w] for w in order if w not in toxic[k] and not (k and grams(w) & marks)}
+            fits.append(fit_words(toxic[k], dict(list(rest.items())[:GOOD]) or {" ": 1}, landmarks))
+        model = joined(*fits)
+        seen = sample.filter("toxic = 0").mapInPandas(_hardest(model, marks), "value double, word string, machine int").filter("value > -0.7").groupBy("word", "machine").count().toPandas()
+        for k in (0, 1):
+            hard[k].update(dict(zip(seen["word"][seen["machine"] == k], seen["count"][seen["machine"] == k].map(int))))
+    seen = sample.mapInPandas(_measured(model), "worst double, marked double, n double, toxic int").toPandas()
+    _calibrate(model, seen[["worst", "marked", "n"]].to_numpy(float), seen["toxic"].to_numpy())
     return model
 
 
@@ -312,9 +400,9 @@ def chance(model: Model | None):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = model.scorer() if model else None
+        measure = model.measurer() if model else None
         for s in batches:
-            yield pd.Series(model.chance(score(s)) if model else np.zeros(len(s)))
+            yield pd.Series(model.chance(measure(s)) if model else np.zeros(len(s)))
 
     return lambda text: run(F.lower(text))
 
