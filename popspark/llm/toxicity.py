@@ -37,7 +37,7 @@ RELATIVE = 0.15
 #: Words of clean texts that the machine is fitted on, at most.
 GOOD = 6_000
 CUT = 0.3
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longer words are read in overlapping pieces of so many characters.
 LONG = 48
 _PLACES = [(0, *c) for c in combinations(range(1, SPAN), LETTERS - 1)]
@@ -347,20 +347,29 @@ def _measured(model: Model):
     return run
 
 
-def train(labelled: DataFrame, most: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Model | None:
-    """A model from rows (doc_id, text, toxic), at most so many; None if one of the labels is missing.
+def labels_to_learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
+    """(doc_id, toxic) that a model may learn from: the document is there, crc32(doc_id as text) mod 4 isn't 2, the label is known."""
+    known = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(toxic).cast("int").alias("toxic"))
+    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    return known.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", most: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Model | None:
+    """A model from at most so many labelled documents; None if one of the labels is missing.
 
-    Only counts of the sample's grams and a few words of each of its texts come to the driver. The machines are fitted
+    Ids are sampled before texts are read, so no text is shuffled but those of the sample. Of rows that share an id one
+    is learned from. Only counts of the sample's grams and a few words of each of its texts come to the driver. The machines are fitted
     twice: the second time also against the words that the first ones rate highest in clean texts.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    ids = written(bounded_sample(labelled.select("doc_id", "toxic"), "doc_id", most), "sample")
-    totals = {r["toxic"]: r["count"] for r in ids.groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
+    ids = written(bounded_sample(labels_to_learn(docs, labels, doc_id, toxic), "doc_id", most), "sample")
+    totals = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return None
-    sample = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     sample = written(sample.repartition(4 * spark.sparkContext.defaultParallelism), "sample-texts")
     counts = sample.mapInPandas(_gram_rows, "gram string, level int, toxic int").groupBy("gram", "level").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     counts = written(counts.filter(F.col("t") >= min(3, bad)), "grams")
@@ -407,20 +416,13 @@ def chance(model: Model | None):
     return lambda text: run(F.lower(text))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
-    """The rows that a model may learn from: crc32(doc_id as text) mod 4 isn't 2, and the label is known."""
-    known = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(toxic).alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text")).join(known, "doc_id")
-
-
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", cut: float = CUT, most: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= cut) for each row of docs.
 
     Null and empty texts get the score of a text without words. Of repeated label rows the highest counts; repeated
     documents are scored each for itself. Without both labels every score is 0. An empty table gives an empty result.
     """
-    model = train(labelled_rows(docs, labels, text, doc_id, toxic), most)
+    model = train(docs, labels, text, doc_id, toxic, most)
     out = docs.select(F.col(doc_id).alias("doc_id"), chance(model)(F.col(text)).alias("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
