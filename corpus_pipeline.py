@@ -23,7 +23,7 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that operator 9 predicts to be toxic; it learns from the labels of documents given."""
     ship(spark)
-    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.chance(model)(F.col("text")) < toxicity.CUT)
 
 
