@@ -2,10 +2,11 @@
 
 Documents of the same shingle set are one node. A node's signature is cut into labels of DEPTH hashes, one label for
 each tree, and each tree holds the nodes sorted by label. Nodes whose labels share a prefix of LEAST hashes or more are
-candidates. In a first pass a node is compared with the first node of its run at every prefix length and with its
+candidates. In a first pass over a few trees a node is compared with the first node of its longest run and with its
 neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2. Links are confirmed on full shingle
-sets and joined to components. In a second pass the nodes of each run that fell into different components are compared
-with one another; the depth of a run adapts to its region, as runs over REGION nodes are cut at longer prefixes.
+sets and joined to components. In a second pass over all trees nodes of different components are compared: each with
+the first node of its run at every prefix length, with its neighbour, and with all of its region. The depth of a region
+adapts: runs over REGION nodes are cut at longer prefixes. Pairs whose sizes rule a link out are never compared.
 
 A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8. Where runs are cut at
 depth 6 that chance is about 6e-5, at full depth 0.3 % for a pair that no third document connects.
@@ -27,6 +28,8 @@ SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 TREES, DEPTH, LEAST = 32, 8, 4
+#: Trees of the first pass.
+EARLY = 4
 #: Runs over so many nodes are cut at a longer prefix.
 REGION = 64
 REMEMBERED = 1_000_000
@@ -127,36 +130,18 @@ def _sets(words: int):
     return run
 
 
-def _forest(region: int):
-    """Rows sorted by tree, label and node, all rows of a run in one partition: candidates and region of each node in a run."""
+def _similar(na, nb, percent: int):
+    """Sizes that allow two sets to be similar enough."""
+    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
-    def runs(pdf: pd.DataFrame) -> pa.RecordBatch:
-        tree, hi, node = pdf["tree"].to_numpy(), pdf["hi"].to_numpy(), pdf["node"].to_numpy()
-        lo = pdf["lo"].to_numpy().view(np.uint64)
-        n, idx = len(pdf), np.arange(len(pdf))
-        fresh = np.ones(n, bool)
-        fresh[1:] = (tree[1:] != tree[:-1]) | (hi[1:] != hi[:-1])
-        leads, depth, prefix = [], np.full(n, DEPTH), lo.copy()
-        for k in range(LEAST, DEPTH + 1):
-            cut = lo >> np.uint64(16 * (DEPTH - k)) if k > LEAST else np.zeros(n, np.uint64)
-            start = fresh.copy()
-            start[1:] |= cut[1:] != cut[:-1]
-            first = np.maximum.accumulate(np.where(start, idx, 0))
-            size = np.bincount(first, minlength=n)[first]
-            if k == LEAST:
-                alone = size < 2
-            small = (size <= region) & (depth == DEPTH)
-            depth[small], prefix[small] = k, cut[small]
-            if k == DEPTH:
-                large = (size > region) & (depth == DEPTH)
-            leads.append(first)
-        near = np.where(fresh, idx, idx - 1)
-        stay = ~alone
-        each = np.stack([*leads, near])[:, stay]
-        others = [[node[x] for x in set(col) if x != i] for col, i in zip(each.T, idx[stay])]
-        columns = (tree, hi, depth.astype("int32"), prefix.view(np.int64), large)
-        out = [pa.array(c[stay]) for c in columns] + [pa.array(node[stay], pa.binary()), pa.array(pdf["n"].to_numpy()[stay]), pa.array(others, pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(out, ["tree", "hi", "depth", "prefix", "large", "node", "n", "leads"])
+
+def _by_run(keys: list[str], pairs):
+    """mapInArrow over rows sorted by keys, all rows of a key in one partition: pairs(rows) for whole keys at a time."""
+
+    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
+        a, b = pairs(pdf)
+        node = pa.array(pdf["node"], pa.binary())
+        return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -165,50 +150,136 @@ def _forest(region: int):
             if not len(pdf):
                 continue
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf["tree"].to_numpy() != pdf["tree"].iloc[-1]) | (pdf["hi"].to_numpy() != pdf["hi"].iloc[-1])
-            at = int(last.sum())  # the last run may go on in the next batch
+            fresh = _starts(pdf, keys)
+            at = int(np.flatnonzero(fresh)[-1])  # the last key may go on in the next batch
             if at:
-                yield runs(pdf.iloc[:at].reset_index(drop=True))
+                yield out(pdf.iloc[:at].reset_index(drop=True))
             rest = pdf.iloc[at:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield runs(rest)
+            yield out(rest)
 
     return run
 
 
-FOREST = "tree int, hi long, depth int, prefix long, large boolean, node binary, n long, leads array<binary>"
+def _starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    fresh = np.ones(len(pdf), bool)
+    fresh[1:] = False
+    for k in keys:
+        x = pdf[k].to_numpy()
+        fresh[1:] |= x[1:] != x[:-1]
+    return fresh
+
+
+def _cross(first: int, last: int, root: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows first to last whose roots differ."""
+    i, j = np.triu_indices(last - first, 1)
+    i, j = i + first, j + first
+    may = (root[i] != root[j]) & _similar(n[i], n[j], percent)
+    return i[may], j[may]
+
+
+def _cold_pairs(region: int, percent: int, early: bool):
+    """Candidates among rows of whole runs, sorted by tree, hi, lo and node. Early: each node's nearest ones only."""
+
+    def pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        root, n, lo = pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["lo"].to_numpy().view(np.uint64)
+        size, idx = len(pdf), np.arange(len(pdf))
+        fresh = _starts(pdf, ["tree", "hi"])
+        depth, deepest = np.full(size, DEPTH + 1), idx.copy()
+        leads, spans = [], []
+        for k in range(LEAST, DEPTH + 1):
+            start = fresh.copy()
+            if k > LEAST:
+                cut = lo >> np.uint64(16 * (DEPTH - k))
+                start[1:] |= cut[1:] != cut[:-1]
+            first = np.maximum.accumulate(np.where(start, idx, 0))
+            count = np.bincount(first, minlength=size)
+            own = (count[first] <= region) & (depth > DEPTH)
+            depth[own] = k
+            spans += [(f, f + count[f]) for f in np.unique(first[own]) if count[f] > 1]
+            deepest = np.where(first != idx, first, deepest)
+            leads.append(first)
+        near = np.where(fresh, idx, idx - 1)
+        found = []
+        for lead in (deepest, near) if early else (*leads, near):
+            may = (root != root[lead]) & _similar(n, n[lead], percent)
+            found.append((idx[may], lead[may]))
+        if not early:
+            found += [_cross(f, e, root, n, percent) for f, e in spans if root[f:e].min() != root[f:e].max()]
+            wide = np.flatnonzero(depth > DEPTH)  # runs that stay large at full depth: all against the first of each other component
+            for f in np.unique(leads[-1][wide]):
+                rows = wide[leads[-1][wide] == f]
+                for head in rows[np.unique(root[rows], return_index=True)[1]]:
+                    may = rows[(root[rows] != root[head]) & _similar(n[rows], n[head], percent)]
+                    found.append((may, np.full(len(may), head)))
+        code = np.unique(np.concatenate([np.minimum(i, j) * size + np.maximum(i, j) for i, j in found]))
+        return code // size, code % size
+
+    return _by_run(["tree", "hi"], pairs)
+
+
+def _region_pairs(percent: int):
+    """Candidates among rows of whole regions, none of them over the bound of a region."""
 
+    def pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi", "depth", "prefix"])), len(pdf))
+        root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
+        found = [_cross(f, e, root, n, percent) for f, e in zip(edge[:-1], edge[1:])]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-def _hot_forest(rows: DataFrame, total: int, region: int) -> DataFrame:
-    """What _forest gives, for runs that are too large for one task: sums by prefix, joined back."""
+    return _by_run(["tree", "hi", "depth", "prefix"], pairs)
+
+
+PAIR = "a binary, b binary"
+
+
+def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bool) -> DataFrame:
+    """What _cold_pairs gives, for runs that are too large for one task: sums by prefix, joined back."""
     cut = {k: F.shiftrightunsigned("lo", 16 * (DEPTH - k)) if LEAST < k < DEPTH else F.col("lo") if k == DEPTH else F.lit(0).cast("long") for k in range(LEAST, DEPTH + 1)}
+    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     out = rows
     for k in range(LEAST, DEPTH + 1):
         keyed = out.withColumn("cut", cut[k])
-        sums = written(keyed.groupBy("tree", "hi", "cut").agg(F.count("*").alias("size"), F.min(F.struct("lo", "node")).alias("first")), "runs")
+        sums = written(keyed.groupBy("tree", "hi", "cut").agg(F.count("*").alias("size"), F.min(F.struct("lo", "node", "n", "root")).alias("first")), "runs")
         out = join_groups(keyed, sums, ["tree", "hi", "cut"], "size", total)
-        out = out.withColumns({f"size{k}": F.col("size"), f"lead{k}": F.col("first.node"), f"cut{k}": F.col("cut")}).drop("cut", "size", "first")
+        out = out.withColumns({f"size{k}": F.col("size"), f"lead{k}": F.col("first"), f"cut{k}": F.col("cut")}).drop("cut", "size", "first")
+    out = written(out, "hot-rows")
+    leads = F.array(*[F.col(f"lead{k}") for k in range(DEPTH, LEAST - 1, -1)])
+    leads = F.array_distinct(F.transform(F.filter(leads, lambda x: (x["root"] != F.col("root")) & similar(x["n"], F.col("n"))), lambda x: x["node"]))
+    found = out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2) if early else leads).alias("b"))
+    if early:
+        return found
     depth = F.coalesce(*[F.when(F.col(f"size{k}") <= region, k) for k in range(LEAST, DEPTH)], F.lit(DEPTH))
     prefix = F.coalesce(*[F.when(F.col(f"size{k}") <= region, F.col(f"cut{k}")) for k in range(LEAST, DEPTH)], F.col(f"cut{DEPTH}"))
-    leads = F.array_remove(F.array_distinct(F.array(*[F.col(f"lead{k}") for k in range(LEAST, DEPTH + 1)])), F.col("node"))
-    return out.filter(F.col(f"size{LEAST}") > 1).select("tree", "hi", depth.cast("int").alias("depth"), prefix.alias("prefix"), (F.col(f"size{DEPTH}") > region).alias("large"), "node", "n", leads.alias("leads"))
+    members = out.select("tree", "hi", depth.cast("int").alias("depth"), prefix.alias("prefix"), (F.col(f"size{DEPTH}") > region).alias("large"), "node", "n", "root")
+    key = ["tree", "hi", "depth", "prefix"]
+    mixed = members.groupBy(*key, "large").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 != r1").select(*key, "size")
+    members = written(join_groups(members, written(mixed, "mixed"), key, "size", total).drop("size"), "members")
+    small = members.filter("not large").drop("large").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
+    heads = members.filter("large").groupBy(*key, "root").agg(F.min(F.struct("node", "n")).alias("h")).select(*key, F.col("root").alias("rb"), "h")
+    wide = members.filter("large").join(heads, key).filter((F.col("root") != F.col("rb")) & similar(F.col("n"), F.col("h.n"))).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
+    return found.unionByName(small.mapInArrow(_region_pairs(percent), PAIR)).unionByName(wide)
 
 
-def forest(nodes: DataFrame, total: int, region: int = REGION, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each node's candidates and region in each tree where its run has other nodes. nodes: node, n, labels."""
+def candidates(nodes: DataFrame, total: int, trees: int, region: int = REGION, percent: int = PERCENT, hot_rows: int = HOT_ROWS, early: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a run in one of the first trees. nodes: node, n, root, labels."""
     spark = nodes.sparkSession
-    rows = nodes.select("node", "n", "labels", F.explode(F.sequence(F.lit(0), (F.size("labels") / 2).cast("int") - 1)).alias("tree"))
-    rows = rows.select("tree", F.expr("labels[2 * tree]").alias("hi"), F.expr("labels[2 * tree + 1]").alias("lo"), "node", "n")
+    rows = nodes.select("node", "n", "root", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = rows.select("tree", F.expr("labels[2 * tree]").alias("hi"), F.expr("labels[2 * tree + 1]").alias("lo"), "node", "n", "root")
     step = max(1, total // SAMPLE)
     floor = max(hot_rows, TREES * total // HOT_GROUPS)
-    seen = rows.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).groupBy("tree", "hi").count()
+    seen = rows.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).groupBy("tree", "hi").agg(F.count("*").alias("count"))
     hot = written(seen.filter(F.col("count") * step >= floor).orderBy(F.desc("count")).limit(HOT_GROUPS).select("tree", "hi"), "hot")
-    cold = rows.join(F.broadcast(hot), ["tree", "hi"], "left_anti")
-    found = cold.repartition(partitions(spark), "tree", "hi").sortWithinPartitions("tree", "hi", "lo", "node").mapInArrow(_forest(region), FOREST)
-    if not hot.isEmpty():
+    any_hot = not hot.isEmpty()
+    cold = rows.join(F.broadcast(hot), ["tree", "hi"], "left_anti") if any_hot else rows
+    cold = cold.repartition(partitions(spark), "tree", "hi").sortWithinPartitions("tree", "hi", "lo", "node")
+    found = cold.mapInArrow(_cold_pairs(region, percent, early), PAIR)
+    if any_hot:
         large = written(rows.join(F.broadcast(hot), ["tree", "hi"]), "hot-rows")
-        found = found.unionByName(_hot_forest(large, large.count(), region))
-    return written(found, "forest")
+        spread = large.groupBy("tree", "hi").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("tree", "hi")
+        large = large.join(F.broadcast(spread), ["tree", "hi"])  # runs of one component are done with; HOT_GROUPS rows at most
+        found = found.unionByName(_hot_pairs(large, large.count(), region, percent, early))
+    return written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,37 +325,31 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"))
     signed = written(rows.mapInPandas(_sign(words, trees), "doc_id long, n_shingles long, node binary, labels array<long>"), "signed")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("labels").alias("labels"), F.min("doc_id").alias("least"), F.count("*").alias("size"))
-    nodes = written(nodes, "nodes")
-    found = forest(nodes, nodes.count(), region, hot_rows)
-    near = found.select("node", "n", F.explode("leads").alias("b")).select(F.col("node").alias("a"), "b")
-    tried = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    # Full sets of the nodes in any run; their texts are read again for that.
-    wanted = found.select("node").distinct().join(nodes.select("node", "least"), "node").select(null_safe(F.col("least"))[0].alias("key")).distinct()
-    wanted = written(wanted, "wanted")
-    few = wanted.limit(limit + 1).count() <= limit
-    again = rows.withColumn("key", null_safe(F.col("doc_id"))[0]).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    sets = again.select("text").mapInPandas(_sets(words), "node binary, shingles array<long>")
-    sets = written(sets.join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links = written(confirm(tried, sets, percent), "links")
-    roots = components(links)
-    # What shares a region but not a component.
-    members = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    key = ["tree", "hi", "depth", "prefix"]
-    mixed = members.groupBy(*key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 != r1").select(*key, "size")
-    mixed = written(mixed, "mixed")
-    left = written(join_groups(members.drop("leads"), mixed, key, "size", found.count()), "members")
-    one = left.filter(~F.col("large")).select(*key, F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = one.select(*key, F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
-    cross = one.join(two, key).filter((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    # Runs that stay large at full depth: each node against the first node of every other component there.
-    heads = left.filter("large").groupBy(*key, "root").agg(F.min("node").alias("b")).select(*key, F.col("root").alias("rb"), "b")
-    wide = left.filter("large").join(heads, key).filter("root != rb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-    more = written(cross.unionByName(wide).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = written(confirm(more, sets, percent), "links")
-        if not extra.isEmpty():
-            roots = components(links.unionByName(extra))
+    held = signed.filter("node is not null")
+    nodes = written(held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "nodes")
+    total = nodes.count()
+
+    def labelled(n: int) -> DataFrame:
+        return held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first(F.slice("labels", 1, 2 * n)).alias("labels"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar. Full sets are made of the texts in any pair only, which are read again."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = written(wanted.join(nodes, "node").select(null_safe(F.col("least"))[0].alias("key")).distinct(), "wanted")
+        few = wanted.limit(limit + 1).count() <= limit
+        again = rows.withColumn("key", null_safe(F.col("doc_id"))[0]).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+        sets = again.select("text").mapInPandas(_sets(words), "node binary, shingles array<long>").dropDuplicates(["node"])
+        return written(confirm(pairs, written(sets, "sets"), percent), "links")
+
+    # First each node's nearest candidates in a few trees, which join most groups; then all trees, but no pairs of one component.
+    early = min(EARLY, trees)
+    found = links(candidates(labelled(early).withColumn("root", F.xxhash64("node")), total, early, region, percent, hot_rows, early=True))
+    roots = written(components(found), "roots")
+    rooted = labelled(trees).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    more = candidates(rooted, total, trees, region, percent, hot_rows)
+    extra = links(more.join(found, ["a", "b"], "left_anti"))
+    if not extra.isEmpty():
+        roots = written(components(found.unionByName(extra)), "roots")
     known = nodes.select("node", "least", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known, "known")
     tops = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "tops")
