@@ -5,8 +5,7 @@ each tree, and each tree holds the nodes sorted by label. Nodes whose labels sha
 candidates. In a first pass over a few trees a node is compared with the first node of its longest run and with its
 neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2. Links are confirmed on full shingle
 sets and joined to components. In a second pass over all trees nodes of different components are compared: each with
-the first node of its run at every prefix length, with its neighbour, and with all of its region. The depth of a region
-adapts: runs over REGION nodes are cut at longer prefixes. Pairs whose sizes rule a link out are never compared.
+all of its region. The depth of a region adapts: runs over REGION nodes are cut at longer prefixes.
 
 A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8. Where runs are cut at
 depth 6 that chance is about 6e-5, at full depth 0.3 % for a pair that no third document connects.
@@ -32,6 +31,10 @@ TREES, DEPTH, LEAST = 32, 8, 4
 EARLY = 4
 #: Runs over so many nodes are cut at a longer prefix.
 REGION = 64
+#: Regions up to so many nodes are compared as pairs, larger ones as blocks, so many shared shingles at once.
+PAIRWISE, COLUMNS = 6, 20_000
+#: Nodes in a chunk of a run that stays large at full depth.
+CHUNK = 256
 REMEMBERED = 1_000_000
 #: Documents in the sample that tells which runs are hot; it steers how rows are dealt out, never the result.
 SAMPLE = 50_000
@@ -135,13 +138,8 @@ def _similar(na, nb, percent: int):
     return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
 
-def _by_run(keys: list[str], pairs):
-    """mapInArrow over rows sorted by keys, all rows of a key in one partition: pairs(rows) for whole keys at a time."""
-
-    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
-        a, b = pairs(pdf)
-        node = pa.array(pdf["node"], pa.binary())
-        return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
+def _by_run(keys: list[str], out):
+    """mapInArrow over rows sorted by keys, all rows of a key in one partition: out(rows) for whole keys at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -170,23 +168,56 @@ def _starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return fresh
 
 
-def _cross(first: int, last: int, root: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows first to last whose roots differ."""
-    i, j = np.triu_indices(last - first, 1)
-    i, j = i + first, j + first
-    may = (root[i] != root[j]) & _similar(n[i], n[j], percent)
-    return i[may], j[may]
+PAIR = "a binary, b binary, region long, root long"
+
+
+def _batch(pdf: pd.DataFrame, pairs: list[tuple[np.ndarray, np.ndarray]], blocks: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs of rows; and the members of blocks, each with a name that blocks of the same nodes share, and no b."""
+    import xxhash
+
+    size, node = len(pdf), pdf["node"].to_numpy()
+    code = np.unique(np.concatenate([np.zeros(0, np.int64)] + [np.minimum(i, j) * size + np.maximum(i, j) for i, j in pairs]))
+    names = [xxhash.xxh3_64_intdigest(b"".join(sorted(node[x]))) for x in blocks]
+    member = np.concatenate([np.zeros(0, np.int64), *blocks])
+    name = np.repeat(np.array(names, np.uint64), list(map(len, blocks))).view(np.int64)
+    both, at = pa.array(node, pa.binary()), np.concatenate([code // size, member])
+    b = pa.concat_arrays([both.take(pa.array(code % size)), pa.nulls(len(member), pa.binary())])
+    region = pa.concat_arrays([pa.nulls(len(code), pa.int64()), pa.array(name)])
+    return pa.RecordBatch.from_arrays([both.take(pa.array(at)), b, region, pa.array(pdf["root"].to_numpy()[at])], ["a", "b", "region", "root"])
+
+
+def _split(spans: list[tuple[int, int]], root: np.ndarray, n: np.ndarray, percent: int) -> tuple[list, list]:
+    """Of regions with several components the small ones as pairs of rows, the others as blocks."""
+    pairs, blocks = [], []
+    for f, e in spans:
+        if root[f:e].min() == root[f:e].max():
+            continue
+        if e - f > PAIRWISE:
+            blocks.append(np.arange(f, e))
+            continue
+        i, j = np.triu_indices(e - f, 1)
+        may = (root[f + i] != root[f + j]) & _similar(n[f + i], n[f + j], percent)
+        pairs.append((f + i[may], f + j[may]))
+    return pairs, blocks
+
+
+def _wide_blocks(rows: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+    """Blocks of a run that stays large at full depth: what isn't of its largest component, in chunks, against all chunks."""
+    names, count = np.unique(root[rows], return_counts=True)
+    top = root[rows] == names[np.argmax(count)]
+    cut = lambda x: [x[i : i + CHUNK] for i in range(0, len(x), CHUNK)]
+    stray, main = cut(rows[~top]), cut(rows[top])
+    return [np.concatenate([a, b]) if i != j else a for i, a in enumerate(stray) for j, b in enumerate(stray) if i <= j] + [np.concatenate([a, b]) for a in stray for b in main]
 
 
 def _cold_pairs(region: int, percent: int, early: bool):
     """Candidates among rows of whole runs, sorted by tree, hi, lo and node. Early: each node's nearest ones only."""
 
-    def pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
         root, n, lo = pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["lo"].to_numpy().view(np.uint64)
         size, idx = len(pdf), np.arange(len(pdf))
         fresh = _starts(pdf, ["tree", "hi"])
-        depth, deepest = np.full(size, DEPTH + 1), idx.copy()
-        leads, spans = [], []
+        depth, deepest, spans = np.full(size, DEPTH + 1), idx.copy(), []
         for k in range(LEAST, DEPTH + 1):
             start = fresh.copy()
             if k > LEAST:
@@ -198,39 +229,54 @@ def _cold_pairs(region: int, percent: int, early: bool):
             depth[own] = k
             spans += [(f, f + count[f]) for f in np.unique(first[own]) if count[f] > 1]
             deepest = np.where(first != idx, first, deepest)
-            leads.append(first)
-        near = np.where(fresh, idx, idx - 1)
-        found = []
-        for lead in (deepest, near) if early else (*leads, near):
-            may = (root != root[lead]) & _similar(n, n[lead], percent)
-            found.append((idx[may], lead[may]))
-        if not early:
-            found += [_cross(f, e, root, n, percent) for f, e in spans if root[f:e].min() != root[f:e].max()]
-            wide = np.flatnonzero(depth > DEPTH)  # runs that stay large at full depth: all against the first of each other component
-            for f in np.unique(leads[-1][wide]):
-                rows = wide[leads[-1][wide] == f]
-                for head in rows[np.unique(root[rows], return_index=True)[1]]:
-                    may = rows[(root[rows] != root[head]) & _similar(n[rows], n[head], percent)]
-                    found.append((may, np.full(len(may), head)))
-        code = np.unique(np.concatenate([np.minimum(i, j) * size + np.maximum(i, j) for i, j in found]))
-        return code // size, code % size
-
-    return _by_run(["tree", "hi"], pairs)
+        if early:
+            pairs = [(idx[may], lead[may]) for lead in (deepest, np.where(fresh, idx, idx - 1)) for may in [(root != root[lead]) & _similar(n, n[lead], percent)]]
+            return _batch(pdf, pairs, [])
+        pairs, blocks = _split(spans, root, n, percent)
+        wide = np.flatnonzero(depth > DEPTH)
+        for f in np.unique(first[wide]):
+            blocks += _wide_blocks(wide[first[wide] == f], root)
+        return _batch(pdf, pairs, blocks)
+
+    return _by_run(["tree", "hi"], out)
 
 
 def _region_pairs(percent: int):
     """Candidates among rows of whole regions, none of them over the bound of a region."""
 
-    def pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi", "depth", "prefix"])), len(pdf))
-        root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
-        found = [_cross(f, e, root, n, percent) for f, e in zip(edge[:-1], edge[1:])]
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
+        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi", "depth", "prefix"])), len(pdf)).tolist()
+        return _batch(pdf, *_split(list(zip(edge[:-1], edge[1:])), pdf["root"].to_numpy(), pdf["n"].to_numpy(), percent))
+
+    return _by_run(["tree", "hi", "depth", "prefix"], out)
 
-    return _by_run(["tree", "hi", "depth", "prefix"], pairs)
 
+def _block_links(percent: int):
+    """Links between different roots in each region: the shared shingles of all its nodes at once, as products of incidence."""
 
-PAIR = "a binary, b binary"
+    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
+        edge = np.append(np.flatnonzero(_starts(pdf, ["region"])), len(pdf)).tolist()
+        root, node, links = pdf["root"].to_numpy(), pdf["node"].to_numpy(), []
+        for f, e in zip(edge[:-1], edge[1:]):
+            sets = [np.asarray(x) for x in pdf["shingles"].iloc[f:e]]
+            n = np.array([len(x) for x in sets])
+            _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            often = np.cumsum(times > 1) - 1
+            code, who = code.ravel(), np.repeat(np.arange(e - f), n)
+            keep = times[code] > 1
+            code, who = often[code[keep]], who[keep]
+            shared = np.zeros((e - f, e - f))
+            for at in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
+                part = (code >= at) & (code < at + COLUMNS)
+                held = np.zeros((e - f, COLUMNS), np.float32)
+                held[who[part], code[part] - at] = 1
+                shared += held @ held.T
+            i, j = np.nonzero(100 * shared >= percent * (n[:, None] + n[None, :] - shared))
+            may = (i < j) & (root[f + i] != root[f + j])
+            links += zip(node[f + i[may]], node[f + j[may]])
+        return pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.binary()), pa.array([min(x) for x in links], pa.binary())], ["a", "b"])
+
+    return _by_run(["region"], out)
 
 
 def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bool) -> DataFrame:
@@ -244,11 +290,11 @@ def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bo
         out = join_groups(keyed, sums, ["tree", "hi", "cut"], "size", total)
         out = out.withColumns({f"size{k}": F.col("size"), f"lead{k}": F.col("first"), f"cut{k}": F.col("cut")}).drop("cut", "size", "first")
     out = written(out, "hot-rows")
-    leads = F.array(*[F.col(f"lead{k}") for k in range(DEPTH, LEAST - 1, -1)])
-    leads = F.array_distinct(F.transform(F.filter(leads, lambda x: (x["root"] != F.col("root")) & similar(x["n"], F.col("n"))), lambda x: x["node"]))
-    found = out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2) if early else leads).alias("b"))
+    no = F.lit(None).cast("long")
     if early:
-        return found
+        leads = F.array(*[F.col(f"lead{k}") for k in range(DEPTH, LEAST - 1, -1)])
+        leads = F.array_distinct(F.transform(F.filter(leads, lambda x: (x["root"] != F.col("root")) & similar(x["n"], F.col("n"))), lambda x: x["node"]))
+        return out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2)).alias("b"), no.alias("region"), "root")
     depth = F.coalesce(*[F.when(F.col(f"size{k}") <= region, k) for k in range(LEAST, DEPTH)], F.lit(DEPTH))
     prefix = F.coalesce(*[F.when(F.col(f"size{k}") <= region, F.col(f"cut{k}")) for k in range(LEAST, DEPTH)], F.col(f"cut{DEPTH}"))
     members = out.select("tree", "hi", depth.cast("int").alias("depth"), prefix.alias("prefix"), (F.col(f"size{DEPTH}") > region).alias("large"), "node", "n", "root")
@@ -256,13 +302,26 @@ def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bo
     mixed = members.groupBy(*key, "large").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 != r1").select(*key, "size")
     members = written(join_groups(members, written(mixed, "mixed"), key, "size", total).drop("size"), "members")
     small = members.filter("not large").drop("large").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
-    heads = members.filter("large").groupBy(*key, "root").agg(F.min(F.struct("node", "n")).alias("h")).select(*key, F.col("root").alias("rb"), "h")
-    wide = members.filter("large").join(heads, key).filter((F.col("root") != F.col("rb")) & similar(F.col("n"), F.col("h.n"))).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
-    return found.unionByName(small.mapInArrow(_region_pairs(percent), PAIR)).unionByName(wide)
+    # Runs that stay large at full depth: what isn't of their largest component, in chunks, against all chunks.
+    large = members.filter("large").drop("depth")
+    by_root = written(large.groupBy("tree", "hi", "prefix", "root").agg(F.count("*").alias("c")), "wide")
+    runs = by_root.groupBy("tree", "hi", "prefix").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"))
+    placed = join_groups(large, written(runs, "wide"), ["tree", "hi", "prefix"], "size", total).withColumn("main", F.col("root") == F.col("top.root"))
+    strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    block = lambda kind, x, y: F.xxhash64("tree", "hi", "prefix", F.lit(kind), x, y)
+    stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
+    wide = placed.select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), F.explode(F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)).alias("region"), "root")
+    return small.mapInArrow(_region_pairs(percent), PAIR).unionByName(wide)
 
 
 def candidates(nodes: DataFrame, total: int, trees: int, region: int = REGION, percent: int = PERCENT, hot_rows: int = HOT_ROWS, early: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that share a run in one of the first trees. nodes: node, n, root, labels."""
+    """Candidates among nodes of different roots that share a run in one of the first trees. nodes: node, n, root, labels.
+
+    Rows are pairs (a, b), or members a of a region without b, with their root: regions of more than a few nodes are
+    compared as a whole, as their pairs would be many times their rows.
+    """
     spark = nodes.sparkSession
     rows = nodes.select("node", "n", "root", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("tree", F.expr("labels[2 * tree]").alias("hi"), F.expr("labels[2 * tree + 1]").alias("lo"), "node", "n", "root")
@@ -279,7 +338,8 @@ def candidates(nodes: DataFrame, total: int, trees: int, region: int = REGION, p
         spread = large.groupBy("tree", "hi").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("tree", "hi")
         large = large.join(F.broadcast(spread), ["tree", "hi"])  # runs of one component are done with; HOT_GROUPS rows at most
         found = found.unionByName(_hot_pairs(large, large.count(), region, percent, early))
-    return written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    b = F.when(F.col("region").isNull(), F.least("a", "b"))
+    return written(found.select(F.greatest("a", "b").alias("a"), b.alias("b"), "region", F.when(F.col("region").isNotNull(), F.col("root")).alias("root")).distinct(), "pairs")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -332,14 +392,17 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     def labelled(n: int) -> DataFrame:
         return held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first(F.slice("labels", 1, 2 * n)).alias("labels"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. Full sets are made of the texts in any pair only, which are read again."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def links(found: DataFrame) -> DataFrame:
+        """The candidates that are similar. Full sets are made of their texts only, which are read again."""
+        pairs, members = found.filter("region is null").select("a", "b"), found.filter("region is not null")
+        wanted = found.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = written(wanted.join(nodes, "node").select(null_safe(F.col("least"))[0].alias("key")).distinct(), "wanted")
         few = wanted.limit(limit + 1).count() <= limit
         again = rows.withColumn("key", null_safe(F.col("doc_id"))[0]).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
         sets = again.select("text").mapInPandas(_sets(words), "node binary, shingles array<long>").dropDuplicates(["node"])
-        return written(confirm(pairs, written(sets, "sets"), percent), "links")
+        sets = written(sets, "sets")
+        blocks = members.select("region", F.col("a").alias("node"), "root").join(sets, "node").repartition(partitions(spark), "region").sortWithinPartitions("region")
+        return written(confirm(pairs, sets, percent).unionByName(blocks.mapInArrow(_block_links(percent), "a binary, b binary")).distinct(), "links")
 
     # First each node's nearest candidates in a few trees, which join most groups; then all trees, but no pairs of one component.
     early = min(EARLY, trees)
@@ -347,7 +410,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     roots = written(components(found), "roots")
     rooted = labelled(trees).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     more = candidates(rooted, total, trees, region, percent, hot_rows)
-    extra = links(more.join(found, ["a", "b"], "left_anti"))
+    extra = links(more)
     if not extra.isEmpty():
         roots = written(components(found.unionByName(extra)), "roots")
     known = nodes.select("node", "least", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
