@@ -162,6 +162,10 @@ class Model:
         table = np.zeros((0, 2))
 
         def measure(texts) -> np.ndarray:
+            texts = list(texts)
+            return np.concatenate([np.zeros((0, 3)), *(part(texts[at : at + 200]) for at in range(0, len(texts), 200))])
+
+        def part(texts: list) -> np.ndarray:
             nonlocal table
             found = [tokens(t) for t in texts]
             if len(known) > REMEMBERED:
@@ -171,8 +175,8 @@ class Model:
             of = sorted(((w, i) for i, t in enumerate(fresh) for w in forms(t)), key=lambda x: len(x[0]))
             new = np.full((len(fresh), 2), -9.0)
             for at in range(0, len(of), 5000):
-                part = of[at : at + 5000]
-                np.maximum.at(new, [i for _, i in part], self.values([w for w, _ in part]))
+                some = of[at : at + 5000]
+                np.maximum.at(new, [i for _, i in some], self.values([w for w, _ in some]))
             known.update(zip(fresh, range(len(table), len(table) + len(fresh))))
             new[:, 1] = np.clip(4 * new[:, 1] - 1, 0, 1)
             table = np.concatenate([table, new])
