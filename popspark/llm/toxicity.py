@@ -37,7 +37,7 @@ RELATIVE = 0.15
 #: Words of clean texts that the machine is fitted on, at most.
 GOOD = 6_000
 CUT = 0.3
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Longer words are read in overlapping pieces of so many characters.
 LONG = 48
 _PLACES = [(0, *c) for c in combinations(range(1, SPAN), LETTERS - 1)]
@@ -163,7 +163,7 @@ class Model:
 
         def measure(texts) -> np.ndarray:
             texts = list(texts)
-            return np.concatenate([np.zeros((0, 3)), *(part(texts[at : at + 200]) for at in range(0, len(texts), 200))])
+            return np.concatenate([np.zeros((0, 3)), *(part(texts[at : at + 1000]) for at in range(0, len(texts), 1000))])
 
         def part(texts: list) -> np.ndarray:
             nonlocal table
