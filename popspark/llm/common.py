@@ -22,6 +22,8 @@ HOT_GROUPS = 10_000
 HOT_ROWS = 100
 #: A table of keys is broadcast up to so many rows (some tens of MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows that a Python task gets at once; texts may be long.
+BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and keep batches of texts to Python tasks small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless it was set
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     sc = spark.sparkContext
     if getattr(sc, "_popspark_shipped", False):
         return
