@@ -4,20 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from popspark.llm.common import shared_dir, ship, table, without, written
+from popspark.llm.common import null_safe, shared_dir, ship, table, without, written
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """docs with one row for each doc_id. Repeated ids are looked for first, so texts move only if there are any."""
-    repeated = written(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return docs
-    some = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(some)
+def _row_key(docs: DataFrame) -> Column:
+    """A digest of doc_id and text: rows that share it are the same document."""
+    return F.unhex(F.md5(F.concat(null_safe(F.col("doc_id"))[0], F.lit(" "), F.coalesce("text", F.lit("")))))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +41,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component that operator 8 finds keep one document."""
-    found = near_dedup.near_dedup(docs)
-    dropped = written(found.filter("not kept").select("doc_id").filter("doc_id is not null").distinct(), "dropped")
-    return _one_row_each(without(docs, dropped, "doc_id"))
+    names, keyed = docs.columns, docs.withColumn("_row", _row_key(docs))
+    found = written(near_dedup.near_dedup(keyed, row="_row").select("row", "n_shingles", "kept").withColumnRenamed("row", "_row"), "found")
+    rest = without(keyed, found.filter("not kept").select("_row").distinct(), "_row")
+    # A document that stands on several rows keeps the first of them. Such are looked for first, so texts move only if there are any.
+    repeated = written(found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
+    if repeated.isEmpty():
+        return rest.select(*names)
+    whole = F.struct(*names)
+    some = rest.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min_by(whole, F.to_json(whole)).alias("first")).select("first.*")
+    return without(rest, repeated, "_row").select(*names).unionByName(some)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

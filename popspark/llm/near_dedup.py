@@ -114,10 +114,11 @@ def _sign(words: int, trees: int):
         shingles, signer = Shingles(words), Signer(trees)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in pdf["text"]:
                 s = shingles.of(text)
-                rows.append((doc, len(s), _node(s), signer.of(s)) if len(s) else (doc, 0, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "labels"]).astype({"doc_id": "Int64"})
+                rows.append((len(s), _node(s), signer.of(s)) if len(s) else (0, None, None))
+            found = pd.DataFrame(rows, columns=["n_shingles", "node", "labels"], index=pdf.index)
+            yield pd.concat([pdf.drop(columns="text").astype({"doc_id": "Int64"}), found], axis=1)
 
     return run
 
@@ -373,20 +374,27 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, region: int = REGION, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, region: int = REGION, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, row: str | None = None) -> DataFrame:
     """Components of documents whose sets of word shingles are similar: doc_id, n_shingles, component_id, kept.
 
     A-Z count as a-z. A text of fewer words than a shingle is one shingle; null texts and texts without words have
     none and are linked with nothing. component_id is the smallest doc_id that links reach; kept says that it is the
     document's own. Repeated rows share their component, and each row whose doc_id is the smallest is kept; a null
     doc_id is the smallest only of a component that has no other. An empty table gives an empty result.
+
+    row names a binary column that tells rows apart and goes into the result; kept then says that the row has the
+    smallest (doc_id, row) of its component, so that one row of each stays, and every row that is linked with nothing.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"))
-    signed = written(rows.mapInPandas(_sign(words, trees), "doc_id long, n_shingles long, node binary, labels array<long>"), "signed")
+    more = [] if row is None else ["row"]
+    named_rows = rows if row is None else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(row).alias("row"), plain(F.col(text)).alias("text"))
+    kinds = "doc_id long, " + "row binary, " * len(more)
+    signed = written(named_rows.mapInPandas(_sign(words, trees), kinds + "n_shingles long, node binary, labels array<long>"), "signed")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", *more)
     held = signed.filter("node is not null")
-    nodes = written(held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "nodes")
+    nodes = written(held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min(place).alias("place")), "nodes")
     total = nodes.count()
 
     def labelled(n: int) -> DataFrame:
@@ -409,14 +417,14 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     found = links(candidates(labelled(early).withColumn("root", F.xxhash64("node")), total, early, region, percent, hot_rows, early=True))
     roots = written(components(found), "roots")
     rooted = labelled(trees).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    more = candidates(rooted, total, trees, region, percent, hot_rows)
-    extra = links(more)
+    extra = links(candidates(rooted, total, trees, region, percent, hot_rows))
     if not extra.isEmpty():
         roots = written(components(found.unionByName(extra)), "roots")
-    known = nodes.select("node", "least", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "least", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known, "known")
-    tops = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "tops")
-    named = written(join_groups(known, tops, ["root"], "nodes", nodes.count()).select("node", "component_id", "size"), "named")
-    rest = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = join_groups(signed.filter("node is not null").select("doc_id", "n_shingles", "node"), named, ["node"], "size", signed.count())
-    return joined.select("doc_id", "n_shingles", "component_id").unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    tops = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("place").alias("top"), F.count("*").alias("nodes")), "tops")
+    named = written(join_groups(known.drop("place"), tops, ["root"], "nodes", nodes.count()).select("node", "component_id", "top", "size"), "named")
+    rest = signed.filter("node is null").select("doc_id", *more, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    joined = join_groups(signed.filter("node is not null").select("doc_id", *more, "n_shingles", "node"), named, ["node"], "size", signed.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) if row is None else place.eqNullSafe(F.col("top"))
+    return joined.select("doc_id", *more, "n_shingles", "component_id", kept.alias("kept")).unionByName(rest)

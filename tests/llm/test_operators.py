@@ -188,3 +188,13 @@ def test_pipeline_keeps_clean_texts(spark):
         kept = after
     packed = corpus_pipeline.run(spark, SF)
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(9_000)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    docs = [(None, a, "x"), (None, b, "x"), (1, c, "x"), (1, d, "x"), (2, c + " more", "x"), (0, e, "x"), (1, e + " more", "x"), (3, b, "y"), (3, b, "x"), (None, None, "x"), (None, "", "x")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), SF).collect()
+    want = [(None, a, "x"), (1, c, "x"), (1, d, "x"), (0, e, "x"), (3, b, "x"), (None, None, "x"), (None, "", "x")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
