@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from popspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from popspark.llm.common import null_safe, shared_dir, ship, table, without, written
 
+#: Words in a shingle of the near_dedup stage; operator 8's own query takes four.
+WORDS = 5
 
-def _row_key(docs: DataFrame) -> Column:
+
+def _row_key() -> Column:
     """A digest of doc_id and text: rows that share it are the same document."""
     return F.unhex(F.md5(F.concat(null_safe(F.col("doc_id"))[0], F.lit(" "), F.coalesce("text", F.lit("")))))
 
@@ -41,8 +44,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component that operator 8 finds keep one document."""
-    names, keyed = docs.columns, docs.withColumn("_row", _row_key(docs))
-    found = written(near_dedup.near_dedup(keyed, row="_row").select("row", "n_shingles", "kept").withColumnRenamed("row", "_row"), "found")
+    names, keyed = docs.columns, docs.withColumn("_row", _row_key())
+    found = written(near_dedup.near_dedup(keyed, words=WORDS, row="_row").select("row", "n_shingles", "kept").withColumnRenamed("row", "_row"), "found")
     rest = without(keyed, found.filter("not kept").select("_row").distinct(), "_row")
     # A document that stands on several rows keeps the first of them. Such are looked for first, so texts move only if there are any.
     repeated = written(found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row"), "repeated")

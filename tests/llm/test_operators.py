@@ -198,3 +198,11 @@ def test_near_copies_are_dropped_by_row(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), SF).collect()
     want = [(None, a, "x"), (1, c, "x"), (1, d, "x"), (0, e, "x"), (3, b, "x"), (None, None, "x"), (None, "", "x")]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_near_copies_of_the_pipeline_take_five_words(spark):
+    one = [f"w{i}" for i in range(120)]
+    two = [f"x{i}" if i in (20, 60, 100) else w for i, w in enumerate(one)]  # similar by 0.81 in fours, 0.77 in fives
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    assert near_dedup.near_dedup(docs, words=4).filter("kept").count() == 1
+    assert corpus_pipeline.drop_near_copies(spark, docs, SF).count() == 2
