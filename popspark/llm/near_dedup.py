@@ -5,10 +5,10 @@ each tree, and each tree holds the nodes sorted by label. Nodes whose labels sha
 candidates. In a first pass over a few trees a node is compared with the first node of its longest run and with its
 neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2. Links are confirmed on full shingle
 sets and joined to components. In a second pass over all trees nodes of different components are compared: each with
-all of its region. The depth of a region adapts: runs over REGION nodes are cut at longer prefixes.
+all of its run, however many nodes that holds: runs over REGION nodes are dealt into chunks, and each chunk with nodes
+outside the run's largest component is compared with all others.
 
-A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8. Where runs are cut at
-depth 6 that chance is about 6e-5, at full depth 0.3 % for a pair that no third document connects.
+A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8, in runs of any size.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ PERCENT = 80
 TREES, DEPTH, LEAST = 32, 8, 4
 #: Trees of the first pass.
 EARLY = 4
-#: Runs over so many nodes are cut at a longer prefix.
+#: Runs over so many nodes are compared in chunks.
 REGION = 64
 #: Regions up to so many nodes are compared as pairs, larger ones as blocks, so many shared shingles at once.
 PAIRWISE, COLUMNS = 6, 20_000
-#: Nodes in a chunk of a run that stays large at full depth.
+#: Nodes in a chunk of a large run.
 CHUNK = 256
 REMEMBERED = 200_000
 #: Documents in the sample that tells which runs are hot; it steers how rows are dealt out, never the result.
@@ -202,41 +202,41 @@ def _split(spans: list[tuple[int, int]], root: np.ndarray, n: np.ndarray, percen
     return pairs, blocks
 
 
-def _wide_blocks(rows: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
-    """Blocks of a run that stays large at full depth: what isn't of its largest component, in chunks, against all chunks."""
+def _wide_blocks(rows: np.ndarray, root: np.ndarray, n: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Blocks of a large run: what isn't of its largest component, in chunks by size, against all chunks of like sizes."""
     names, count = np.unique(root[rows], return_counts=True)
+    rows = rows[np.argsort(n[rows], kind="stable")]
     top = root[rows] == names[np.argmax(count)]
     cut = lambda x: [x[i : i + CHUNK] for i in range(0, len(x), CHUNK)]
     stray, main = cut(rows[~top]), cut(rows[top])
-    return [np.concatenate([a, b]) if i != j else a for i, a in enumerate(stray) for j, b in enumerate(stray) if i <= j] + [np.concatenate([a, b]) for a in stray for b in main]
+    may = lambda a, b: 100 * n[a[-1]] >= percent * n[b[0]] and 100 * n[b[-1]] >= percent * n[a[0]]
+    return [np.concatenate([a, b]) if i != j else a for i, a in enumerate(stray) for j, b in enumerate(stray) if i <= j and may(a, b)] + [np.concatenate([a, b]) for a in stray for b in main if may(a, b)]
 
 
 def _cold_pairs(region: int, percent: int, early: bool):
     """Candidates among rows of whole runs, sorted by tree, hi, lo and node. Early: each node's nearest ones only."""
 
     def out(pdf: pd.DataFrame) -> pa.RecordBatch:
-        root, n, lo = pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["lo"].to_numpy().view(np.uint64)
+        root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
         size, idx = len(pdf), np.arange(len(pdf))
         fresh = _starts(pdf, ["tree", "hi"])
-        depth, deepest, spans = np.full(size, DEPTH + 1), idx.copy(), []
-        for k in range(LEAST, DEPTH + 1):
-            start = fresh.copy()
-            if k > LEAST:
-                cut = lo >> np.uint64(16 * (DEPTH - k))
-                start[1:] |= cut[1:] != cut[:-1]
-            first = np.maximum.accumulate(np.where(start, idx, 0))
-            count = np.bincount(first, minlength=size)
-            own = (count[first] <= region) & (depth > DEPTH)
-            depth[own] = k
-            spans += [(f, f + count[f]) for f in np.unique(first[own]) if count[f] > 1]
-            deepest = np.where(first != idx, first, deepest)
         if early:
+            lo, deepest = pdf["lo"].to_numpy().view(np.uint64), idx.copy()
+            for k in range(LEAST, DEPTH + 1):
+                start = fresh.copy()
+                if k > LEAST:
+                    cut = lo >> np.uint64(16 * (DEPTH - k))
+                    start[1:] |= cut[1:] != cut[:-1]
+                first = np.maximum.accumulate(np.where(start, idx, 0))
+                deepest = np.where(first != idx, first, deepest)
             pairs = [(idx[may], lead[may]) for lead in (deepest, np.where(fresh, idx, idx - 1)) for may in [(root != root[lead]) & _similar(n, n[lead], percent)]]
             return _batch(pdf, pairs, [])
-        pairs, blocks = _split(spans, root, n, percent)
-        wide = np.flatnonzero(depth > DEPTH)
-        for f in np.unique(first[wide]):
-            blocks += _wide_blocks(wide[first[wide] == f], root)
+        edge = np.append(np.flatnonzero(fresh), size).tolist()
+        spans = list(zip(edge[:-1], edge[1:]))
+        pairs, blocks = _split([(f, e) for f, e in spans if 1 < e - f <= region], root, n, percent)
+        for f, e in spans:
+            if e - f > region and root[f:e].min() != root[f:e].max():
+                blocks += _wide_blocks(idx[f:e], root, n, percent)
         return _batch(pdf, pairs, blocks)
 
     return _by_run(["tree", "hi"], out)
@@ -246,10 +246,10 @@ def _region_pairs(percent: int):
     """Candidates among rows of whole regions, none of them over the bound of a region."""
 
     def out(pdf: pd.DataFrame) -> pa.RecordBatch:
-        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi", "depth", "prefix"])), len(pdf)).tolist()
+        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi"])), len(pdf)).tolist()
         return _batch(pdf, *_split(list(zip(edge[:-1], edge[1:])), pdf["root"].to_numpy(), pdf["n"].to_numpy(), percent))
 
-    return _by_run(["tree", "hi", "depth", "prefix"], out)
+    return _by_run(["tree", "hi"], out)
 
 
 def _block_links(percent: int):
@@ -284,34 +284,27 @@ def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bo
     """What _cold_pairs gives, for runs that are too large for one task: sums by prefix, joined back."""
     cut = {k: F.shiftrightunsigned("lo", 16 * (DEPTH - k)) if LEAST < k < DEPTH else F.col("lo") if k == DEPTH else F.lit(0).cast("long") for k in range(LEAST, DEPTH + 1)}
     similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    out = rows
-    for k in range(LEAST, DEPTH + 1):
-        keyed = out.withColumn("cut", cut[k])
-        sums = written(keyed.groupBy("tree", "hi", "cut").agg(F.count("*").alias("size"), F.min(F.struct("lo", "node", "n", "root")).alias("first")), "runs")
-        out = join_groups(keyed, sums, ["tree", "hi", "cut"], "size", total)
-        out = out.withColumns({f"size{k}": F.col("size"), f"lead{k}": F.col("first"), f"cut{k}": F.col("cut")}).drop("cut", "size", "first")
-    out = written(out, "hot-rows")
-    no = F.lit(None).cast("long")
     if early:
+        out = rows
+        for k in range(LEAST, DEPTH + 1):
+            keyed = out.withColumn("cut", cut[k])
+            sums = written(keyed.groupBy("tree", "hi", "cut").agg(F.count("*").alias("size"), F.min(F.struct("lo", "node", "n", "root")).alias("first")), "runs")
+            out = join_groups(keyed, sums, ["tree", "hi", "cut"], "size", total)
+            out = out.withColumn(f"lead{k}", F.col("first")).drop("cut", "size", "first")
         leads = F.array(*[F.col(f"lead{k}") for k in range(DEPTH, LEAST - 1, -1)])
         leads = F.array_distinct(F.transform(F.filter(leads, lambda x: (x["root"] != F.col("root")) & similar(x["n"], F.col("n"))), lambda x: x["node"]))
-        return out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2)).alias("b"), no.alias("region"), "root")
-    depth = F.coalesce(*[F.when(F.col(f"size{k}") <= region, k) for k in range(LEAST, DEPTH)], F.lit(DEPTH))
-    prefix = F.coalesce(*[F.when(F.col(f"size{k}") <= region, F.col(f"cut{k}")) for k in range(LEAST, DEPTH)], F.col(f"cut{DEPTH}"))
-    members = out.select("tree", "hi", depth.cast("int").alias("depth"), prefix.alias("prefix"), (F.col(f"size{DEPTH}") > region).alias("large"), "node", "n", "root")
-    key = ["tree", "hi", "depth", "prefix"]
-    mixed = members.groupBy(*key, "large").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 != r1").select(*key, "size")
-    members = written(join_groups(members, written(mixed, "mixed"), key, "size", total).drop("size"), "members")
-    small = members.filter("not large").drop("large").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
-    # Runs that stay large at full depth: what isn't of their largest component, in chunks, against all chunks.
-    large = members.filter("large").drop("depth")
-    by_root = written(large.groupBy("tree", "hi", "prefix", "root").agg(F.count("*").alias("c")), "wide")
-    runs = by_root.groupBy("tree", "hi", "prefix").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"))
-    placed = join_groups(large, written(runs, "wide"), ["tree", "hi", "prefix"], "size", total).withColumn("main", F.col("root") == F.col("top.root"))
+        return out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2)).alias("b"), F.lit(None).cast("long").alias("region"), "root")
+    key = ["tree", "hi"]
+    by_root = written(rows.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
+    runs = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
+    members = written(rows.select(*key, "node", "n", "root").join(F.broadcast(runs), key), "members")  # HOT_GROUPS runs at most
+    small = members.filter(F.col("size") <= region).select(*key, "node", "n", "root").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
+    # Large runs: what isn't of their largest component, in chunks, against all chunks.
+    placed = members.filter(F.col("size") > region).withColumn("main", F.col("root") == F.col("top.root"))
     strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
     own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
     to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
-    block = lambda kind, x, y: F.xxhash64("tree", "hi", "prefix", F.lit(kind), x, y)
+    block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
     stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
     wide = placed.select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), F.explode(F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)).alias("region"), "root")
     return small.mapInArrow(_region_pairs(percent), PAIR).unionByName(wide)

@@ -206,3 +206,19 @@ def test_near_copies_of_the_pipeline_take_five_words(spark):
     docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
     assert near_dedup.near_dedup(docs, words=4).filter("kept").count() == 1
     assert corpus_pipeline.drop_near_copies(spark, docs, SF).count() == 2
+
+
+def test_large_runs_are_compared_in_full(spark):
+    rng = random.Random(2)
+    # One run of four hashes in one tree; no two nodes share a longer prefix.
+    rows = [(bytes([i]), 50, i if i > 40 else 0, [7, (i << 48) + rng.randrange(1 << 40)]) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "node binary, n long, root long, labels array<long>")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[2] != b[2]}
+    for hot_rows in (1000, 10):
+        met, regions = set(), {}
+        for r in near_dedup.candidates(nodes, 120, 1, region=8, hot_rows=hot_rows).collect():
+            if r["region"] is None:
+                met.add((bytes(r["a"]), bytes(r["b"])))
+            else:
+                regions.setdefault(r["region"], set()).add(bytes(r["a"]))
+        assert want <= met | {(x, y) for m in regions.values() for x in m for y in m}
