@@ -1,15 +1,14 @@
-"""Main text of web pages by structure and by a suffix array for each host.
+"""Main text of web pages by structure and by the runs that a host repeats.
 
 A page becomes blocks of text, without what its structure marks as menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts and styles. The token streams of a host's pages are concatenated and their suffixes sorted;
-runs of RUN tokens or more that recur on several distinct pages are boilerplate. Outside an explicit article such runs
-are removed and unique runs kept; what a page marks as its article stays whole, as other pages may quote it.
+forms, comments, scripts and styles. Runs of RUN tokens or more that recur on PAGES distinct pages of a host are
+boilerplate, whatever the host's size: the token streams of a small host's pages are concatenated and their suffixes
+sorted, and the runs of a large host are hashed and their pages counted. Such runs are removed and unique ones kept.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections.abc import Iterator
 
@@ -19,16 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.llm.common import BROADCAST_ROWS, join_groups, ship, written
+from popspark.llm.near_dedup import Shingles
 from popspark.llm.url_filter import address
 
 #: Tokens of a run that counts as long.
 RUN = 8
-#: A run is boilerplate on at least so many distinct pages, and on at least this share of those compared.
-PAGES, SHARE = 3, 0.05
-#: Pages of a host that are compared at once; larger hosts are dealt into parts of about this size.
+#: A run is boilerplate on so many distinct pages of a host.
+PAGES = 3
+#: Tokens of the short runs by which long ones are first sought on large hosts.
+SHORT = 4
+#: Hosts up to so many pages are compared in one task, by their suffixes.
 PART = 256
-#: A block goes as a whole if its runs cover this share, and a page that would lose this share of all blocks is a copy, not boilerplate.
-WHOLE, COPY = 0.8, 0.9
+#: A page that would lose this share of all blocks is a copy, not boilerplate.
+COPY = 0.9
 #: A block outside an article goes if this share of it is links.
 LINKS = 0.5
 
@@ -176,32 +178,34 @@ def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> li
     return [covered[e - n - 1 : e - 1] for e, n in zip(ends, lengths)]
 
 
-def prune(pages: list[list[tuple[str, bool, float]]], run: int = RUN, least: int = PAGES, share: float = SHARE) -> list[str]:
+def _kept(page: list[tuple[str, bool, float]], tokens: list[list[str]], covered: np.ndarray) -> str:
+    """The main text of a page, given which of its tokens lie in a run that its host repeats."""
+    main = any(b[1] for b in page)
+    open_tokens = np.concatenate([np.full(len(t), not b[1]) for b, t in zip(page, tokens)]) if page else np.zeros(0, bool)
+    copy = not main and open_tokens.any() and covered[open_tokens].mean() >= COPY
+    at, kept = 0, []
+    for (text, inside, links), t in zip(page, tokens):
+        c = covered[at : at + len(t)]
+        at += len(t)
+        if inside:
+            kept.append(text)
+        elif main or links > LINKS or not copy and c.all():
+            continue
+        elif copy or not c.any():
+            kept.append(text)
+        else:
+            kept.append(" ".join(w for w, x in zip(t, c) if not x))
+    return "\n".join(kept)
+
+
+def prune(pages: list[list[tuple[str, bool, float]]], run: int = RUN, least: int = PAGES) -> list[str]:
     """The main text of each page of a host."""
     known: dict[str, int] = {}
     words = [[b[0].split(" ") for b in page] for page in pages]
     streams = [[known.setdefault(w, len(known)) for b in page for w in b] for page in words]
     distinct = {tuple(s): i for i, s in enumerate(streams)}  # copies of a page count once
-    cover = dict(zip(distinct, repeated([streams[i] for i in distinct.values()], run, max(least, math.ceil(share * len(distinct))))))
-    out = []
-    for page, tokens, stream in zip(pages, words, streams):
-        covered, main = cover[tuple(stream)], any(b[1] for b in page)
-        open_tokens = np.concatenate([np.full(len(t), not b[1]) for b, t in zip(page, tokens)]) if page else np.zeros(0, bool)
-        copy = not main and open_tokens.any() and covered[open_tokens].mean() >= COPY
-        at, kept = 0, []
-        for (text, inside, links), t in zip(page, tokens):
-            c = covered[at : at + len(t)]
-            at += len(t)
-            if inside:
-                kept.append(text)
-            elif main or links > LINKS or not copy and c.mean() >= WHOLE:
-                continue
-            elif copy or not c.any():
-                kept.append(text)
-            else:
-                kept.append(" ".join(w for w, x in zip(t, c) if not x))
-        out.append("\n".join(kept))
-    return out
+    cover = dict(zip(distinct, repeated([streams[i] for i in distinct.values()], run, least)))
+    return [_kept(page, tokens, cover[tuple(stream)]) for page, tokens, stream in zip(pages, words, streams)]
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,6 +222,112 @@ def _main(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["page_id", "url"]].assign(text=prune(pages))
 
 
+class Runs:
+    """The hashes of a page's runs of RUN tokens, different on each host, and for each run the least hash of its short runs.
+
+    Equal runs have equal least hashes, so a run is on no more pages than its least hash; there are about a third as many.
+    """
+
+    def __init__(self) -> None:
+        self.long, self.short = Shingles(RUN), Shingles(SHORT)
+
+    def of(self, host: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        import xxhash
+
+        if len(tokens) < RUN:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seed = np.uint64(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")))
+        runs, short = (x.runs(tokens) ^ seed for x in (self.long, self.short))
+        return runs.view(np.int64), np.lib.stride_tricks.sliding_window_view(short, RUN - SHORT + 1).min(axis=1).view(np.int64)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _hashes(least: bool, known):
+    """What each distinct page holds of least hashes, or of runs (those of the least hashes in known, if given), dealt into buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = Runs()
+        for pdf in batches:
+            found = [np.zeros(0, np.int64)]
+            for host, texts in zip(pdf["host"], pdf["texts"]):
+                long, short = runs.of(host, " ".join(texts).split(" "))
+                found.append(np.unique(short if least else long if known is None else long[_among(short, known.value)]))
+            whole = np.concatenate(found)
+            bucket = (whole.view(np.uint64) >> np.uint64(54)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            whole, names, at = whole[order], *np.unique(bucket[order], return_index=True)
+            yield pd.DataFrame({"bucket": names, "hashes": [x.tobytes() for x in np.split(whole, at[1:])] if len(names) else []})
+
+    return run
+
+
+def _often(pdf: pd.DataFrame) -> pd.DataFrame:
+    runs, pages = np.unique(np.frombuffer(b"".join(pdf["hashes"]), np.int64), return_counts=True)
+    return pd.DataFrame({"run": runs[pages >= PAGES], "pages": pages[pages >= PAGES]})
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    runs = Runs()
+    for pdf in batches:
+        found = [runs.of(host, " ".join(texts).split(" "))[0] for host, texts in zip(pdf["host"], pdf["texts"])]
+        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in found]]).astype(np.int32)
+        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), list(map(len, found))), "at": at, "run": np.concatenate([np.zeros(0, np.int64), *found])})
+
+
+def _main_of_large(known):
+    """The text of each page, whose repeated runs begin at the tokens in the column at or are those in known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = Runs()
+        for pdf in batches:
+            out = []
+            for host, texts, inside, links, at in zip(pdf["host"], pdf["texts"], pdf["inside"], pdf["links"], pdf["at"]):
+                tokens = [t.split(" ") for t in texts]
+                if known is not None:
+                    at = np.flatnonzero(_among(runs.of(host, [w for t in tokens for w in t])[0], known.value))
+                edge = np.zeros(sum(map(len, tokens)) + 1, np.int64)
+                if at is not None:
+                    np.add.at(edge, np.asarray(at, np.int64), 1)
+                    np.add.at(edge, np.asarray(at, np.int64) + RUN, -1)
+                out.append(_kept(list(zip(texts, inside, links)), tokens, np.cumsum(edge)[:-1] > 0))
+            yield pdf[["page_id", "url"]].assign(text=out)
+
+    return run
+
+
+def _large_hosts(parsed: DataFrame, kind: str, limit: int) -> DataFrame:
+    """The text of pages of hosts that are too large for one task: their runs are hashed and distinct pages counted."""
+    spark = parsed.sparkSession
+    stream = F.unhex(F.md5(F.concat_ws("\n", "host", F.array_join("texts", " "))))
+    rows = written(parsed.withColumns({"id": F.monotonically_increasing_id(), "stream": stream}), "parsed")
+    # Copies of a page count once.
+    copied = written(rows.groupBy("stream").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("stream", "first"), "copied")
+    few = copied.limit(limit + 1).count() <= limit
+    single = rows.join(F.broadcast(copied) if few else copied, "stream", "left").filter("first is null or first = id").select("host", "texts")
+
+    def often(least: bool, known) -> DataFrame:
+        dealt = single.mapInPandas(_hashes(least, known), "bucket int, hashes binary")
+        return written(dealt.groupBy("bucket").applyInPandas(_often, "run long, pages long"), "runs")
+
+    def held(found: DataFrame):
+        """The hashes, sorted, for all tasks, if there are few."""
+        if found.limit(limit + 1).count() > limit:
+            return None
+        return spark.sparkContext.broadcast(np.sort(found.select("run").toPandas()["run"].to_numpy(np.int64)))
+
+    hits = often(False, held(often(True, None)))
+    known, text = held(hits), f"page_id {kind}, url string, text string"
+    if known is not None:
+        return rows.withColumn("at", F.lit(None).cast("array<int>")).mapInPandas(_main_of_large(known), text)
+    places = rows.select("id", "host", "texts").mapInPandas(_places, "id long, at int, run long")
+    places = join_groups(places, hits, ["run"], "pages", hits.agg(F.sum("pages")).first()[0])
+    return rows.join(places.groupBy("id").agg(F.collect_list("at").alias("at")), "id", "left").mapInPandas(_main_of_large(None), text)
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", part: int = PART, limit: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text and n_chars (code points) for each row of pages.
 
@@ -226,7 +336,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     a page count as one page where repeats are sought. An empty table gives an empty result.
     """
     ship(pages.sparkSession)
-    host = address(F.coalesce(F.col(url), F.lit("")))["host"]
+    host = F.coalesce(address(F.coalesce(F.col(url), F.lit("")))["host"], F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     sizes = written(rows.groupBy("host").agg(F.count("*").alias("size")), "hosts")
     large = sizes.filter(F.col("size") > part)
@@ -234,9 +344,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         dealt = rows.join(F.broadcast(large), "host", "left")
     else:
         dealt = join_groups(rows, sizes, ["host"], "size", rows.count())
-    parts = F.ceil(F.coalesce("size", F.lit(1)) / part)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts).cast("long")).select("page_id", "url", "html", "host", "part")
     kind = rows.schema["page_id"].dataType.simpleString()
-    parsed = dealt.mapInPandas(_parse, f"page_id {kind}, url string, host string, part long, texts array<string>, inside array<boolean>, links array<double>")
-    out = parsed.groupBy("host", "part").applyInPandas(_main, f"page_id {kind}, url string, text string")
+    parse = lambda some: some.select("page_id", "url", "html", "host").mapInPandas(_parse, f"page_id {kind}, url string, host string, texts array<string>, inside array<boolean>, links array<double>")
+    size = F.coalesce("size", F.lit(1))
+    out = parse(dealt.filter(size <= part)).groupBy("host").applyInPandas(_main, f"page_id {kind}, url string, text string")
+    if not large.isEmpty():
+        out = out.unionByName(_large_hosts(parse(dealt.filter(size > part)), kind, limit))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

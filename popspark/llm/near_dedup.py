@@ -64,6 +64,10 @@ class Shingles:
         words = [w for w in text.split(" ") if w] if text else []
         if not words:
             return np.empty(0, np.uint64)
+        return np.unique(self.runs(words))
+
+    def runs(self, words: list[str]) -> np.ndarray:
+        """The hash of the shingle that begins at each word, as far as there are whole ones."""
         h, k = self.hashes(words), min(self.words, len(words))
         with np.errstate(over="ignore"):
             out = np.full(len(h) - k + 1, k, np.uint64)
@@ -74,7 +78,7 @@ class Shingles:
             out ^= out >> np.uint64(27)
             out *= np.uint64(0x94D049BB133111EB)
             out ^= out >> np.uint64(31)
-        return np.unique(out)
+        return out
 
 
 class Signer:

@@ -222,3 +222,16 @@ def test_large_runs_are_compared_in_full(spark):
             else:
                 regions.setdefault(r["region"], set()).add(bytes(r["a"]))
         assert want <= met | {(x, y) for m in regions.values() for x in m for y in m}
+
+
+def test_runs_are_sought_over_the_whole_host(spark):
+    rng = random.Random(4)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(640)]
+    notice = "we use small files to know you when you return here"
+    rows = [(i, "http://big/" if i < 600 else "http://small/", f"<p>{own[i]}</p><p>{notice} mark{i}</p>" if i % 150 == 0 or i > 630 else f"<p>{own[i]}</p>") for i in range(640)]
+    rows += [(700, "http://big/", rows[1][2]), (701, "http://big/", rows[1][2])]  # copies of a page are one page
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: own[i] + (f"\nmark{i}" if i % 150 == 0 or i > 630 else "") for i in range(640)} | {700: own[1], 701: own[1]}
+    for part, limit in ((256, 1000), (256, 0), (10_000, 1000)):
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(table, part=part, limit=limit).collect()}
+        assert got == want
