@@ -4,6 +4,8 @@ A page becomes blocks of text, without what its structure marks as menus, header
 forms, comments, scripts and styles. Runs of RUN tokens or more that recur on PAGES distinct pages of a host are
 boilerplate, whatever the host's size: the token streams of a small host's pages are concatenated and their suffixes
 sorted, and the runs of a large host are hashed and their pages counted. Such runs are removed and unique ones kept.
+Inside an explicit article they go as whole blocks at its edges, unless they are most of it: then the article is a copy.
+What is outside an article is left out only where the article is the larger part of the page's unique text.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHORT = 4
 PART = 256
 #: A page that would lose this share of all blocks is a copy, not boilerplate.
 COPY = 0.9
+#: Repeated blocks at an article's edges go below this share of it, and outside text counts if the article is below this share of both.
+MINOR = 0.5
 #: A block outside an article goes if this share of it is links.
 LINKS = 0.5
 
@@ -180,15 +184,30 @@ def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> li
 
 def _kept(page: list[tuple[str, bool, float]], tokens: list[list[str]], covered: np.ndarray) -> str:
     """The main text of a page, given which of its tokens lie in a run that its host repeats."""
-    main = any(b[1] for b in page)
-    open_tokens = np.concatenate([np.full(len(t), not b[1]) for b, t in zip(page, tokens)]) if page else np.zeros(0, bool)
-    copy = not main and open_tokens.any() and covered[open_tokens].mean() >= COPY
-    at, kept = 0, []
-    for (text, inside, links), t in zip(page, tokens):
-        c = covered[at : at + len(t)]
+    at, spans = 0, []
+    for t in tokens:
+        spans.append(covered[at : at + len(t)])
         at += len(t)
+    inner = [i for i, b in enumerate(page) if b[1]]
+    size = sum(len(tokens[i]) for i in inner)
+    edges: set[int] = set()
+    for order in (inner, inner[::-1]):
+        for i in order:
+            if not spans[i].all():
+                break
+            edges.add(i)
+    if sum(len(tokens[i]) for i in edges) >= MINOR * size:
+        edges = set()
+    outer = [i for i, b in enumerate(page) if not b[1]]
+    unique = sum(int((~spans[i]).sum()) for i in outer if page[i][2] <= LINKS)
+    main = bool(inner) and size >= MINOR * (size + unique)
+    open_tokens = np.concatenate([spans[i] for i in outer]) if outer else np.zeros(0, bool)
+    copy = not inner and open_tokens.any() and open_tokens.mean() >= COPY
+    kept = []
+    for i, ((text, inside, links), t, c) in enumerate(zip(page, tokens, spans)):
         if inside:
-            kept.append(text)
+            if i not in edges:
+                kept.append(text)
         elif main or links > LINKS or not copy and c.all():
             continue
         elif copy or not c.any():

@@ -235,3 +235,15 @@ def test_runs_are_sought_over_the_whole_host(spark):
     for part, limit in ((256, 1000), (256, 0), (10_000, 1000)):
         got = {r["page_id"]: r["text"] for r in html_text.main_text(table, part=part, limit=limit).collect()}
         assert got == want
+
+
+def test_runs_decide_at_the_edges_of_articles():
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, copied = "all rights to this page stay with its first author", [own(20), own(20)]
+    long = [own(60) for _ in range(3)]
+    pages = [[(x, True, 0.0), (notice, True, 0.0)] for x in long]  # a notice in the article
+    pages += [[(c, True, 0.0) for c in copied] + [(own(3), False, 0.0)] for _ in range(3)]  # copied articles stay
+    teaser, body = own(5), own(80)
+    pages += [[(teaser, True, 0.0), (body, False, 0.0), (notice, False, 0.0), (own(9), False, 0.9)], [(long[0], True, 0.0), (own(10), False, 0.0)]]
+    assert html_text.prune(pages) == [*long, *["\n".join(copied)] * 3, f"{teaser}\n{body}", long[0]]
