@@ -91,9 +91,10 @@ def spectrum(k: DataFrame) -> DataFrame:
     return k.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, SPECTRUM)
 
 
-def site_correlation(genotypes: DataFrame, n_ind: DataFrame, first: int = 30) -> DataFrame:
-    """Pearson's correlation of the dosages of each two of the first sites that vary."""
-    sites = F.broadcast(moments(genotypes, n_ind).orderBy("position").limit(first))
+def site_correlation(genotypes: DataFrame, n_ind: DataFrame, first: int | None = 30) -> DataFrame:
+    """Pearson's correlation of the dosages of each two of the first sites that vary, of all without first."""
+    sites = moments(genotypes, n_ind)
+    sites = sites if first is None else F.broadcast(sites.orderBy("position").limit(first))
     near = genotypes.join(sites, "position")
     a = near.select("ind_id", F.col("position").alias("pos_i"), F.col("g").alias("ga"))
     b = near.select("ind_id", F.col("position").alias("pos_j"), F.col("g").alias("gb"))

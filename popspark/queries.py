@@ -172,6 +172,13 @@ def site_corr(spark, sf):
     return rounded(L.site_correlation(d.genotypes, d.n_ind))
 
 
+@query()
+def site_corr_all(spark, sf):
+    """site_corr over all sites that vary; its SQL takes the first 30."""
+    d = Data(spark, sf)
+    return rounded(L.site_correlation(d.genotypes, d.n_ind, None))
+
+
 GRM = BASE + """, m AS (SELECT position, sum(g)/CAST(any_value(n_ind) AS DOUBLE) AS mean, sum(g*g)/CAST(any_value(n_ind) AS DOUBLE) - pow(sum(g)/CAST(any_value(n_ind) AS DOUBLE), 2) AS v FROM g, n GROUP BY 1 HAVING v > 1e-24),
 x AS (SELECT a.ind_id AS i, b.ind_id AS j, sum(a.g*b.g/v) AS xy FROM g a JOIN g b USING (position) JOIN m USING (position) GROUP BY 1, 2),
 o AS (SELECT s.ind_id, coalesce(sum(g*mean/v), 0) AS own FROM (SELECT DISTINCT ind_id FROM s) s LEFT JOIN (g JOIN m USING (position)) USING (ind_id) GROUP BY 1),
@@ -271,6 +278,13 @@ def breakpoint_intervals(spark, sf):
     return I.between(T.table(spark, sf, "part").select((F.col("p_partkey").cast("long") * 7 + 3).alias("position")), 1000)
 
 
+@query()
+def breakpoint_intervals_all(spark, sf):
+    """breakpoint_intervals over a sequence that holds all positions; its SQL ends at 1000."""
+    breaks = T.table(spark, sf, "part").select((F.col("p_partkey").cast("long") * 7 + 3).alias("position"))
+    return I.between(breaks, breaks.agg(F.coalesce(F.max("position"), F.lit(1))).first()[0])
+
+
 IV = "WITH v AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS id, CAST(l_partkey AS BIGINT)*10+1 AS s, CAST(l_partkey AS BIGINT)*10+1+CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_linenumber=1)"
 MERGED = IV + ", q AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v), k AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM q), m AS (SELECT id, min(s) AS s, max(e) AS e FROM k GROUP BY id, island)"
 
@@ -296,6 +310,12 @@ def interval_overlap_pairs(spark, sf):
     return I.overlapping(I.merge(T.intervals(spark, sf)).filter("s < 3000"))
 
 
+@query()
+def interval_overlap_pairs_all(spark, sf):
+    """interval_overlap_pairs over all intervals; its SQL takes starts below 3000."""
+    return I.overlapping(I.merge(T.intervals(spark, sf)))
+
+
 @query(IV + " SELECT id, position FROM (SELECT CAST(l_suppkey AS BIGINT) AS id, CAST(l_partkey AS BIGINT)*10+5 AS position FROM lineitem WHERE l_linenumber=2) p WHERE EXISTS (SELECT 1 FROM v WHERE v.id = p.id AND v.s <= p.position AND p.position < v.e)")
 def points_in_intervals(spark, sf):
     pts = T.table(spark, sf, "lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").cast("long").alias("id"), (F.col("l_partkey").cast("long") * 10 + 5).alias("position"))

@@ -105,3 +105,34 @@ def duck():
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, duck, name):
     assert _rows(Q.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(Q.SQL[name]).df())
+
+
+def test_whole_tables_equal_brute_force(spark, tmp_path):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    items = sorted({(rng.randrange(8), rng.choice([3, 250, 299, 300, 301, 5000]) if i % 2 else rng.randrange(60)) for i in range(220)})
+    lines = [(s, p, float(rng.randrange(1, 30)), 1) for s, p in items]
+    tables = {"supplier": ([(i,) for i in range(8)], "s_suppkey long"), "part": ([(i,) for i in (0, 1, 141, 142, 143, 900, 20_000)], "p_partkey long"), "lineitem": (lines, "l_suppkey long, l_partkey long, l_quantity double, l_linenumber int")}
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sites: dict[int, np.ndarray] = {}
+    for s, p, q, _ in lines:
+        if q <= 1 + p % 50:
+            sites.setdefault(p + 1, np.zeros(4))[(s + 2) // 2 - 1] += 1
+    varying = {p: g for p, g in sites.items() if g.std() > 0}
+    got = {(r["pos_i"], r["pos_j"]): r["r"] for r in Q.QUERIES["site_corr_all"](spark, str(tmp_path)).collect()}
+    assert len(varying) > 30 and got == {(a, b): pytest.approx(np.corrcoef(x, y)[0, 1], abs=2e-6) for a, x in varying.items() for b, y in varying.items() if a < b}
+    merged: dict[int, list[list[int]]] = {}
+    for s, e, i in sorted((p * 10 + 1, p * 10 + 1 + int(q), s) for s, p, q, _ in lines):
+        own = merged.setdefault(i, [])
+        if own and s <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([s, e])
+    want = {(a, b): n for a in merged for b in merged if a < b and (n := sum(x[0] < y[1] and y[0] < x[1] for x in merged[a] for y in merged[b]))}
+    assert {(r["a"], r["b"]): r["n"] for r in Q.QUERIES["interval_overlap_pairs_all"](spark, str(tmp_path)).collect()} == want
+    ends = [1, 3, 10, 990, 997, 1004, 6303, 140_003, 140_004]
+    assert sorted(map(tuple, Q.QUERIES["breakpoint_intervals_all"](spark, str(tmp_path)).collect())) == list(zip(ends, ends[1:]))
