@@ -3,10 +3,10 @@
 Documents of the same shingle set are one node. A node's signature is cut into labels of DEPTH hashes, one label for
 each tree, and each tree holds the nodes sorted by label. Nodes whose labels share a prefix of LEAST hashes or more are
 candidates. In a first pass over a few trees a node is compared with the first node of its longest run and with its
-neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2. Links are confirmed on full shingle
-sets and joined to components. In a second pass over all trees nodes of different components are compared: each with
-all of its run, however many nodes that holds: runs over REGION nodes are dealt into chunks, and each chunk with nodes
-outside the run's largest component is compared with all others.
+neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2; the sorted nodes are dealt out by
+ranges, which cut runs of any size. Links are confirmed on full shingle sets and joined to components. In a second pass
+over all trees runs that hold several components are compared in full: those up to REGION nodes in one task, larger
+ones dealt into chunks, and each chunk with nodes outside the run's largest component is compared with all others.
 
 A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8, in runs of any size.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import BROADCAST_ROWS, HOT_GROUPS, HOT_ROWS, join_groups, null_safe, partitions, ship, written
+from popspark.llm.common import join_groups, null_safe, partitions, ship, written
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
@@ -35,9 +35,12 @@ REGION = 64
 PAIRWISE, COLUMNS = 6, 20_000
 #: Nodes in a chunk of a large run.
 CHUNK = 256
-REMEMBERED = 200_000
-#: Documents in the sample that tells which runs are hot; it steers how rows are dealt out, never the result.
-SAMPLE = 50_000
+#: Words that a task remembers, and letters of a remembered word at most.
+REMEMBERED, LETTERS = 100_000, 32
+#: Tables up to so many rows are broadcast.
+FEW = 200_000
+#: Shingles that are sent on at once.
+SENT = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
 
 
@@ -56,9 +59,11 @@ class Shingles:
         known, of = self.known, xxhash.xxh3_64_intdigest
         if len(known) > REMEMBERED:
             known.clear()
+        long: dict[str, int] = {}
         for w in set(words).difference(known):
-            known[w] = of(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            (known if len(w) <= LETTERS else long)[w] = of(w.encode("utf-8", "surrogatepass"))
+        get = known.__getitem__ if not long else (known | long).__getitem__
+        return np.fromiter(map(get, words), np.uint64, len(words))
 
     def of(self, text: str | None) -> np.ndarray:
         words = [w for w in text.split(" ") if w] if text else []
@@ -131,9 +136,13 @@ def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(words)
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                found = [s for s in map(shingles.of, pdf["text"].iloc[at : at + 500]) if len(s)]
-                yield pd.DataFrame({"node": [_node(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+            found: list[np.ndarray] = []
+            for text in [*pdf["text"], None]:
+                if found and (text is None or sum(map(len, found)) > SENT):
+                    yield pd.DataFrame({"node": [_node(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+                    found = []
+                if text:
+                    found += [s for s in [shingles.of(text)] if len(s)]
 
     return run
 
@@ -206,26 +215,23 @@ def _split(spans: list[tuple[int, int]], root: np.ndarray, n: np.ndarray, percen
     return pairs, blocks
 
 
-def _wide_blocks(rows: np.ndarray, root: np.ndarray, n: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Blocks of a large run: what isn't of its largest component, in chunks by size, against all chunks of like sizes."""
-    names, count = np.unique(root[rows], return_counts=True)
-    rows = rows[np.argsort(n[rows], kind="stable")]
-    top = root[rows] == names[np.argmax(count)]
-    cut = lambda x: [x[i : i + CHUNK] for i in range(0, len(x), CHUNK)]
-    stray, main = cut(rows[~top]), cut(rows[top])
-    may = lambda a, b: 100 * n[a[-1]] >= percent * n[b[0]] and 100 * n[b[-1]] >= percent * n[a[0]]
-    return [np.concatenate([a, b]) if i != j else a for i, a in enumerate(stray) for j, b in enumerate(stray) if i <= j and may(a, b)] + [np.concatenate([a, b]) for a in stray for b in main if may(a, b)]
+def _nearest_pairs(percent: int):
+    """Of rows sorted by tree, hi and lo each with the first of the longest prefix it shares and with the one before it.
 
+    All that the next rows need of those before are the first row at each depth and the last row, so a task holds one
+    batch of a run at a time.
+    """
 
-def _cold_pairs(region: int, percent: int, early: bool):
-    """Candidates among rows of whole runs, sorted by tree, hi, lo and node. Early: each node's nearest ones only."""
-
-    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
-        root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
-        size, idx = len(pdf), np.arange(len(pdf))
-        fresh = _starts(pdf, ["tree", "hi"])
-        if early:
-            lo, deepest = pdf["lo"].to_numpy().view(np.uint64), idx.copy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            pdf = batch.to_pandas()
+            if not len(pdf):
+                continue
+            old = 0 if carried is None else len(carried)
+            pdf = pdf if carried is None else pd.concat([carried, pdf], ignore_index=True)
+            root, n, idx = pdf["root"].to_numpy(), pdf["n"].to_numpy(), np.arange(len(pdf))
+            fresh, lo, deepest, firsts = _starts(pdf, ["tree", "hi"]), pdf["lo"].to_numpy().view(np.uint64), idx.copy(), {len(pdf) - 1}
             for k in range(LEAST, DEPTH + 1):
                 start = fresh.copy()
                 if k > LEAST:
@@ -233,17 +239,12 @@ def _cold_pairs(region: int, percent: int, early: bool):
                     start[1:] |= cut[1:] != cut[:-1]
                 first = np.maximum.accumulate(np.where(start, idx, 0))
                 deepest = np.where(first != idx, first, deepest)
-            pairs = [(idx[may], lead[may]) for lead in (deepest, np.where(fresh, idx, idx - 1)) for may in [(root != root[lead]) & _similar(n, n[lead], percent)]]
-            return _batch(pdf, pairs, [])
-        edge = np.append(np.flatnonzero(fresh), size).tolist()
-        spans = list(zip(edge[:-1], edge[1:]))
-        pairs, blocks = _split([(f, e) for f, e in spans if 1 < e - f <= region], root, n, percent)
-        for f, e in spans:
-            if e - f > region and root[f:e].min() != root[f:e].max():
-                blocks += _wide_blocks(idx[f:e], root, n, percent)
-        return _batch(pdf, pairs, blocks)
+                firsts.add(int(first[-1]))
+            new = idx >= old
+            yield _batch(pdf, [(idx[may], lead[may]) for lead in (deepest, np.where(fresh, idx, idx - 1)) for may in [new & (root != root[lead]) & _similar(n, n[lead], percent)]], [])
+            carried = pdf.iloc[sorted(firsts)].reset_index(drop=True)
 
-    return _by_run(["tree", "hi"], out)
+    return run
 
 
 def _region_pairs(percent: int):
@@ -284,62 +285,64 @@ def _block_links(percent: int):
     return _by_run(["region"], out)
 
 
-def _hot_pairs(rows: DataFrame, total: int, region: int, percent: int, early: bool) -> DataFrame:
-    """What _cold_pairs gives, for runs that are too large for one task: sums by prefix, joined back."""
-    cut = {k: F.shiftrightunsigned("lo", 16 * (DEPTH - k)) if LEAST < k < DEPTH else F.col("lo") if k == DEPTH else F.lit(0).cast("long") for k in range(LEAST, DEPTH + 1)}
-    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    if early:
-        out = rows
-        for k in range(LEAST, DEPTH + 1):
-            keyed = out.withColumn("cut", cut[k])
-            sums = written(keyed.groupBy("tree", "hi", "cut").agg(F.count("*").alias("size"), F.min(F.struct("lo", "node", "n", "root")).alias("first")), "runs")
-            out = join_groups(keyed, sums, ["tree", "hi", "cut"], "size", total)
-            out = out.withColumn(f"lead{k}", F.col("first")).drop("cut", "size", "first")
-        leads = F.array(*[F.col(f"lead{k}") for k in range(DEPTH, LEAST - 1, -1)])
-        leads = F.array_distinct(F.transform(F.filter(leads, lambda x: (x["root"] != F.col("root")) & similar(x["n"], F.col("n"))), lambda x: x["node"]))
-        return out.select(F.col("node").alias("a"), F.explode(F.slice(leads, 1, 2)).alias("b"), F.lit(None).cast("long").alias("region"), "root")
-    key = ["tree", "hi"]
-    by_root = written(rows.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
-    runs = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
-    members = written(rows.select(*key, "node", "n", "root").join(F.broadcast(runs), key), "members")  # HOT_GROUPS runs at most
-    small = members.filter(F.col("size") <= region).select(*key, "node", "n", "root").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
-    # Large runs: what isn't of their largest component, in chunks, against all chunks.
-    placed = members.filter(F.col("size") > region).withColumn("main", F.col("root") == F.col("top.root"))
-    strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
-    to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
-    block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
-    stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
-    wide = placed.select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), F.explode(F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)).alias("region"), "root")
-    return small.mapInArrow(_region_pairs(percent), PAIR).unionByName(wide)
-
-
-def candidates(nodes: DataFrame, total: int, trees: int, region: int = REGION, percent: int = PERCENT, hot_rows: int = HOT_ROWS, early: bool = False) -> DataFrame:
-    """Candidates among nodes of different roots that share a run in one of the first trees. nodes: node, n, root, labels.
+def _joined(left: DataFrame, groups: DataFrame, key: list[str], n: str, limit: int = FEW) -> DataFrame:
+    """Inner join of rows to a written table of groups, with n rows of left each: by broadcast up to limit groups."""
+    if groups.limit(limit + 1).count() <= limit:
+        return left.join(F.broadcast(groups), key)
+    return join_groups(left, groups, key, n, groups.agg(F.sum(n)).first()[0])
 
-    Rows are pairs (a, b), or members a of a region without b, with their root: regions of more than a few nodes are
-    compared as a whole, as their pairs would be many times their rows.
-    """
-    spark = nodes.sparkSession
+
+def _labelled(nodes: DataFrame, trees: int) -> DataFrame:
+    """A row for each node and tree: tree, hi and lo (its label), node, n, root."""
     rows = nodes.select("node", "n", "root", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr("labels[2 * tree]").alias("hi"), F.expr("labels[2 * tree + 1]").alias("lo"), "node", "n", "root")
-    step = max(1, total // SAMPLE)
-    floor = max(hot_rows, TREES * total // HOT_GROUPS)
-    seen = rows.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).groupBy("tree", "hi").agg(F.count("*").alias("count"))
-    hot = written(seen.filter(F.col("count") * step >= floor).orderBy(F.desc("count")).limit(HOT_GROUPS).select("tree", "hi"), "hot")
-    any_hot = not hot.isEmpty()
-    cold = rows.join(F.broadcast(hot), ["tree", "hi"], "left_anti") if any_hot else rows
-    cold = cold.repartition(partitions(spark), "tree", "hi").sortWithinPartitions("tree", "hi", "lo", "node")
-    found = cold.mapInArrow(_cold_pairs(region, percent, early), PAIR)
-    if any_hot:
-        large = written(rows.join(F.broadcast(hot), ["tree", "hi"]), "hot-rows")
-        spread = large.groupBy("tree", "hi").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("tree", "hi")
-        large = large.join(F.broadcast(spread), ["tree", "hi"])  # runs of one component are done with; HOT_GROUPS rows at most
-        found = found.unionByName(_hot_pairs(large, large.count(), region, percent, early))
+    return rows.select("tree", F.expr("labels[2 * tree]").alias("hi"), F.expr("labels[2 * tree + 1]").alias("lo"), "node", "n", "root")
+
+
+def _distinct_pairs(found: DataFrame) -> DataFrame:
     b = F.when(F.col("region").isNull(), F.least("a", "b"))
     return written(found.select(F.greatest("a", "b").alias("a"), b.alias("b"), "region", F.when(F.col("region").isNotNull(), F.col("root")).alias("root")).distinct(), "pairs")
 
 
+def nearest_candidates(nodes: DataFrame, trees: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of neighbours in the sorted orders of the first trees. nodes: node, n, root, labels.
+
+    The rows are dealt out by ranges of label and node, so no run, however large, lies in one task; where a range cuts a
+    run, its parts are compared apart in this order.
+    """
+    order = ["tree", "hi", "lo", "node"]
+    rows = _labelled(nodes, trees).repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
+    return _distinct_pairs(rows.mapInArrow(_nearest_pairs(percent), PAIR))
+
+
+def candidates(nodes: DataFrame, trees: int, region: int = REGION, percent: int = PERCENT, limit: int = FEW) -> DataFrame:
+    """Candidates among nodes of different roots that share a run of LEAST hashes in one of the trees. nodes: node, n, root, labels.
+
+    Rows are pairs (a, b), or members a of a region without b, with their root: regions of more than a few nodes are
+    compared as a whole, as their pairs would be many times their rows. Runs of one root are left out by sums that are
+    made before the shuffle, and runs over region nodes are dealt into chunks, so no task holds a run of any size.
+    """
+    spark, key = nodes.sparkSession, ["tree", "hi"]
+    rows = _labelled(nodes, trees)
+    runs = rows.groupBy(*key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 <> r1")
+    runs = written(runs.select(*key, "size"), "runs")
+    held = written(_joined(rows.drop("lo"), runs, key, "size", limit), "members")
+    small = held.filter(F.col("size") <= region).drop("size").repartition(partitions(spark), *key).sortWithinPartitions(*key, "node")
+    found = small.mapInArrow(_region_pairs(percent), PAIR)
+    wide = held.filter(F.col("size") > region).drop("size")
+    if not wide.isEmpty():  # what isn't of the largest component, in chunks, against all chunks
+        by_root = written(wide.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
+        tops = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
+        placed = _joined(wide, tops, key, "size", limit).withColumn("main", F.col("root") == F.col("top.root"))
+        strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
+        to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+        block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
+        stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
+        regions = F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)
+        found = found.unionByName(placed.select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), F.explode(regions).alias("region"), "root"))
+    return _distinct_pairs(found)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. b may be in many pairs: its set is dealt out to salted keys."""
     salt = F.pmod(F.xxhash64("a"), F.lit(4 * partitions(pairs.sparkSession)))
@@ -350,52 +353,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, limit: int = FEW) -> DataFrame:
     """Connected components by alternating large and small stars: rows (node, root) for every node that isn't its root.
 
-    links has columns a and b. Each step is a sum by node and a join to it; edges are written after each round.
+    links has columns a and b. Each step is a sum by node and a join to it; edges are written after each step.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    total = edges.count()
+
+    def to_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        return rows.join(F.broadcast(least), "u") if n <= limit else join_groups(rows, written(least, "least"), ["u"], "size", n)
+
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v0"), F.count("*").alias("size"))
-        least = written(least.select("u", F.least("u", "v0").alias("m"), "size"), "least")
-        large = join_groups(both, least, ["u"], "size", 2 * edges.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("v0"), F.count("*").alias("size")).select("u", F.least("u", "v0").alias("m"), "size")
+        large = to_least(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u != v").distinct(), "edges")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
-        small = join_groups(large, least, ["u"], "size", large.count())
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        after = written(small.distinct(), "edges")
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = to_least(large, least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        left = after.count()
+        if left == total and after.exceptAll(edges).isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        edges, total = after, left
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, region: int = REGION, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, row: str | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, region: int = REGION, limit: int = FEW, row: str | None = None) -> DataFrame:
     """Components of documents whose sets of word shingles are similar: doc_id, n_shingles, component_id, kept.
 
     A-Z count as a-z. A text of fewer words than a shingle is one shingle; null texts and texts without words have
     none and are linked with nothing. component_id is the smallest doc_id that links reach; kept says that it is the
     document's own. Repeated rows share their component, and each row whose doc_id is the smallest is kept; a null
-    doc_id is the smallest only of a component that has no other. An empty table gives an empty result.
+    doc_id is the smallest only of a component that has no other. An empty table gives an empty result. Whatever else
+    docs holds is left alone, and its names don't matter. Tables of nodes are broadcast up to limit rows.
 
     row names a binary column that tells rows apart and goes into the result; kept then says that the row has the
     smallest (doc_id, row) of its component, so that one row of each stays, and every row that is linked with nothing.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"))
     more = [] if row is None else ["row"]
-    named_rows = rows if row is None else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(row).alias("row"), plain(F.col(text)).alias("text"))
+    own = [F.col(doc_id).cast("long").alias("doc_id")] + [F.col(row).alias("row") for _ in more]
+    texts = docs.select(*own, plain(F.col(text)).alias("text"))
     kinds = "doc_id long, " + "row binary, " * len(more)
-    signed = written(named_rows.mapInPandas(_sign(words, trees), kinds + "n_shingles long, node binary, labels array<long>"), "signed")
+    signed = written(texts.mapInPandas(_sign(words, trees), kinds + "n_shingles long, node binary, labels array<long>"), "signed")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", *more)
     held = signed.filter("node is not null")
-    nodes = written(held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min(place).alias("place")), "nodes")
-    total = nodes.count()
-
-    def labelled(n: int) -> DataFrame:
-        return held.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first(F.slice("labels", 1, 2 * n)).alias("labels"))
+    sums = [F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min(place).alias("place"), F.first("labels").alias("labels")]
+    nodes = written(held.groupBy("node").agg(*sums), "nodes")
 
     def links(found: DataFrame) -> DataFrame:
         """The candidates that are similar. Full sets are made of their texts only, which are read again."""
@@ -403,25 +408,31 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
         wanted = found.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = written(wanted.join(nodes, "node").select(null_safe(F.col("least"))[0].alias("key")).distinct(), "wanted")
         few = wanted.limit(limit + 1).count() <= limit
-        again = rows.withColumn("key", null_safe(F.col("doc_id"))[0]).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+        again = texts.withColumn("key", null_safe(F.col("doc_id"))[0]).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
         sets = again.select("text").mapInPandas(_sets(words), "node binary, shingles array<long>").dropDuplicates(["node"])
         sets = written(sets, "sets")
         blocks = members.select("region", F.col("a").alias("node"), "root").join(sets, "node").repartition(partitions(spark), "region").sortWithinPartitions("region")
         return written(confirm(pairs, sets, percent).unionByName(blocks.mapInArrow(_block_links(percent), "a binary, b binary")).distinct(), "links")
 
     # First each node's nearest candidates in a few trees, which join most groups; then all trees, but no pairs of one component.
-    early = min(EARLY, trees)
-    found = links(candidates(labelled(early).withColumn("root", F.xxhash64("node")), total, early, region, percent, hot_rows, early=True))
-    roots = written(components(found), "roots")
-    rooted = labelled(trees).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    extra = links(candidates(rooted, total, trees, region, percent, hot_rows))
+    bare = nodes.select("node", "n", "labels")
+    found = links(nearest_candidates(bare.withColumn("root", F.xxhash64("node")), min(EARLY, trees), percent))
+    roots = components(found, limit)
+    few = roots.limit(limit + 1).count() <= limit
+    rooted = bare.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    extra = links(candidates(rooted, trees, region, percent, limit))
     if not extra.isEmpty():
-        roots = written(components(found.unionByName(extra)), "roots")
-    known = nodes.select("node", "least", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = written(known, "known")
+        roots = components(found.unionByName(extra), limit)
+    # Nodes that are linked, or are the sets of several rows; each other row is a component of its own.
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    few = grouped.limit(limit + 1).count() <= limit
+    known = nodes.drop("labels").join(F.broadcast(grouped) if few else grouped, "node", "left").filter("size > 1 or root is not null")
+    known = written(known.withColumn("root", F.coalesce("root", "node")), "known")
     tops = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("place").alias("top"), F.count("*").alias("nodes")), "tops")
-    named = written(join_groups(known.drop("place"), tops, ["root"], "nodes", nodes.count()).select("node", "component_id", "top", "size"), "named")
-    rest = signed.filter("node is null").select("doc_id", *more, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    joined = join_groups(signed.filter("node is not null").select("doc_id", *more, "n_shingles", "node"), named, ["node"], "size", signed.count())
+    named = written(_joined(known.drop("place"), tops, ["root"], "nodes", limit).select("node", "component_id", "top", "size"), "named")
+    few = named.limit(limit + 1).count() <= limit
+    rest = signed.drop("labels").join(F.broadcast(named.select("node")) if few else named.select("node"), "node", "left_anti")
+    joined = _joined(held.drop("labels"), named, ["node"], "size", limit)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) if row is None else place.eqNullSafe(F.col("top"))
-    return joined.select("doc_id", *more, "n_shingles", "component_id", kept.alias("kept")).unionByName(rest)
+    out = ["doc_id", *more, "n_shingles"]
+    return joined.select(*out, "component_id", kept.alias("kept")).unionByName(rest.select(*out, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

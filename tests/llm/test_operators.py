@@ -77,8 +77,8 @@ def test_near_copies_equal_brute_force(spark):
         docs[i] = " ".join(words)
     docs |= {150: None, 151: "", 152: "a b", 153: "A  B", 154: "b a"}
     table, want = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), _components(docs)
-    for region, hot_rows in ((64, 100), (4, 10)):  # with and without hot runs and wide ones
-        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(table, region=region, hot_rows=hot_rows).collect()}
+    for region, limit in ((64, 100_000), (4, 0)):  # with and without wide runs, by broadcast and by shuffle
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(table, region=region, limit=limit).collect()}
         assert got == want
 
 
@@ -214,9 +214,9 @@ def test_large_runs_are_compared_in_full(spark):
     rows = [(bytes([i]), 50, i if i > 40 else 0, [7, (i << 48) + rng.randrange(1 << 40)]) for i in range(120)]
     nodes = spark.createDataFrame(rows, "node binary, n long, root long, labels array<long>")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[2] != b[2]}
-    for hot_rows in (1000, 10):
+    for limit in (1000, 0):
         met, regions = set(), {}
-        for r in near_dedup.candidates(nodes, 120, 1, region=8, hot_rows=hot_rows).collect():
+        for r in near_dedup.candidates(nodes, 1, region=8, limit=limit).collect():
             if r["region"] is None:
                 met.add((bytes(r["a"]), bytes(r["b"])))
             else:
