@@ -56,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc = spark.sparkContext
+    if not hasattr(sc, "_popspark_shared"):
+        sc._popspark_shared = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+    return sc._popspark_shared
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

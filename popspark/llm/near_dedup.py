@@ -6,7 +6,8 @@ candidates. In a first pass over a few trees a node is compared with the first n
 neighbour in sorted order, so a run of n near copies costs n comparisons, not n^2; the sorted nodes are dealt out by
 ranges, which cut runs of any size. Links are confirmed on full shingle sets and joined to components. In a second pass
 over all trees runs that hold several components are compared in full: those up to REGION nodes in one task, larger
-ones dealt into chunks, and each chunk with nodes outside the run's largest component is compared with all others.
+ones dealt into chunks, and each chunk with nodes outside the run's largest component is compared with all others. The
+agreement of whole labels tells which of these may be linked, and full sets are compared for them only.
 
 A pair at similarity 0.8 shares no run of LEAST hashes with chance (1 - 0.8^4)^32, about 5e-8, in runs of any size.
 """
@@ -31,8 +32,10 @@ TREES, DEPTH, LEAST = 32, 8, 4
 EARLY = 4
 #: Runs over so many nodes are compared in chunks.
 REGION = 64
-#: Regions up to so many nodes are compared as pairs, larger ones as blocks, so many shared shingles at once.
-PAIRWISE, COLUMNS = 6, 20_000
+#: Regions with up to so many likely pairs for each node are compared as pairs, others as blocks, so many shared shingles at once.
+PAIRS, COLUMNS = 2, 20_000
+#: Points of 100 by which two labels may agree less often than sets must be similar.
+MARGIN = 15
 #: Nodes in a chunk of a large run.
 CHUNK = 256
 #: Words that a task remembers, and letters of a remembered word at most.
@@ -200,21 +203,6 @@ def _batch(pdf: pd.DataFrame, pairs: list[tuple[np.ndarray, np.ndarray]], blocks
     return pa.RecordBatch.from_arrays([both.take(pa.array(at)), b, region, pa.array(pdf["root"].to_numpy()[at])], ["a", "b", "region", "root"])
 
 
-def _split(spans: list[tuple[int, int]], root: np.ndarray, n: np.ndarray, percent: int) -> tuple[list, list]:
-    """Of regions with several components the small ones as pairs of rows, the others as blocks."""
-    pairs, blocks = [], []
-    for f, e in spans:
-        if root[f:e].min() == root[f:e].max():
-            continue
-        if e - f > PAIRWISE:
-            blocks.append(np.arange(f, e))
-            continue
-        i, j = np.triu_indices(e - f, 1)
-        may = (root[f + i] != root[f + j]) & _similar(n[f + i], n[f + j], percent)
-        pairs.append((f + i[may], f + j[may]))
-    return pairs, blocks
-
-
 def _nearest_pairs(percent: int):
     """Of rows sorted by tree, hi and lo each with the first of the longest prefix it shares and with the one before it.
 
@@ -247,14 +235,31 @@ def _nearest_pairs(percent: int):
     return run
 
 
-def _region_pairs(percent: int):
-    """Candidates among rows of whole regions, none of them over the bound of a region."""
+def _plausible(percent: int):
+    """Of whole regions what may be linked by the agreement of labels: as pairs, or as a block if most may be with most."""
 
     def out(pdf: pd.DataFrame) -> pa.RecordBatch:
-        edge = np.append(np.flatnonzero(_starts(pdf, ["tree", "hi"])), len(pdf)).tolist()
-        return _batch(pdf, *_split(list(zip(edge[:-1], edge[1:])), pdf["root"].to_numpy(), pdf["n"].to_numpy(), percent))
+        edge = np.append(np.flatnonzero(_starts(pdf, ["region"])), len(pdf)).tolist()
+        root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
+        hashes = np.stack(pdf["labels"].to_list()).view(np.uint16)
+        least, pairs, blocks = (percent - MARGIN) * hashes.shape[1] / 100, [], []
+        for f, e in zip(edge[:-1], edge[1:]):
+            own, met = hashes[f:e], []
+            for at in range(0, e - f, 16):
+                agree = (own[at : at + 16, None, :] == own[None, :, :]).sum(axis=2)
+                i, j = np.nonzero(agree >= least)
+                met.append(np.c_[i + at, j])
+            i, j = np.concatenate(met).T + f
+            may = (i < j) & (root[i] != root[j]) & _similar(n[i], n[j], percent)
+            i, j = i[may], j[may]
+            members = np.union1d(i, j)
+            if len(i) > PAIRS * len(members):
+                blocks.append(members)
+            else:
+                pairs.append((i, j))
+        return _batch(pdf, pairs, blocks)
 
-    return _by_run(["tree", "hi"], out)
+    return _by_run(["region"], out)
 
 
 def _block_links(percent: int):
@@ -314,41 +319,58 @@ def nearest_candidates(nodes: DataFrame, trees: int, percent: int = PERCENT) ->
     return _distinct_pairs(rows.mapInArrow(_nearest_pairs(percent), PAIR))
 
 
-def candidates(nodes: DataFrame, trees: int, region: int = REGION, percent: int = PERCENT, limit: int = FEW) -> DataFrame:
-    """Candidates among nodes of different roots that share a run of LEAST hashes in one of the trees. nodes: node, n, root, labels.
+def candidates(nodes: DataFrame, trees: int, region: int = REGION, limit: int = FEW) -> DataFrame:
+    """Regions of nodes that share a run of LEAST hashes in one of the trees. nodes: node, n, root, labels.
 
-    Rows are pairs (a, b), or members a of a region without b, with their root: regions of more than a few nodes are
-    compared as a whole, as their pairs would be many times their rows. Runs of one root are left out by sums that are
-    made before the shuffle, and runs over region nodes are dealt into chunks, so no task holds a run of any size.
+    Rows are members of regions: region, node, n, root; any two nodes of different roots that share a run are in a
+    region together. Runs of one root are left out by sums that are made before the shuffle, and runs over region nodes
+    are dealt into chunks, so no task holds a run of any size.
     """
-    spark, key = nodes.sparkSession, ["tree", "hi"]
-    rows = _labelled(nodes, trees)
+    key = ["tree", "hi"]
+    rows = _labelled(nodes, trees).drop("lo")
     runs = rows.groupBy(*key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 <> r1")
     runs = written(runs.select(*key, "size"), "runs")
-    held = written(_joined(rows.drop("lo"), runs, key, "size", limit), "members")
-    small = held.filter(F.col("size") <= region).drop("size").repartition(partitions(spark), *key).sortWithinPartitions(*key, "node")
-    found = small.mapInArrow(_region_pairs(percent), PAIR)
+    held = written(_joined(rows, runs, key, "size", limit), "members")
+    found = held.filter(F.col("size") <= region).select(F.xxhash64(*key).alias("region"), "node", "n", "root")
     wide = held.filter(F.col("size") > region).drop("size")
-    if not wide.isEmpty():  # what isn't of the largest component, in chunks, against all chunks
-        by_root = written(wide.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
-        tops = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
-        placed = _joined(wide, tops, key, "size", limit).withColumn("main", F.col("root") == F.col("top.root"))
-        strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
-        own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
-        to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
-        block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
-        stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
-        regions = F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)
-        found = found.unionByName(placed.select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), F.explode(regions).alias("region"), "root"))
-    return _distinct_pairs(found)
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. b may be in many pairs: its set is dealt out to salted keys."""
+    if wide.isEmpty():
+        return found
+    # What isn't of the largest component, in chunks, against all chunks.
+    by_root = written(wide.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
+    tops = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
+    placed = _joined(wide, tops, key, "size", limit).withColumn("main", F.col("root") == F.col("top.root"))
+    strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
+    stray_blocks = F.concat(to(strays, lambda j: block("s", F.least(own, j), F.greatest(own, j))), to(mains, lambda j: block("m", own, j)))
+    regions = F.when(F.col("main"), to(strays, lambda j: block("m", j, own))).otherwise(stray_blocks)
+    return found.unionByName(placed.select(F.explode(regions).alias("region"), "node", "n", "root"))
+
+
+def plausible(regions: DataFrame, nodes: DataFrame, percent: int = PERCENT, limit: int = FEW) -> DataFrame:
+    """Of regions the pairs (a, b) whose labels agree often enough, or members a of a smaller region without b.
+
+    Labels of 256 hashes take a sixteenth of the room of full sets. A pair at the threshold agrees on MARGIN points
+    less with chance 1e-9, so next to none is lost here.
+    """
+    wanted = written(regions.select("node").distinct(), "wanted")
+    few = wanted.limit(limit + 1).count() <= limit
+    labels = nodes.select("node", "labels").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    rows = regions.join(labels, "node").repartition(partitions(nodes.sparkSession), "region").sortWithinPartitions("region")
+    return _distinct_pairs(rows.mapInArrow(_plausible(percent), PAIR))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, limit: int = FEW) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. b may be in many pairs: its set is dealt out to salted keys.
+
+    Up to limit pairs are broadcast to the sets, which are larger.
+    """
     salt = F.pmod(F.xxhash64("a"), F.lit(4 * partitions(pairs.sparkSession)))
     pairs = pairs.withColumn("salt", salt)
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    right = pairs.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    sent = F.broadcast if pairs.limit(limit + 1).count() <= limit else lambda df: df
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(sent(pairs), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(sent(pairs.select("b", "salt").distinct()), "b")
     both = left.join(right, ["b", "salt"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
@@ -412,7 +434,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
         sets = again.select("text").mapInPandas(_sets(words), "node binary, shingles array<long>").dropDuplicates(["node"])
         sets = written(sets, "sets")
         blocks = members.select("region", F.col("a").alias("node"), "root").join(sets, "node").repartition(partitions(spark), "region").sortWithinPartitions("region")
-        return written(confirm(pairs, sets, percent).unionByName(blocks.mapInArrow(_block_links(percent), "a binary, b binary")).distinct(), "links")
+        return written(confirm(pairs, sets, percent, limit).unionByName(blocks.mapInArrow(_block_links(percent), "a binary, b binary")).distinct(), "links")
 
     # First each node's nearest candidates in a few trees, which join most groups; then all trees, but no pairs of one component.
     bare = nodes.select("node", "n", "labels")
@@ -420,7 +442,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     roots = components(found, limit)
     few = roots.limit(limit + 1).count() <= limit
     rooted = bare.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    extra = links(candidates(rooted, trees, region, percent, limit))
+    extra = links(plausible(candidates(rooted, trees, region, limit), nodes, percent, limit))
     if not extra.isEmpty():
         roots = components(found.unionByName(extra), limit)
     # Nodes that are linked, or are the sets of several rows; each other row is a component of its own.
