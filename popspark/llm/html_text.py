@@ -2,8 +2,9 @@
 
 A page becomes blocks of text, without what its structure marks as menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts and styles. Runs of RUN tokens or more that recur on PAGES distinct pages of a host are
-boilerplate, whatever the host's size: the token streams of a small host's pages are concatenated and their suffixes
-sorted, and the runs of a large host are hashed and their pages counted. Such runs are removed and unique ones kept.
+boilerplate, whatever the host's size: the token streams of a host's pages are concatenated into a suffix array, whose
+common prefixes give the long substrings of several pages. A host that is too large for one task has its suffixes dealt
+out by hashes of their first RUN tokens, and the pages of each counted. Such runs are removed and unique ones kept.
 Inside an explicit article they go as whole blocks at its edges, unless they are most of it: then the article is a copy.
 What is outside an article is left out only where the article is the larger part of the page's unique text.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import BROADCAST_ROWS, join_groups, ship, written
+from popspark.llm.common import BROADCAST_ROWS, join_groups, partitions, ship, written
 from popspark.llm.near_dedup import Shingles
 from popspark.llm.url_filter import address
 
@@ -29,8 +31,10 @@ RUN = 8
 PAGES = 3
 #: Tokens of the short runs by which long ones are first sought on large hosts.
 SHORT = 4
-#: Hosts up to so many pages are compared in one task, by their suffixes.
-PART = 256
+#: Hosts up to so many characters of html are compared in one task, by their suffix array.
+PART = 8_000_000
+#: Characters of html for each partition of hosts.
+DEALT = 16_000_000
 #: A page that would lose this share of all blocks is a copy, not boilerplate.
 COPY = 0.9
 #: Repeated blocks at an article's edges go below this share of it, and outside text counts if the article is below this share of both.
@@ -38,26 +42,38 @@ MINOR = 0.5
 #: A block outside an article goes if this share of it is links.
 LINKS = 0.5
 
-RAW = "script style noscript template svg math iframe object canvas textarea select title".split()
+RAW = "script style noscript template svg iframe object canvas textarea select title".split()
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button".split())
 DROP = set("nav aside footer form menu dialog button head".split())
 MAIN = {"article", "main"}
-#: Words in a class or id that mark what isn't the article.
+#: Names of a class or id that mark what isn't the article: whole ones, or as the last part of a name.
 MARKS = set("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination popup promo promos promoted related respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Whole names that mark containers inside an article; all else there is judged by what the host repeats.
+INNER = set("ad ads advert adverts advertisement breadcrumb breadcrumbs comments comment-list menu nav navbar sidebar".split())
+#: Elements that hold text of their own, which no name inside an article marks.
+TEXT = set("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption span b i em strong a".split())
 #: Roles that do.
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
+# What a tag's text takes in is never given back, and an open quote is read as text, so each pattern ends in linear time.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_SPLIT = re.compile(r"[-_]+")
 _INLINE_CLOSE = {"p"}
 
 
+def _named(tag: str, value: str, inside: bool) -> bool:
+    names = value.split()
+    if inside:
+        return tag not in TEXT and not INNER.isdisjoint(names)
+    return any(n in MARKS or _SPLIT.split(n)[-1] in MARKS for n in names)
+
+
 def _unwanted(tag: str, rest: str, inside: bool) -> bool:
     if tag in DROP or tag == "header" and not inside:
         return True
@@ -69,7 +85,7 @@ def _unwanted(tag: str, rest: str, inside: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(_SPLIT.split(value)) and not (inside and value in ("header", "entry-header", "post-header", "article-header")):
+        if name in ("class", "id") and _named(tag, value, inside):
             return True
     return False
 
@@ -78,6 +94,7 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
     """The page's blocks of text that structure doesn't rule out: (text, in an article, share of links)."""
     out: list[tuple[str, bool, float]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, unwanted, article
+    opened: Counter = Counter()  # how many of each tag are open
     text: list[str] = []
     dropped = inside = links = linked = 0
 
@@ -92,7 +109,8 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
 
     def pop() -> None:
         nonlocal dropped, inside
-        _, bad, main = stack.pop()
+        tag, bad, main = stack.pop()
+        opened[tag] -= 1
         dropped -= bad
         inside -= main
 
@@ -103,17 +121,17 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
             text.append(piece)
             linked += len(piece) * (links > 0)
         at = m.end()
-        tag = m["tag"]
+        tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
+        tag, rest = tag.lower(), m["rest"] or m["rest2"] or ""
+        if m["end"] or m["end2"]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK:
                 if not dropped:
                     close()
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -129,20 +147,21 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
             links = 0
             while stack and stack[-1][0] in _INLINE_CLOSE:  # a new block ends a paragraph
                 pop()
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
-        if tag in MAIN and dropped and not any(s[2] for s in stack):  # an article ends what was left open before it
+        if tag in MAIN and dropped and not inside:  # an article ends what was left open before it
             while stack and dropped:
                 pop()
         if tag == "body":
             while stack and dropped:
                 pop()
-        bad = _unwanted(tag, m["rest"], inside > 0)
+        bad = _unwanted(tag, rest, inside > 0)
         if bad and not dropped:
             close()
         if bad or tag in BLOCK:
             main = tag in MAIN and not dropped
             stack.append((tag, bad, main))
+            opened[tag] += 1
             dropped += bad
             inside += main
     if at < len(page) and not dropped:
@@ -152,11 +171,46 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
     return out
 
 
+def suffix_array(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of an array of numbers in order, and the length of the prefix that each shares with the one before it.
+
+    Suffixes are ordered by their first 1, 2, 4, ... numbers; only those that still tie are ordered again. The ranks of
+    each step tell afterwards how far two suffixes agree.
+    """
+    n = len(whole)
+    names, rank = np.unique(whole, return_inverse=True)
+    rank = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(names)))])[:-1][rank].astype(np.int64)  # places of the first of each group
+    order, step, ranks = np.argsort(rank, kind="stable"), 1, [rank]
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(open_) and step < n:
+        ahead = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        key = rank[open_] * (n + 1) + ahead
+        sort = np.argsort(key, kind="stable")
+        key, at, old = key[sort], open_[sort], rank[open_[sort]]
+        idx = np.arange(len(at))
+        starts = lambda x: np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]], idx, 0))
+        place = idx - starts(old) + old
+        order[place] = at
+        rank = rank.copy()
+        rank[at] = place[starts(key)]
+        ranks.append(rank)
+        open_ = np.sort(at[np.bincount(rank[at], minlength=n)[rank[at]] > 1])
+        step *= 2
+    shared = np.zeros(n, np.int64)
+    i, j = order[:-1].copy(), order[1:].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        same = (np.maximum(i, j) < n) & (ranks[k][np.minimum(i, n - 1)] == ranks[k][np.minimum(j, n - 1)])
+        same &= np.maximum(i, j) + (1 << k) <= n
+        shared[1:] += same * (1 << k)
+        i, j = i + same * (1 << k), j + same * (1 << k)
+    return order, shared
+
+
 def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each stream which tokens lie in a run of that many tokens that so many distinct streams hold.
+    """For each stream which tokens lie in a substring of run tokens or more that so many distinct streams hold.
 
-    The streams are concatenated with a different separator each, and their suffixes ranked by prefix doubling up to
-    the run's length; suffixes of equal rank share a run.
+    The streams are concatenated with a different separator each. In the suffix array's order suffixes that share run
+    tokens or more adjoin, and the distinct streams of each such stretch are counted.
     """
     lengths = np.array([len(s) for s in streams], np.int64)
     if not lengths.sum():
@@ -164,21 +218,16 @@ def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> li
     top = max((max(s) for s in streams if s), default=0) + 1
     whole = np.concatenate([np.array([*s, top + i], np.int64) for i, s in enumerate(streams)])
     page = np.repeat(np.arange(len(streams)), lengths + 1)
-    rank, done = np.unique(whole, return_inverse=True)[1].astype(np.int64), 1
-    while done < run:
-        step = min(done, run - done)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        done += step
-    seen = np.unique(rank * len(streams) + page) // len(streams)
-    often = np.bincount(seen, minlength=int(rank.max()) + 1)[rank] >= pages
-    edge = np.zeros(len(rank) + run + 1, np.int64)
-    start = np.flatnonzero(often)
+    order, shared = suffix_array(whole)
+    stretch = np.cumsum(shared < run) - 1
+    seen = np.unique(stretch * len(streams) + page[order]) // len(streams)
+    start = order[np.bincount(seen, minlength=int(stretch[-1]) + 1)[stretch] >= pages]
+    ends = np.cumsum(lengths + 1)
+    start = start[start + run < ends[page[start]]]
+    edge = np.zeros(len(whole) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + run, -1)
-    covered = np.cumsum(edge)[: len(rank)] > 0
-    ends = np.cumsum(lengths + 1)
+    covered = np.cumsum(edge)[: len(whole)] > 0
     return [covered[e - n - 1 : e - 1] for e, n in zip(ends, lengths)]
 
 
@@ -248,16 +297,24 @@ class Runs:
     """
 
     def __init__(self) -> None:
-        self.long, self.short = Shingles(RUN), Shingles(SHORT)
+        self.all, self.few = Shingles(RUN), Shingles(SHORT)
 
-    def of(self, host: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _of(self, shingles: Shingles, host: str, tokens: list[str]) -> np.ndarray:
         import xxhash
 
+        return shingles.runs(tokens) ^ np.uint64(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")))
+
+    def long(self, host: str, tokens: list[str]) -> np.ndarray:
+        return self._of(self.all, host, tokens).view(np.int64) if len(tokens) >= RUN else np.zeros(0, np.int64)
+
+    def least(self, host: str, tokens: list[str]) -> np.ndarray:
         if len(tokens) < RUN:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seed = np.uint64(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")))
-        runs, short = (x.runs(tokens) ^ seed for x in (self.long, self.short))
-        return runs.view(np.int64), np.lib.stride_tricks.sliding_window_view(short, RUN - SHORT + 1).min(axis=1).view(np.int64)
+            return np.zeros(0, np.int64)
+        short = self._of(self.few, host, tokens)
+        n, low = len(tokens) - RUN + 1, short
+        for i in range(1, RUN - SHORT + 1):
+            low = np.minimum(low[: len(low)], np.append(short[i:], np.full(i, np.uint64(2**64 - 1))))
+        return low[:n].view(np.int64)
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -273,8 +330,12 @@ def _hashes(least: bool, known):
         for pdf in batches:
             found = [np.zeros(0, np.int64)]
             for host, texts in zip(pdf["host"], pdf["texts"]):
-                long, short = runs.of(host, " ".join(texts).split(" "))
-                found.append(np.unique(short if least else long if known is None else long[_among(short, known.value)]))
+                tokens = " ".join(texts).split(" ")
+                if least:
+                    found.append(np.unique(runs.least(host, tokens)))
+                else:
+                    at = None if known is None else _among(runs.least(host, tokens), known.value)
+                    found.append(np.unique(runs.long(host, tokens)[at] if at is not None else runs.long(host, tokens)) if at is None or at.any() else found[0])
             whole = np.concatenate(found)
             bucket = (whole.view(np.uint64) >> np.uint64(54)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -292,7 +353,7 @@ def _often(pdf: pd.DataFrame) -> pd.DataFrame:
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     runs = Runs()
     for pdf in batches:
-        found = [runs.of(host, " ".join(texts).split(" "))[0] for host, texts in zip(pdf["host"], pdf["texts"])]
+        found = [runs.long(host, " ".join(texts).split(" ")) for host, texts in zip(pdf["host"], pdf["texts"])]
         at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in found]]).astype(np.int32)
         yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), list(map(len, found))), "at": at, "run": np.concatenate([np.zeros(0, np.int64), *found])})
 
@@ -307,7 +368,7 @@ def _main_of_large(known):
             for host, texts, inside, links, at in zip(pdf["host"], pdf["texts"], pdf["inside"], pdf["links"], pdf["at"]):
                 tokens = [t.split(" ") for t in texts]
                 if known is not None:
-                    at = np.flatnonzero(_among(runs.of(host, [w for t in tokens for w in t])[0], known.value))
+                    at = np.flatnonzero(_among(runs.long(host, [w for t in tokens for w in t]), known.value))
                 edge = np.zeros(sum(map(len, tokens)) + 1, np.int64)
                 if at is not None:
                     np.add.at(edge, np.asarray(at, np.int64), 1)
@@ -352,21 +413,25 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     Blocks come in page order, joined by a line end. A null or empty html, or one without an article or other text,
     gives an empty text. Pages with a null url form a host of their own. Repeated rows each give their text; copies of
-    a page count as one page where repeats are sought. An empty table gives an empty result.
+    a page count as one page where repeats are sought. An empty table gives an empty result. A page of any length is
+    read in time that grows with its length; hosts of over part characters are compared by hashes of their suffixes.
+    Whatever else pages holds is left alone, and its names don't matter.
     """
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     host = F.coalesce(address(F.coalesce(F.col(url), F.lit("")))["host"], F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    sizes = written(rows.groupBy("host").agg(F.count("*").alias("size")), "hosts")
-    large = sizes.filter(F.col("size") > part)
+    sizes = written(rows.groupBy("host").agg(F.count("*").alias("size"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars")), "hosts")
+    large = sizes.filter(F.col("chars") > part).select("host", "size", F.lit(True).alias("large"))
     if large.limit(limit + 1).count() <= limit:
         dealt = rows.join(F.broadcast(large), "host", "left")
     else:
-        dealt = join_groups(rows, sizes, ["host"], "size", rows.count())
-    kind = rows.schema["page_id"].dataType.simpleString()
+        dealt = join_groups(rows, sizes.select("host", "size", (F.col("chars") > part).alias("large")), ["host"], "size", rows.count())
+    is_large, kind = F.coalesce("large", F.lit(False)), rows.schema["page_id"].dataType.simpleString()
     parse = lambda some: some.select("page_id", "url", "html", "host").mapInPandas(_parse, f"page_id {kind}, url string, host string, texts array<string>, inside array<boolean>, links array<double>")
-    size = F.coalesce("size", F.lit(1))
-    out = parse(dealt.filter(size <= part)).groupBy("host").applyInPandas(_main, f"page_id {kind}, url string, text string")
+    chars = sizes.filter(F.col("chars") <= part).agg(F.sum("chars")).first()[0] or 0
+    small = parse(dealt.filter(~is_large)).repartition(max(partitions(spark), chars // DEALT), "host")
+    out = small.groupBy("host").applyInPandas(_main, f"page_id {kind}, url string, text string")
     if not large.isEmpty():
-        out = out.unionByName(_large_hosts(parse(dealt.filter(size > part)), kind, limit))
+        out = out.unionByName(_large_hosts(parse(dealt.filter(is_large)), kind, limit))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

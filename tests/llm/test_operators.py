@@ -229,7 +229,7 @@ def test_runs_are_sought_over_the_whole_host(spark):
     rows += [(700, "http://big/", rows[1][2]), (701, "http://big/", rows[1][2])]  # copies of a page are one page
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {i: own[i] + (f"\nmark{i}" if i % 150 == 0 or i > 630 else "") for i in range(640)} | {700: own[1], 701: own[1]}
-    for part, limit in ((256, 1000), (256, 0), (10_000, 1000)):
+    for part, limit in ((50_000, 1000), (50_000, 0), (1_000_000, 1000)):  # the large host by hashes or by its suffix array
         got = {r["page_id"]: r["text"] for r in html_text.main_text(table, part=part, limit=limit).collect()}
         assert got == want
 
@@ -244,3 +244,49 @@ def test_runs_decide_at_the_edges_of_articles():
     teaser, body = own(5), own(80)
     pages += [[(teaser, True, 0.0), (body, False, 0.0), (notice, False, 0.0), (own(9), False, 0.9)], [(long[0], True, 0.0), (own(10), False, 0.0)]]
     assert html_text.prune(pages) == [*long, *["\n".join(copied)] * 3, f"{teaser}\n{body}", long[0]]
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(8)
+    for size in [*range(21), 40, 80]:
+        for _ in range(12):
+            streams = [[rng.randrange(3) for _ in range(rng.randrange(size + 1))] for _ in range(rng.randrange(1, 7))]
+            run, pages = rng.randrange(1, 9), rng.randrange(1, 4)
+            want = [np.zeros(len(s), bool) for s in streams]
+            for s, w in zip(streams, want):
+                for i in range(len(s) - run + 1):
+                    held = sum(any(t[j : j + run] == s[i : i + run] for j in range(len(t) - run + 1)) for t in streams)
+                    w[i : i + run] |= held >= pages
+            got = html_text.repeated(streams, run, pages)
+            assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_suffix_array_equals_sorting():
+    rng = random.Random(9)
+    for n in [*range(1, 30), 200]:
+        x = [rng.randrange(2) for _ in range(n)]
+        order, shared = html_text.suffix_array(np.array(x))
+        assert order.tolist() == sorted(range(n), key=lambda i: x[i:])
+        for k in range(1, n):
+            a, b = x[order[k - 1] :], x[order[k] :]
+            assert shared[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+
+
+def test_names_inside_articles_take_nothing(spark):
+    inner = ['<p data-id="nav">one two</p>', '<p data-hidden="false">three</p>', '<div class="share-price">four</div>', '<p class="notice">five</p>', "<math>x</math>"]
+    pages = [(i, f"http://h{i}/", f"<body><div class='site-footer'>no</div><article>{x}</article><div hidden>no</div></body>") for i, x in enumerate(inner)]
+    pages += [(9, "http://one.page/", "<p>Not Found</p>"), (10, None, "<p>a</p>"), (10, None, "<p>a</p>"), (11, "http://h/", "")]
+    table = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(table).collect()]
+    want = [(0, "one two"), (1, "three"), (2, "four"), (3, "five"), (4, "x"), (9, "Not Found"), (10, "a"), (10, "a"), (11, "")]
+    assert sorted(got) == [(i, t, len(t)) for i, t in want]
+    assert html_text.main_text(table.filter("false")).collect() == []
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ('<a "' * 40_000, "<div>" * 30_000 + "</p>" * 30_000, "<![CDATA[" * 20_000, "<script x" * 20_000, "<p " + "a " * 100_000, "<!--" * 40_000):
+        html_text.blocks(page)
+    assert time.process_time() - began < 10
