@@ -24,10 +24,10 @@ def address(url: Column) -> Column:
     return F.struct(F.rtrim(host, F.lit(".")).alias("host"), F.rtrim(F.regexp_extract(bare, r"^[^/]*(/.*)?$", 1), F.lit("/")).alias("path"))
 
 
-def patterns(host: Column, path: Column) -> Column:
-    """All patterns that cover an address, the most specific first: path after path, then host after host."""
-    steps = F.split(path, "/")
-    paths = F.transform(F.sequence(F.size(steps), F.lit(2), F.lit(-1)), lambda n: F.concat(host, F.array_join(F.slice(steps, 1, n), "/")))
+def patterns(host: Column, path: Column, deepest: int) -> Column:
+    """The patterns that cover an address, the most specific first: path after path, none of more steps than deepest, then host after host."""
+    steps = F.split(path, "/", deepest + 1)
+    paths = F.transform(F.sequence(F.least(F.size(steps), F.lit(max(2, deepest))), F.lit(2), F.lit(-1)), lambda n: F.concat(host, F.array_join(F.slice(steps, 1, n), "/")))
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
     return F.array_distinct(F.when(F.size(steps) > 1, F.concat(paths, hosts)).otherwise(hosts))
@@ -56,7 +56,8 @@ def evaluate(captures: DataFrame, log: DataFrame, capture_id: str = "page_id", u
     rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "capture", "a.host", "a.path", "fetched"), "captures")
     entries = intervals(log).groupBy("pattern").agg(F.collect_list(F.struct("category", "since", "until")).alias("entries"))
     entries = written(entries, "entries")
-    each = rows.filter("fetched is not null and host != ''").select("row", "fetched", F.posexplode(patterns(F.col("host"), F.col("path"))).alias("rank", "pattern"))
+    deepest = entries.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
+    each = rows.filter("fetched is not null and host != ''").select("row", "fetched", F.posexplode(patterns(F.col("host"), F.col("path"), deepest)).alias("rank", "pattern"))
     if entries.limit(limit + 1).count() <= limit:
         met = each.join(F.broadcast(entries), "pattern")
     else:  # a long list: the shuffle splits patterns that many captures share
