@@ -24,8 +24,9 @@ TRAIN_DOCS = 12_000
 WORDS, GRAMS = 150_000, 150_000
 LONGEST = 5
 SMOOTH = 0.1
-REMEMBERED = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that a task remembers besides those of the model; longer ones than LONG letters are read in pieces of that length.
+REMEMBERED, LONG = 100_000, 64
+_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONG)
 
 
 def pieces(word: str, n: int) -> list[str]:
@@ -59,7 +60,7 @@ class Model:
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
         """The language and its score of each text in lower case."""
-        if len(self.known) > REMEMBERED or not self.known:
+        if len(self.known) > len(self.words) + REMEMBERED or not self.known:
             self.known, self.logs = dict(self.words), self.word_logs
         found = [_LETTERS.findall(t) if t else [] for t in texts]
         known = self.known
@@ -85,7 +86,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, words: int = WORDS, grams
     """A model from rows (doc_id, text, lang) with a language, at most so many. Only the model's counts come to the driver."""
     ids = bounded_sample(labelled.select("doc_id", "lang"), "doc_id", most).select("doc_id")
     sample = labelled.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
+    each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,%d}" % LONG), F.lit(0))).alias("key"))
     counts = each.groupBy("lang", "key").agg(F.count("*").alias("n")).cache()
     try:
         totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).toPandas().set_index("lang")["n"]
