@@ -14,62 +14,84 @@ from popspark.llm.common import null_safe, shared_dir, ship, table, without, wri
 WORDS = 5
 
 
-def _row_key() -> Column:
-    """A digest of doc_id and text: rows that share it are the same document."""
-    return F.unhex(F.md5(F.concat(null_safe(F.col("doc_id"))[0], F.lit(" "), F.coalesce("text", F.lit("")))))
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _row_key(docs: DataFrame, *more: str) -> Column:
+    """A digest of doc_id, text and further columns: rows that share it count as the same document."""
+    ids = null_safe(F.col("doc_id"), *map(F.col, more))
+    return F.unhex(F.md5(F.concat_ws("\n", *ids, F.coalesce("text", F.lit("")))))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents that operator 9 predicts to be toxic; it learns from the labels of documents given."""
+    """Leave out documents that operator 9 predicts to be toxic; it learns from the labels of documents given.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty table gives an empty one.
+    """
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.chance(model)(F.col("text")) < toxicity.CUT)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents of equal text keep the one that operator 2 keeps."""
-    found = exact_dedup.exact_dedup(docs)
-    dropped = written(found.filter("not kept").select("doc_id"), "dropped")
-    kept = written(found.filter("kept").select("doc_id").join(dropped, "doc_id", "left_semi").distinct(), "both")
-    # An id may stand on several rows, some kept and some not; such ids keep one row for each text.
-    only = dropped.join(kept, "doc_id", "left_anti").filter("doc_id is not null").distinct()
-    rest = without(docs, only, "doc_id")
-    if kept.isEmpty():
-        return rest
-    twice = docs.join(F.broadcast(kept) if kept.limit(100_001).count() <= 100_000 else kept, "doc_id", "left_semi")
-    names = docs.columns
-    single = twice.withColumn("_norm", exact_dedup.normalised(F.col("text"))).dropDuplicates(["_norm"]).select(*names)
-    return without(rest, kept, "doc_id").unionByName(single)
+    """Of documents of equal text keep the one that operator 2 keeps.
+
+    Null texts count as empty, and of all empty ones one row stays. An id, null or not, may stand on several rows:
+    of rows that share id and text one stays, and rows of other texts under the id of a copy are left alone.
+    """
+    row = _fresh(docs, "row_key")
+    keyed = docs.withColumn(row, _row_key(docs))
+    found = exact_dedup.exact_dedup(keyed, row=row).select(F.col("row").alias(row), "kept", F.lit(True).alias("once"))
+    return _one_of_each(docs, keyed, row, found)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component that operator 8 finds keep one document."""
-    names, keyed = docs.columns, docs.withColumn("_row", _row_key())
-    found = written(near_dedup.near_dedup(keyed, words=WORDS, row="_row").select("row", "n_shingles", "kept").withColumnRenamed("row", "_row"), "found")
-    rest = without(keyed, found.filter("not kept").select("_row").distinct(), "_row")
-    # A document that stands on several rows keeps the first of them. Such are looked for first, so texts move only if there are any.
-    repeated = written(found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
-    if repeated.isEmpty():
-        return rest.select(*names)
-    whole = F.struct(*names)
-    some = rest.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min_by(whole, F.to_json(whole)).alias("first")).select("first.*")
-    return without(rest, repeated, "_row").select(*names).unionByName(some)
+    """Of each component that operator 8 finds in shingles of five words keep one document, that of the smallest doc_id.
+
+    Null texts and texts without words are linked with nothing and all stay. An id, null or not, may stand on several
+    rows: of rows that share id and text one stays, and rows of other texts under the id of a copy are left alone.
+    """
+    row = _fresh(docs, "row_key")
+    keyed = docs.withColumn(row, _row_key(docs))
+    found = near_dedup.near_dedup(keyed, words=WORDS, row=row).select(F.col("row").alias(row), "kept", (F.col("n_shingles") > 0).alias("once"))
+    return _one_of_each(docs, keyed, row, found)
+
+
+def _one_of_each(docs: DataFrame, keyed: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """The rows whose key is kept; of several rows of a key that counts once the first one."""
+    keys = written(found.groupBy(row).agg(F.max("kept").alias("kept"), F.max("once").alias("once"), F.count("*").alias("size")), "keys")
+    rest = without(keyed, keys.filter("not kept").select(row), row)
+    repeated = keys.filter("kept and once and size > 1").select(row)
+    if repeated.isEmpty():  # so texts move only if there are any
+        return rest.select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    some = rest.join(repeated, row, "left_semi").groupBy(row).agg(F.min_by(whole, F.to_json(whole)).alias("first")).select("first.*")
+    return without(rest, repeated, row).select(*docs.columns).unionByName(some)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as operator 5 takes it."""
-    taken = mixing.mix(docs).select("doc_id", "repeats")
-    names = docs.columns
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    taken = taken.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "repeats").filter("repeats > 0").groupBy("_key").agg(F.max("repeats").alias("_repeats"))
+    """Each document as often as operator 5 takes it; its order goes by a digest of doc_id, text and source.
+
+    Documents without words are taken as often as their source's whole repeats. Rows that are alike in all three are
+    each taken as often as the one of them that is taken most. An empty table gives an empty one.
+    """
+    row, times = _fresh(docs, "row_key"), _fresh(docs, "times")
+    keyed = docs.withColumn(row, F.hex(_row_key(docs, "source")))
+    taken = mixing.mix(keyed, doc_id=row).filter("repeats > 0").groupBy(F.col("doc_id").alias(row)).agg(F.max("repeats").alias(times))
     taken = written(taken, "taken")
     few = taken.limit(1_000_001).count() <= 1_000_000
-    joined = rows.join(F.broadcast(taken) if few else taken, "_key")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*names)
+    joined = keyed.join(F.broadcast(taken) if few else taken, row)
+    copies = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(_fresh(docs, "copy"))
+    return joined.select(*docs.columns, copies).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences, by operator 7."""
+    """The pieces of all documents in sequences, by operator 7. Null and empty texts are a piece of one token."""
     return packing.pack(docs)
 
 
@@ -81,7 +103,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores, signatures and tokens can't be expressed in SQL; tests hold run() against a plain version.
+#: Learned scores, signatures and tokens can't be expressed in SQL; a test holds run() against a plain version row for row.
 ORACLE_SQL = None
 
 
