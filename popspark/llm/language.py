@@ -96,7 +96,8 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, words: int = WORDS, grams
         known = counts.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("all > 1")
         known = known.orderBy(F.desc("all"), "key").limit(words).select("key", F.explode("by").alias("x")).select("key", "x.*").toPandas()
         marked = F.concat(F.lit("^"), "key", F.lit("$"))
-        cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST + 1)]
+        starts = lambda n: F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(F.array().cast("array<int>"))
+        cut = [F.transform(starts(n), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST + 1)]
         shown = counts.select("lang", "n", F.explode(F.concat(*cut)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
         shown = shown.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("all > 1")
         shown = shown.orderBy(F.desc("all"), "key").limit(grams).select("key", F.explode("by").alias("x")).select("key", "x.*").toPandas()
