@@ -131,21 +131,25 @@ def fingerprints(texts: DataFrame, primes: tuple = PRIMES, chunk: int = CHUNK, l
     return both.select(*[c for c in both.columns if c != "fp"], "fp.*")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes: tuple = PRIMES, chunk: int = CHUNK, limit: int = BROADCAST_ROWS, long: int = LONG) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes: tuple = PRIMES, chunk: int = CHUNK, limit: int = BROADCAST_ROWS, long: int = LONG, row: str | None = None) -> DataFrame:
     """Groups of documents whose texts are equal after deleting white space.
 
     Returns a row for each row of docs, whatever else docs holds: doc_id, keep_id, group_size, kept, text_sha256 and
     n_chars. The row with the most code points in its original text stays, then that of the smallest doc_id (null
     last), then any one of repeated rows. Null texts and texts of white space only are equal to the empty text.
     Texts of any length are taken whole. An empty table gives an empty result.
+
+    row names a binary column that tells rows apart and goes into the result; of ties the smallest row stays, and all
+    rows that share it.
     """
     spark = docs.sparkSession
     ship(spark)
     key, fp = ["n", "h1", "h2", "same"], ["n", "h1", "h2"]
     raw = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.length(raw).cast("long").alias("n_chars"), normalised(F.col(text)).alias("norm"))
+    more = [] if row is None else ["row"]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.length(raw).cast("long").alias("n_chars"), normalised(F.col(text)).alias("norm"), *[F.col(row).alias("row") for _ in more])
     found = fingerprints(base.withColumn("text_sha256", F.sha2("norm", 256)), primes, chunk, long, limit)
-    rows = written(found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    rows = written(found if more else found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     sizes = written(rows.groupBy(*fp).agg(F.count("*").alias("rows")).filter("rows > 1"), "repeated")
     # Equal fingerprints: every chunk must be the same in all texts of the group, which the smallest and the largest tell.
     few = sizes.limit(limit + 1).count() <= limit
@@ -164,4 +168,4 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pri
     first = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     groups = written(rows.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(first).alias("first")), "groups")
     joined = join_groups(rows, groups, key, "group_size", rows.count())
-    return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_chars")
+    return joined.select("doc_id", *more, F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_chars")

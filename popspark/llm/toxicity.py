@@ -37,7 +37,7 @@ RELATIVE = 0.15
 #: Words of clean texts that the machine is fitted on, at most.
 GOOD = 6_000
 CUT = 0.3
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Longer words are read in overlapping pieces of so many characters.
 LONG = 48
 _PLACES = [(0, *c) for c in combinations(range(1, SPAN), LETTERS - 1)]

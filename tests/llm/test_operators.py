@@ -51,18 +51,16 @@ def test_fingerprints_combine():
     assert exact_dedup.combine(f.of(data[:777]), f.of(data[777:])) == f.of(data)
 
 
-def _components(docs: dict[int, str | None]) -> dict[int, int]:
+def _components(docs: dict[int, str | None], k: int = 4) -> dict[int, int]:
     sets, root = {}, {d: d for d in docs}
     for d, t in docs.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[d] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    links = [(a, b) for a in docs for b in docs if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     while True:
         before = dict(root)
-        for a in docs:
-            for b in docs:
-                x, y = sets[a], sets[b]
-                if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
-                    root[a] = root[b] = min(root[a], root[b])
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
         if root == before:
             return root
 
@@ -290,3 +288,233 @@ def test_hostile_pages_take_linear_time():
     for page in ('<a "' * 40_000, "<div>" * 30_000 + "</p>" * 30_000, "<![CDATA[" * 20_000, "<script x" * 20_000, "<p " + "a " * 100_000, "<!--" * 40_000):
         html_text.blocks(page)
     assert time.process_time() - began < 10
+
+
+def test_rows_without_ids_of_their_own_stay(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(9_000)) for _ in range(60))
+    docs = [(None, text(), "a") for _ in range(5)] + [(9, text(), "a"), (9, text(), "b"), (1, text(), "b")]
+    table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, row_key int")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert sorted(map(str, map(tuple, stage(spark, table, SF).collect()))) == sorted(str((*d, 1)) for d in docs)
+        assert stage(spark, table.filter("false"), SF).collect() == []
+    twice = table.unionByName(table)
+    assert corpus_pipeline.drop_copies(spark, twice, SF).count() == corpus_pipeline.drop_near_copies(spark, twice, SF).count() == len(docs)
+    got = corpus_pipeline.mix_sources(spark, table, SF)
+    assert got.columns == table.columns and corpus_pipeline.mix_sources(spark, table.filter("false"), SF).collect() == []
+
+
+def test_huge_documents_are_hashed_in_parts(spark):
+    rng = random.Random(12)
+    huge = "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(300_000))
+    docs = spark.createDataFrame([(1, huge), (2, huge + "b"), (3, huge.replace(" ", "\n")), (4, "ab"), (5, huge + " b "), (6, None)], "doc_id long, text string")
+    texts = docs.selectExpr("translate(coalesce(text, ''), ' \\n', '') AS norm").selectExpr("norm", "sha2(norm, 256) AS text_sha256")
+    got = {r["text_sha256"]: (r["n"], r["h1"], r["h2"]) for r in exact_dedup.fingerprints(texts, chunk=1000, long=5_000).collect()}
+    f = exact_dedup.Fingerprint()
+    assert got == {r["text_sha256"]: f.of(r["norm"].encode()) for r in texts.collect()} and len(got) == 4
+    for long, limit in ((5_000, 1000), (5_000, 0), (1 << 20, 1000)):
+        kept = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, chunk=1000, long=long, limit=limit).collect()}
+        assert kept == {(1, 1, 2), (3, 1, 2), (2, 5, 2), (5, 5, 2), (4, 4, 1), (6, 6, 1)}
+
+
+def _mixed(rows: list[tuple[str, str | None, int]]) -> dict[str, int]:
+    """Repeats by key of rows (key, source, size), one source after another."""
+    import hashlib
+
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    weight, size = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}, {s: sum(n for _, t, n in rows if t == s) for s in sources}
+    capped: set = set()
+    while True:
+        left, open_ = sum(size.values()) - sum(3 * size[s] for s in capped), [s for s in sources if s not in capped]
+        over = {s for s in open_ if weight[s] * left > 3 * size[s] * sum(weight[x] for x in open_)}
+        if not over:
+            break
+        capped |= over
+    out = {}
+    for s in sources:
+        target = 3 * size[s] if s in capped else weight[s] * left / sum(weight[x] for x in open_)
+        whole, ahead = int(target // size[s]) if size[s] else 0, 0
+        mark = lambda k: int(hashlib.md5(f"mix-1:{k}".encode()).hexdigest()[:15], 16)
+        for k, n in sorted(((k, n) for k, t, n in rows if t == s), key=lambda x: (mark(x[0]) % 1024, mark(x[0]), x)):
+            out[k] = whole + (ahead + n / 2 < target - whole * size[s])
+            ahead += n
+    return out
+
+
+def _best_fit(lengths: list[int], size: int) -> int:
+    """How many bins best-fit decreasing opens, one piece after another."""
+    import bisect
+
+    bins: list[int] = []
+    n = 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(bins, x)
+        room = bins.pop(at) if at < len(bins) else size
+        n += room == size and at >= len(bins)
+        if room > x:
+            bisect.insort(bins, room - x)
+    return n
+
+
+def test_packing_equals_best_fit_one_by_one():
+    rng = random.Random(13)
+    for size in (16, 64, 500):
+        for _ in range(20):
+            lengths = [min(size, max(1, int(rng.expovariate(4 / size)))) for _ in range(rng.randrange(1, 400))]
+            steps = packing.plan(dict(Counter(lengths)), size)
+            used = max((bin_ + (last - first - 1) // each for _, first, last, bin_, each, _ in steps), default=-1) + 1
+            assert used == _best_fit(lengths, size)
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    import hashlib
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in docs.collect() if _plain_chance(model, r["text"]) < 0.3]
+    norm, best = lambda r: re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), {}
+    for r in sorted(rows, key=lambda r: (-len(r["text"] or ""), r["doc_id"])):
+        best.setdefault(norm(r), r)
+    rows = {r["doc_id"]: r for r in best.values()}
+    root = _components({d: r["text"] for d, r in rows.items()}, 5)
+    rows = [r for d, r in rows.items() if root[d] == d]
+    tagged = lambda x: "n" if x is None else f"v{x}"
+    key = lambda r: hashlib.md5("\n".join([tagged(r["doc_id"]), tagged(r["source"]), r["text"] or ""]).encode()).hexdigest().upper()
+    times = _mixed([(key(r), r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in rows])
+    whole, want = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), []
+    for r in rows:
+        ids = [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want += [(r["doc_id"], piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] * times[key(r)]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    assert len({r["sequence_id"] for r in got}) == _best_fit([x[3] for x in want], 2048)
+
+
+def _plain_chance(model: toxicity.Model, text: str | None) -> float:
+    """A text's score from its words' subsequences, listed one by one."""
+    weight = dict(zip(model.codes.tolist(), model.weights))
+
+    def value(w: str) -> np.ndarray:
+        w, total, norm = "^" + w, np.zeros(2), 0.0
+        for start in range(len(w)):
+            for places in toxicity._PLACES:
+                if start + places[-1] < len(w):
+                    code = sum(ord(w[start + p]) * int(m) for p, m in zip(places, toxicity._MIX)) % 2**64
+                    lam = toxicity.DECAY ** (places[-1] + 1)
+                    total = total + lam * weight.get(code ^ code >> 29, np.zeros(2))
+                    norm += lam**2
+        return model.bias + total / (norm**0.5 + 1e-9)
+
+    found = toxicity.tokens(text.lower() if text else text)
+    each = {t: np.max([value(w) for w in toxicity.forms(t)] or [np.full(2, -9.0)], axis=0) for t in set(found)}
+    marked = sum(float(np.clip(4 * each[t][1] - 1, 0, 1)) for t in found)
+    measured = np.array([[max([each[t][0] for t in found], default=-9.0), marked, len(found)]])
+    return float(model.chance(measured)[0])
+
+
+def test_scores_equal_subsequences_listed_one_by_one(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(25).collect()] + [None, "", "x" * 200, "a b c d", "\u00e9\U0001f600 q\u00df"]
+    got = model.chance(model.measurer()([t.lower() if t else t for t in texts]))
+    assert got == pytest.approx([_plain_chance(model, t) for t in texts], abs=1e-5)
+
+
+def test_all_words_as_landmarks_give_the_kernel_machine():
+    bad, good = {"grumpf": 3, "grumpel": 2}, {"garden": 4, "water": 1, "grams": 1}
+    codes, weights, bias = toxicity.fit_words(bad, good, landmarks=5, ridge=1e-3)
+    names = [*bad, *good]
+    x = toxicity.features(names, np.unique(np.concatenate([c for _, c, _ in toxicity.coded(names)])))
+    kernel, y = (x @ x.T).astype(float), np.array([1.0, 1, -1, -1, -1])
+    c = np.array([3 / 5, 2 / 5, 4 / 6, 1 / 6, 1 / 6]) / 2
+    a, b, now = np.zeros(5), 0.0, None
+    for _ in range(200):  # Newton steps in the dual variables of the kernel itself
+        inside = y * (kernel @ a + b) < 1
+        lhs = np.block([[(c * inside)[:, None] * kernel + 1e-3 * np.eye(5), (c * inside)[:, None]], [(c * inside) @ kernel, np.array([[(c * inside).sum() + 1e-9]])]])
+        a_b = np.linalg.solve(lhs, np.append(c * inside * y, (c * inside * y).sum()))
+        a, b = a_b[:5], a_b[5]
+    model = toxicity.joined((codes, weights, bias), (codes, weights, bias))
+    assert model.values(names)[:, 0] == pytest.approx(kernel @ a + b, abs=2e-2)
+
+
+def test_languages_equal_plain_backoff(spark):
+    import math
+    import zlib
+
+    rng = random.Random(14)
+    words = {"aa": ["bal", "balo", "kirun", "tas"], "bb": ["zub", "zubel", "mork", "tas"]}
+    docs = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randrange(1, 9))), x) for i in range(40) for x in [rng.choice("ab") * 2]]
+    docs += [(100, "balomork Zubelu 12", None), (101, "qqq", None), (102, "12 !!", None), (103, None, "aa"), (104, "", "bb")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    by, grams = {"aa": Counter(), "bb": Counter()}, {"aa": Counter(), "bb": Counter()}
+    for i, t, x in docs:
+        if x and t and zlib.crc32(str(i).encode()) % 3 != 1:
+            by[x].update(t.split())
+            grams[x].update(f"^{w}$"[j : j + n] for w in t.split() for n in range(1, 6) for j in range(len(w) + 3 - n))
+    langs = sorted(by)
+
+    def logs(tables: dict[str, Counter], totals: dict[str, float]) -> dict[str, list[float]]:
+        keys = {k for k in set().union(*tables.values()) if sum(t[k] for t in tables.values()) > 1}
+        rows = {k: [math.log((tables[x][k] + 0.1) / (totals[x] + 0.1 * len(keys))) for x in langs] for k in keys}
+        return {k: [v - sum(r) / len(r) for v in r] for k, r in rows.items()}
+
+    known = logs(by, {x: sum(by[x].values()) for x in langs})
+    shown = logs(grams, {x: sum(n for g, n in grams[x].items() if sum(t[g] for t in grams.values()) > 1) / 5 + 1 for x in langs})
+
+    def word(w: str) -> list[float]:
+        if w in known:
+            return known[w]
+        for n in range(5, 0, -1):
+            at = [shown[g] for j in range(len(w) + 3 - n) if (g := f"^{w}$"[j : j + n]) in shown]
+            if at:
+                return [sum(c) / len(at) for c in zip(*at)]
+        return [0.0] * len(langs)
+
+    for i, t, _ in docs:
+        found = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not found:
+            assert got[i] == ("und", 0.0)
+            continue
+        total = [sum(c) / len(found) ** 0.5 for c in zip(*map(word, found))]
+        chance = [math.exp(v - max(total)) for v in total]
+        assert got[i][0] == langs[chance.index(max(chance))] and got[i][1] == pytest.approx(max(chance) / sum(chance), abs=1e-4)
+
+
+def test_base_rules_equal_plain_loops(spark):
+    rng = random.Random(15)
+    texts = [None, "", " \n ", "a", "# $ <x>"] + ["\n".join(" ".join(rng.choice(["ab", "c#", "Dé", "e", "f"][: rng.randrange(1, 6)]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in quality.rules(spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        rep = {k for j, x in enumerate(windows) if windows.count(x) > 1 for k in range(j, j + 8)}
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(rep))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
+
+
+def test_least_determinant_equals_trying_all_subsets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        x = rng.normal(0, 0.3, (12, len(quality.NAMES)))
+        x[:3] += 2
+        best = min(np.linalg.slogdet(quality._scatter(x[list(c)])[1])[1] for c in combinations(range(12), 9))
+        assert quality.search(x)[2] == pytest.approx(best, abs=1e-9)
+
+
+def test_very_deep_addresses_and_odd_captures(spark):
+    log = spark.createDataFrame([("a.com/x", "spam", "add", "2024-01-01"), ("a.com/x", "spam", "add", "2024-01-01"), ("a.com", "ad", "add", "2024-01-05"), ("a.com", "ad", "remove", "2024-01-05")], "pattern string, category string, action string, at string").selectExpr("*", "1 AS host").selectExpr("pattern", "category", "action", "cast(at AS timestamp) AS at", "host")
+    seen = spark.createDataFrame([(1, "http://a.com/x" + "/y" * 16_000, "2024-02-01", "c"), (1, "http://a.com/x" + "/y" * 16_000, "2024-02-01", "c"), (2, "http://a.com/xy", "2024-02-01", "c"), (3, "http://a.com/x/", None, "c")], "page_id long, url string, t string, pattern string").selectExpr("page_id", "url", "cast(t AS timestamp) AS fetched", "pattern")
+    got = [(r["page_id"], r["n_active"], r["pattern"]) for r in url_filter.evaluate(seen, log).collect()]
+    assert sorted(got, key=str) == [(1, 1, "a.com/x"), (1, 1, "a.com/x"), (2, 0, None), (3, 0, None)]
+    assert url_filter.evaluate(seen.filter("false"), log).collect() == [] and url_filter.evaluate(seen, log.filter("false")).filter("blocked").count() == 0
