@@ -82,6 +82,12 @@ class Model:
         return names, scores
 
 
+def _grams(word: Column, n: int) -> Column:
+    """The n-grams of a string column as an array; none where it is shorter."""
+    starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+
 def train(labelled: DataFrame, most: int = TRAIN_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model from rows (doc_id, text, lang) with a language, at most so many. Only the model's counts come to the driver."""
     ids = bounded_sample(labelled.select("doc_id", "lang"), "doc_id", most).select("doc_id")
@@ -96,8 +102,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, words: int = WORDS, grams
         known = counts.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("all > 1")
         known = known.orderBy(F.desc("all"), "key").limit(words).select("key", F.explode("by").alias("x")).select("key", "x.*").toPandas()
         marked = F.concat(F.lit("^"), "key", F.lit("$"))
-        starts = lambda n: F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(F.array().cast("array<int>"))
-        cut = [F.transform(starts(n), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST + 1)]
+        cut = [_grams(marked, n) for n in range(1, LONGEST + 1)]
         shown = counts.select("lang", "n", F.explode(F.concat(*cut)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
         shown = shown.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("all > 1")
         shown = shown.orderBy(F.desc("all"), "key").limit(grams).select("key", F.explode("by").alias("x")).select("key", "x.*").toPandas()
