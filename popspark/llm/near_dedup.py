@@ -33,11 +33,11 @@ EARLY = 4
 #: Runs over so many nodes are compared in chunks.
 REGION = 64
 #: Regions with up to so many likely pairs for each node are compared as pairs, others as blocks, so many shared shingles at once.
-PAIRS, COLUMNS = 2, 20_000
+PAIRS, COLUMNS = 2, 4_000
 #: Points of 100 by which two labels may agree less often than sets must be similar.
 MARGIN = 15
-#: Nodes in a chunk of a large run.
-CHUNK = 256
+#: Nodes in a chunk of a large run, and shingles of its nodes, on average at most.
+CHUNK, WEIGHT = 1024, 1_000_000
 #: Words that a task remembers, and letters of a remembered word at most.
 REMEMBERED, LETTERS = 100_000, 32
 #: Tables up to so many rows are broadcast.
@@ -276,7 +276,7 @@ def _block_links(percent: int):
             code, who = code.ravel(), np.repeat(np.arange(e - f), n)
             keep = times[code] > 1
             code, who = often[code[keep]], who[keep]
-            shared = np.zeros((e - f, e - f))
+            shared = np.zeros((e - f, e - f), np.float32)
             for at in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
                 part = (code >= at) & (code < at + COLUMNS)
                 held = np.zeros((e - f, COLUMNS), np.float32)
@@ -336,10 +336,11 @@ def candidates(nodes: DataFrame, trees: int, region: int = REGION, limit: int =
     if wide.isEmpty():
         return found
     # What isn't of the largest component, in chunks, against all chunks.
-    by_root = written(wide.groupBy(*key, "root").agg(F.count("*").alias("c")), "wide")
-    tops = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")), "wide")
+    by_root = written(wide.groupBy(*key, "root").agg(F.count("*").alias("c"), F.sum("n").alias("w")), "wide")
+    tops = written(by_root.groupBy(*key).agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("size"), F.sum("w").alias("weight")), "wide")
     placed = _joined(wide, tops, key, "size", limit).withColumn("main", F.col("root") == F.col("top.root"))
-    strays, mains = F.ceil((F.col("size") - F.col("top.c")) / CHUNK), F.ceil(F.col("top.c") / CHUNK)
+    chunks = lambda c, w: F.ceil(F.greatest(c / CHUNK, w / WEIGHT))
+    strays, mains = chunks(F.col("size") - F.col("top.c"), F.col("weight") - F.col("top.w")), chunks(F.col("top.c"), F.col("top.w"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(strays))
     to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
     block = lambda kind, x, y: F.xxhash64(*key, F.lit(kind), x, y)
