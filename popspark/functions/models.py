@@ -50,13 +50,63 @@ def hotspot_map(spark: SparkSession, length: int, rate: float, period: int = 100
     return rows.withColumn("idx", F.row_number().over(Window.orderBy("s")))
 
 
+def recombination_map(spark: SparkSession, positions: Sequence[int], rates: Sequence[float]) -> DataFrame:
+    """A map of segments between positions, one rate for each, with its cumulative rate."""
+    if len(positions) != len(rates) + 1 or any(b <= a for a, b in zip(positions, positions[1:])) or any(r < 0 for r in rates):
+        raise ValueError("positions must rise, be one more than the rates, and rates must not be negative")
+    rows = [(i + 1, s, e, float(r)) for i, (s, e, r) in enumerate(zip(positions, positions[1:], rates))]
+    return map_cumulative(spark.createDataFrame(rows, "idx int, s long, e long, rate double"))
+
+
 def breakpoints(draws: DataFrame, cumulative: DataFrame, length: int) -> DataFrame:
-    """draws (column u) with position: where the map's cumulative rate reaches u of its total. The map is broadcast, as it is one sequence's."""
-    m = cumulative.withColumn("before", F.col("cum") - (F.col("e") - F.col("s")) * F.col("rate")).withColumn("total", F.max("cum").over(Window.partitionBy()))
+    """draws (column u) with position: where the map's cumulative rate reaches u of its total.
+
+    Without any rate all positions before the map's end are as likely, and an empty map gives 1. The map is broadcast,
+    as it is one sequence's.
+    """
+    total = cumulative.agg(F.max("cum").alias("total"), F.max("e").alias("end"))
+    m = cumulative.filter("rate > 0").select("s", "rate", "cum", (F.col("cum") - (F.col("e") - F.col("s")) * F.col("rate")).alias("before"))
     aim = F.col("u") * F.col("total")
-    inside = draws.join(F.broadcast(m.filter("rate > 0")), (aim > F.col("before")) & (aim <= F.col("cum")) | (F.col("u") == 0) & (F.col("before") == 0))
+    found = draws.crossJoin(F.broadcast(total)).join(F.broadcast(m), (aim > F.col("before")) & (aim <= F.col("cum")) | (F.col("u") == 0) & (F.col("before") == 0), "left")
     place = F.floor(F.col("s") + (aim - F.col("before")) / F.col("rate"))
-    return inside.withColumn("position", F.least(F.greatest(place, F.lit(1)), F.lit(length)).cast("long")).select(*draws.columns, "position")
+    place = F.when(F.col("total").isNull(), F.lit(1)).when(F.col("total") == 0, F.floor(1 + F.col("u") * (F.col("end") - 1))).otherwise(F.least(F.greatest(place, F.lit(1)), F.lit(length)))
+    return found.withColumn("position", place.cast("long")).select(*draws.columns, "position")
+
+
+def parameters(ne: int, mutation_rate: float, recombination_rate: float, sequence_length: int, sample_size: int) -> dict:
+    """Parameters of a population, checked: sizes and length above 0, rates not below."""
+    if ne <= 0 or sequence_length <= 0 or sample_size <= 0 or mutation_rate < 0 or recombination_rate < 0:
+        raise ValueError("ne, sequence_length and sample_size must be positive and rates not negative")
+    return {"ne": ne, "mutation_rate": mutation_rate, "recombination_rate": recombination_rate, "sequence_length": sequence_length, "sample_size": sample_size}
+
+
+def directional(s: float, h: float, position: int, start: float, p0: float | None = None) -> dict:
+    p0 = START if p0 is None else p0
+    if s <= 0 or not 0 <= h <= 1 or position <= 0 or start < 0 or not 0 < p0 < 1:
+        raise ValueError("a sweep has s > 0, h in [0, 1], a position above 0, a start not below 0 and a frequency in (0, 1)")
+    return {"kind": "directional", "s": s, "h": h, "position": position, "start": start, "p0": p0}
+
+
+def balancing(s: Sequence[float], position: int, frequencies: Sequence[float]) -> dict:
+    if len(s) != len(frequencies) or any(x < 0 for x in s) or abs(sum(frequencies) - 1) >= 1e-10 or not all(0 < f < 1 for f in frequencies):
+        raise ValueError("each allele has a coefficient not below 0 and a frequency in (0, 1), and these sum to 1")
+    return {"kind": "balancing", "s": list(s), "position": position, "frequencies": list(frequencies)}
+
+
+def background(rate: float, s: float, h: float = 0.0) -> dict:
+    if rate < 0 or s >= 0 or not 0 <= h <= 1:
+        raise ValueError("background selection has a rate not below 0, s < 0 and h in [0, 1]")
+    return {"kind": "background", "rate": rate, "s": s, "h": h}
+
+
+def coefficient_at(model: dict | None, position: Column) -> Column:
+    """The selection coefficient at a position: 0 without a model, everywhere that of background selection, else at its site."""
+    if model is None:
+        return F.lit(0.0)
+    if model["kind"] == "background":
+        return F.lit(float(model["s"]))
+    s = model["s"][0] if model["kind"] == "balancing" else model["s"]
+    return F.when(position == model["position"], F.lit(float(s))).otherwise(F.lit(0.0))
 
 
 #: Frequency at which a selected allele starts: one copy among 10,000 individuals.
@@ -104,3 +154,19 @@ def expected_sites(ne: Column, mu: Column, length: Column, n: Column) -> Column:
 
 def size_class(n: Column, length: Column, mb: Column) -> Column:
     return F.when((n > 100) | (length > 1_000_000) | (mb > 1024), "large").when(mb > 512, "medium").otherwise("small")
+
+
+def memory_estimate(ne: Column, mu: Column, length: Column, n: Column, node_bytes: int = 64) -> dict[str, Column]:
+    """Expected megabytes of the dense genotypes and of the tree of n individuals, and both."""
+    sites, nodes, mb = expected_sites(ne, mu, length, n), 2 * n - 1, 1024.0 * 1024.0
+    genotype, tree = 2 * n * sites / mb, (nodes * node_bytes + sites * 8) / mb
+    return {"genotype_mb": genotype, "tree_mb": tree, "total_mb": genotype + tree}
+
+
+#: Settings by class of size: memory pool, sites of a dense table at most, sparsity from which a table is sparse.
+SETTINGS = {"large": (True, 5_000, 0.6), "medium": (True, 10_000, 0.7), "small": (False, 20_000, 0.8)}
+
+
+def memory_settings(kind: Column) -> dict[str, Column]:
+    pick = lambda i: F.when(kind == "large", SETTINGS["large"][i]).when(kind == "medium", SETTINGS["medium"][i]).otherwise(SETTINGS["small"][i])
+    return {"compact_nodes": kind == "large", "memory_pool": pick(0), "max_dense_sites": pick(1), "sparsity_threshold": pick(2)}

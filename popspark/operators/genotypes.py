@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from popspark.operators.numbering import numbered
 
 
 def to_diploid(haplotypes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -20,25 +21,61 @@ def allele_counts(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("position").agg(F.sum("g").alias("ac"))
 
 
+def carrier_counts(haplotypes: DataFrame) -> DataFrame:
+    """ac for each position straight from distinct haplotype rows: no pairing into individuals."""
+    return haplotypes.groupBy("position").agg(F.count("*").alias("ac"))
+
+
+def last_wins(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Of rows (ind_id, position, g) that share a cell the last one by order, and a 0 for each cell without a row."""
+    held = rows.groupBy("ind_id", "position").agg(F.max_by("g", F.struct(*order)).alias("g"))
+    grid = rows.select("ind_id").distinct().crossJoin(rows.select("position").distinct())  # the dense table itself
+    return grid.join(held, ["ind_id", "position"], "left").select("ind_id", "position", F.coalesce("g", F.lit(0)).alias("g"))
+
+
+def lookup(cells: DataFrame, genotypes: DataFrame, individuals: DataFrame, positions: DataFrame) -> DataFrame:
+    """cells (i, j: row and column from 1) with g: the genotype there, 0 where there is none, null out of bounds."""
+    rows = numbered(individuals.select("ind_id").distinct(), "ind_id", "i")
+    cols = numbered(positions.select("position").distinct(), "position", "j")
+    inside = cells.join(rows, "i", "left").join(cols, "j", "left").join(genotypes.select("ind_id", "position", "g"), ["ind_id", "position"], "left")
+    return inside.select("i", "j", F.when(F.col("ind_id").isNotNull() & F.col("position").isNotNull(), F.coalesce("g", F.lit(0))).alias("g"))
+
+
 def polymorphic(counts: DataFrame, n_hap: DataFrame) -> DataFrame:
     """Positions that some haplotypes carry, but not all. n_hap is a table of one row."""
     return counts.crossJoin(F.broadcast(n_hap)).filter((F.col("ac") > 0) & (F.col("ac") < F.col("n_hap"))).select("position", "ac")
 
 
+def joined_rows(entries: DataFrame, keys: DataFrame, key: str, n: DataFrame, cell, sep: str) -> DataFrame:
+    """For each key one string of n cells: those of entries (key, at, g) at their places from 1, and zeros between.
+
+    Only entries are gathered; the zeros between two of them are one repeated string. n is a table of one row.
+    """
+    zero = F.concat(cell(F.lit(0)), F.lit(sep))
+    held = entries.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "g"))).alias("e"))
+    rows = keys.select(key).distinct().join(held, key, "left").crossJoin(F.broadcast(n.toDF("n")))
+    e = F.coalesce("e", F.array().cast(held.schema["e"].dataType))
+    gap = lambda upto, after: F.repeat(zero, (upto - after - 1).cast("int"))
+    before = lambda k: F.when(k > 0, F.try_element_at(e, k)["at"]).otherwise(0)
+    parts = F.transform(e, lambda x, k: F.concat(gap(x["at"], before(k)), cell(x["g"]), F.lit(sep)))
+    last = F.coalesce(F.try_element_at(e, F.lit(-1))["at"], F.lit(0))
+    whole = F.concat(F.array_join(parts, ""), gap(F.col("n") + 1, last))
+    return rows.select(key, F.substring(whole, F.lit(1), F.length(whole) - len(sep)).alias("cells"))
+
+
 def dense(genotypes: DataFrame, individuals: DataFrame, positions: DataFrame) -> DataFrame:
-    """One row for each individual: its genotypes at all positions in order, as an array. Last row wins on repeated keys only if it is the larger one."""
-    sites = positions.select("position").distinct().agg(F.sort_array(F.collect_list("position")).alias("sites"))
-    held = genotypes.groupBy("ind_id").agg(F.map_from_entries(F.collect_list(F.struct("position", "g"))).alias("held"))
-    rows = individuals.select("ind_id").distinct().join(held, "ind_id", "left").crossJoin(F.broadcast(sites))
-    return rows.select("ind_id", F.transform("sites", lambda p: F.coalesce(F.try_element_at("held", p), F.lit(0).cast("long"))).alias("row"))
+    """One row for each individual: its genotypes at all positions in order, as an array."""
+    places = numbered(positions.select("position").distinct(), "position", "at")
+    n = positions.agg(F.countDistinct("position").alias("n"))
+    rows = joined_rows(genotypes.join(places, "position").select("ind_id", "at", "g"), individuals, "ind_id", n, lambda g: g.cast("string"), ",")
+    return rows.select("ind_id", F.split("cells", ",").cast("array<long>").alias("row"))
 
 
 def column_pointers(genotypes: DataFrame, positions: DataFrame) -> DataFrame:
     """Compressed sparse columns: for each position its column and the place of its first entry, from 1."""
     counts = positions.select("position").distinct().join(genotypes.filter("g <> 0").groupBy("position").agg(F.count("*").alias("nnz")), "position", "left")
-    order = Window.orderBy("position")
-    before = F.coalesce(F.sum("nnz").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("position", F.row_number().over(order).cast("long").alias("column"), (before + 1).cast("long").alias("pointer"), F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
+    placed = numbered(counts.withColumn("nnz", F.coalesce("nnz", F.lit(0)).cast("long")), "position", "column", "nnz", "before")
+    return placed.select("position", "column", (F.col("before") + 1).alias("pointer"), "nnz")
 
 
 def shape(genotypes: DataFrame, individuals: DataFrame, positions: DataFrame) -> DataFrame:
@@ -55,8 +92,8 @@ def shape(genotypes: DataFrame, individuals: DataFrame, positions: DataFrame) ->
 
 def bit_positions(genotypes: DataFrame, individuals: DataFrame, positions: DataFrame) -> DataFrame:
     """ind_id, position and the place of the cell's bit in column-major order, from 0, of every cell that isn't 0."""
-    rows = individuals.select("ind_id").distinct().withColumn("r", F.row_number().over(Window.orderBy("ind_id")))
-    cols = positions.select("position").distinct().withColumn("c", F.row_number().over(Window.orderBy("position")))
+    rows = numbered(individuals.select("ind_id").distinct(), "ind_id", "r")
+    cols = numbered(positions.select("position").distinct(), "position", "c")
     n = rows.agg(F.count("*").alias("n"))
     placed = genotypes.filter("g <> 0").join(rows, "ind_id").join(cols, "position").crossJoin(F.broadcast(n))
     return placed.select("ind_id", "position", ((F.col("c") - 1) * F.col("n") + F.col("r") - 1).cast("long").alias("bit"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from popspark.operators.numbering import numbered
+
 
 def merge(rows: DataFrame) -> DataFrame:
     """The union of each id's intervals; those that touch become one."""
@@ -56,7 +58,9 @@ def between(breaks: DataFrame, length: int) -> DataFrame:
     """Intervals between the distinct breakpoints (column position), with both ends of the sequence. For one sequence's breakpoints."""
     ends = breaks.sparkSession.createDataFrame([(1,), (length + 1,)], "position long")
     points = breaks.select(F.col("position").cast("long")).filter(F.col("position").between(1, length + 1)).unionByName(ends).distinct()
-    return points.select(F.col("position").alias("s"), F.lead("position").over(Window.orderBy("position")).alias("e")).filter("e is not null")
+    placed = numbered(points, "position", "k")
+    after = placed.select((F.col("k") - 1).alias("k"), F.col("position").alias("e"))
+    return placed.join(after, "k").select(F.col("position").alias("s"), "e")
 
 
 def as_of(points: DataFrame, marks: DataFrame) -> DataFrame:
@@ -65,3 +69,38 @@ def as_of(points: DataFrame, marks: DataFrame) -> DataFrame:
     both = points.select("id", "position", F.lit(1).alias("is_point"), F.lit(None).cast(kind).alias("target")).unionByName(marks.select("id", F.col("at").alias("position"), F.lit(0).alias("is_point"), "target"))
     order = Window.partitionBy("id").orderBy("position", "is_point", "target").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("target", F.last("target", ignorenulls=True).over(order)).filter("is_point = 1").select("id", "position", "target")
+
+
+def clamped_bins(rows: DataFrame, width: int, n_bins: int) -> DataFrame:
+    """A row for each of the bins 1..n_bins that an interval touches; what lies beyond counts in the last or first one."""
+    at = lambda p: F.least(F.greatest(F.ceil(p / width), F.lit(1)), F.lit(n_bins)).cast("long")
+    return rows.withColumn("bin", F.explode(F.sequence(at(F.col("s")), at(F.greatest(F.col("s"), F.col("e") - 1)))))
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """Each id's least start and greatest end."""
+    return rows.groupBy("id").agg(F.min("s").alias("min_start"), F.max("e").alias("max_end"))
+
+
+def first_overlap(rows: DataFrame, width: int = 1_000) -> DataFrame:
+    """The first two ids, in order, any of whose intervals overlap; no row if there are none."""
+    return overlapping(rows, width).agg(F.min(F.struct("a", "b")).alias("x")).filter("x is not null").select("x.a", "x.b")
+
+
+def clipped(rows: DataFrame, length: int) -> DataFrame:
+    """Intervals within [1, length]; what lies outside goes."""
+    return rows.select("id", F.greatest("s", F.lit(1)).alias("s"), F.least("e", F.lit(length + 1)).alias("e")).filter("s < e")
+
+
+def total_length(rows: DataFrame, length: int) -> DataFrame:
+    """Positions within [1, length] that each id's intervals hold."""
+    return clipped(rows, length).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("total"))
+
+
+def sample_position(rows: DataFrame, draws: DataFrame, length: int) -> DataFrame:
+    """draws (id, u in [0, 1)) with position: a uniform one of those that the id's intervals hold within [1, length]."""
+    order = Window.partitionBy("id").orderBy("s")
+    own = clipped(rows, length).withColumn("before", F.coalesce(F.sum(F.col("e") - F.col("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    aimed = draws.join(total_length(rows, length), "id").withColumn("r", F.floor(F.col("u") * F.col("total")))
+    inside = aimed.join(own, "id").filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("e") - F.col("s")))
+    return inside.select("id", "total", (F.col("s") + F.col("r") - F.col("before")).cast("long").alias("position"))

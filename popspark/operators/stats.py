@@ -107,3 +107,14 @@ def rank_correlation(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Pearson's correlation of ranks, ties broken by tie; 0 if it isn't defined. For tables of a result's size: ranks need one order of all rows."""
     ranked = rows.select(F.row_number().over(Window.orderBy(x, tie)).alias("rx"), F.row_number().over(Window.orderBy(y, tie)).alias("ry"))
     return ranked.agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+
+
+def rounded_report(stats: DataFrame) -> DataFrame:
+    """Statistics rounded as a report shows them, density by 1000 positions."""
+    return stats.select("n_sites", "n_common", F.round("mean_af", 4).alias("mean_af"), F.round("pi", 6).alias("pi"), F.round("theta_w", 6).alias("theta_w"), F.round(F.col("density") * 1000, 2).alias("density_per_kb"))
+
+
+def rare_and_common(freqs: DataFrame, cut: float = 0.05) -> DataFrame:
+    """Variants with a minor allele frequency over cut and the others, and the share of the common ones; 0 without sites."""
+    common = F.count_if(F.least(F.col("p"), 1 - F.col("p")) > cut)
+    return freqs.agg(common.alias("n_common"), (F.count("*") - common).alias("n_rare"), F.coalesce(F.try_divide(common, F.count("*")), F.lit(0.0)).alias("common_fraction"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from popspark.functions.models import START
 
@@ -131,3 +132,81 @@ def marginal_carriers(edges: DataFrame, points: DataFrame) -> DataFrame:
           UNION ALL
           SELECT d.top, d.position, x.child_id FROM down d JOIN genealogy_edges x ON x.parent_id = d.node_id AND d.position >= x.s AND d.position < x.e)
         SELECT DISTINCT top AS node_id, position, node_id AS hap_id FROM down WHERE node_id NOT IN (SELECT parent_id FROM genealogy_edges)""")
+
+
+def shape(nodes: DataFrame) -> DataFrame:
+    """Height (the time of the oldest node), nodes and leaves of each tree."""
+    return nodes.groupBy("rep").agg(F.max("time").alias("height"), F.count("*").alias("n_nodes"), F.count_if(F.col("time") == 0).alias("n_leaves"))
+
+
+def extract_genotypes(nodes: DataFrame, mutated: DataFrame) -> DataFrame:
+    """Diploid genotypes (rep, ind_id, position, g) of supplied trees and their mutations (rep, node_id, position)."""
+    held = carriers(mutated, leaves_below(nodes))
+    return held.groupBy("rep", F.ceil(F.col("hap_id") / 2).alias("ind_id"), "position").agg(F.count("*").alias("g"))
+
+
+def inherited(nodes: DataFrame, mutated: DataFrame, intervals: DataFrame, samples: DataFrame, n_hap: int) -> DataFrame:
+    """(hap_id, position) of a graph's leaves: a node hands its mutations on to children whose intervals hold the position.
+
+    nodes: node_id, parent_id. mutated: node_id, position. intervals: node_id, s, e; a node without any takes all.
+    samples: node_id, hap_id, the haplotypes that a fragment leaf stands for; leaves up to n_hap stand for themselves.
+    Positions that none or all of the n_hap haplotypes carry are left out.
+    """
+    spark = nodes.sparkSession
+    up = nodes.filter("parent_id is not null").select("node_id", "parent_id")
+    takes = up.join(intervals, "node_id", "left").select("node_id", "parent_id", F.coalesce("s", F.lit(-(2**62))).alias("s"), F.coalesce("e", F.lit(2**62)).alias("e"))
+    takes.createOrReplaceTempView("genealogy_takes")
+    mutated.select("node_id", "position").distinct().createOrReplaceTempView("genealogy_mutated")
+    below = spark.sql("""
+        WITH RECURSIVE down(node_id, position) AS (
+          SELECT node_id, position FROM genealogy_mutated
+          UNION ALL
+          SELECT t.node_id, d.position FROM down d JOIN genealogy_takes t ON t.parent_id = d.node_id AND d.position >= t.s AND d.position < t.e)
+        SELECT node_id, position FROM down""")
+    leaves = below.join(up.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    own = leaves.filter(F.col("node_id") <= n_hap).select(F.col("node_id").alias("hap_id"), "position")
+    routed = leaves.filter(F.col("node_id") > n_hap).join(samples, "node_id").filter(F.col("hap_id").between(1, n_hap)).select("hap_id", "position")
+    held = own.unionByName(routed).distinct()
+    varying = held.groupBy("position").agg(F.count("*").alias("ac")).filter(F.col("ac") < n_hap).select("position")
+    return held.join(varying, "position", "left_semi").select("hap_id", "position")
+
+
+def branch_carriers(nodes: DataFrame, intervals: DataFrame, redirects: DataFrame, points: DataFrame) -> DataFrame:
+    """(node_id, position, hap_id): the branches that each haplotype's walk to the root passes at a position.
+
+    redirects: node_id, at, target. From a node the walk goes to the target of the last redirect at or before the
+    position, and that branch doesn't count; else on to the parent, if the node's intervals hold the position or there
+    are none, and else it ends. points: hap_id, position. The root has no branch.
+    """
+    spark, far = nodes.sparkSession, F.lit(2**62)
+    order = Window.partitionBy("node_id").orderBy("at")
+    sent = redirects.select("node_id", F.col("at").alias("s"), F.coalesce(F.lead("at").over(order), far).alias("e"), F.col("target").alias("to"), F.lit(False).alias("counts"))
+    first = redirects.groupBy("node_id").agg(F.min("at").alias("first"))
+    own = nodes.filter("parent_id is not null").join(intervals, "node_id", "left").join(first, "node_id", "left")
+    own = own.select("node_id", F.coalesce("s", -far).alias("s"), F.least(F.coalesce("e", far), F.coalesce("first", far)).alias("e"), F.col("parent_id").alias("to"), F.lit(True).alias("counts"))
+    rooted = nodes.filter("parent_id is null").select("node_id")
+    own.unionByName(sent.join(rooted, "node_id", "left_anti")).filter("s < e").createOrReplaceTempView("genealogy_moves")
+    points.select("hap_id", "position").createOrReplaceTempView("genealogy_walks")
+    walked = spark.sql("""
+        WITH RECURSIVE walk(hap_id, position, node_id, passed) AS (
+          SELECT hap_id, position, hap_id, CAST(NULL AS BIGINT) FROM genealogy_walks
+          UNION ALL
+          SELECT w.hap_id, w.position, m.to, CASE WHEN m.counts THEN m.node_id END FROM walk w JOIN genealogy_moves m ON m.node_id = w.node_id AND w.position >= m.s AND w.position < m.e)
+        SELECT passed AS node_id, position, hap_id FROM walk WHERE passed IS NOT NULL""")
+    return walked.distinct()
+
+
+def beneficial(nodes: DataFrame, start: DataFrame, position: int) -> DataFrame:
+    """start (rep, start) with the leaf that gets the selected mutation: that of first children, in trees no older than start."""
+    first = nodes.filter("parent_id is not null").groupBy("rep", "parent_id").agg(F.min("node_id").alias("child"))
+    spark = nodes.sparkSession
+    first.createOrReplaceTempView("genealogy_first")
+    nodes.filter("parent_id is null").createOrReplaceTempView("genealogy_roots")
+    leaf = spark.sql("""
+        WITH RECURSIVE down(rep, node_id) AS (
+          SELECT rep, node_id FROM genealogy_roots
+          UNION ALL
+          SELECT d.rep, f.child FROM down d JOIN genealogy_first f ON f.rep = d.rep AND f.parent_id = d.node_id)
+        SELECT rep, node_id FROM down""").join(nodes.filter("time = 0").select("rep", "node_id"), ["rep", "node_id"])
+    old = nodes.groupBy("rep").agg(F.max("time").alias("height"))
+    return start.join(old, "rep").filter(F.col("height") <= F.col("start")).join(leaf, "rep").select("rep", "start", "node_id", F.lit(position).cast("long").alias("position"))

@@ -43,7 +43,7 @@ class Data:
         self.n_ind = self.individuals.agg(F.count("*").alias("n_ind"))
         self.genotypes = G.to_diploid(self.haplotypes, self.samples)
         self.positions = self.haplotypes.select("position").distinct()
-        self.counts = G.allele_counts(self.genotypes)
+        self.counts = G.carrier_counts(self.haplotypes)
         self.freqs = S.frequencies(self.counts, self.n_hap)
 
 
@@ -410,3 +410,165 @@ def selection_tree(spark, sf):
 @query()
 def neutral_genotypes(spark, sf):
     return P.simulate(_replicates(spark), 2e-6, 1000)
+
+
+@query(BASE + f", a AS (SELECT {ALL.format(p='').replace('round(avg(p), 6)', 'round(avg(p), 4)').replace('round(count(*) / CAST(max(position)-min(position)+1 AS DOUBLE), 6) AS density', 'round(1000 * (count(*) / CAST(max(position)-min(position)+1 AS DOUBLE)), 2) AS density_per_kb')} FROM f) SELECT n_sites, n_common, mean_af, pi, theta_w, density_per_kb FROM a")
+def stats_report(spark, sf):
+    return S.rounded_report(S.population(Data(spark, sf).freqs))
+
+
+@query(BASE + "SELECT count(*) FILTER (least(p, 1-p) > 0.05) AS n_common, count(*) FILTER (NOT least(p, 1-p) > 0.05) AS n_rare, round(count(*) FILTER (least(p, 1-p) > 0.05) / CAST(count(*) AS DOUBLE), 6) AS common_fraction FROM f")
+def rare_common(spark, sf):
+    return rounded(S.rare_and_common(Data(spark, sf).freqs))
+
+
+@query(BASE + "SELECT derived, (SELECT count(*) FROM c WHERE ac = derived) AS n_sites FROM (SELECT unnest(range(1, 11)) AS derived)")
+def sfs_first_bins(spark, sf):
+    d = Data(spark, sf)
+    return S.spectrum(d.counts, d.n_hap).filter(F.col("derived").between(1, 10))
+
+
+@query(BASE + ", r AS (SELECT ind_id, row_number() OVER (ORDER BY ind_id) AS r FROM (SELECT DISTINCT ind_id FROM s)), k AS (SELECT position, row_number() OVER (ORDER BY position) AS c FROM c), q AS (SELECT CAST(p_partkey AS BIGINT) % 60 AS i, CAST(p_partkey AS BIGINT) AS j FROM part) SELECT i, j, CASE WHEN r.r IS NOT NULL AND k.c IS NOT NULL THEN coalesce(g.g, 0) END AS g FROM q LEFT JOIN r ON r.r = i LEFT JOIN k ON k.c = j LEFT JOIN g ON g.ind_id = r.ind_id AND g.position = k.position")
+def sparse_lookup(spark, sf):
+    d = Data(spark, sf)
+    cells = T.table(spark, sf, "part").select((F.col("p_partkey").cast("long") % 60).alias("i"), F.col("p_partkey").cast("long").alias("j"))
+    return G.lookup(cells, d.genotypes, d.individuals, d.positions)
+
+
+@query("WITH r AS (SELECT CAST(l_suppkey AS BIGINT) % 50 AS ind_id, CAST(l_partkey AS BIGINT) % 400 AS position, CAST(l_linenumber AS BIGINT) % 3 AS g, l_orderkey, l_linenumber FROM lineitem), h AS (SELECT ind_id, position, arg_max(g, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber) AS g FROM r GROUP BY 1, 2) SELECT i.ind_id, p.position, coalesce(g, 0) AS g FROM (SELECT DISTINCT ind_id FROM r) i CROSS JOIN (SELECT DISTINCT position FROM r) p LEFT JOIN h ON h.ind_id = i.ind_id AND h.position = p.position")
+def long_rows_filled(spark, sf):
+    key = lambda c, n, name: (F.col(c).cast("long") % n).alias(name)
+    rows = T.table(spark, sf, "lineitem").select(key("l_suppkey", 50, "ind_id"), key("l_partkey", 400, "position"), key("l_linenumber", 3, "g"), "l_orderkey", "l_linenumber")
+    return G.last_wins(rows, ["l_orderkey", "l_linenumber"])
+
+
+@query(BASE + "SELECT string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS line FROM c")
+def csv_wide_header(spark, sf):
+    return X.wide_header(Data(spark, sf).positions)
+
+
+@query(SCENARIO + ", w AS (SELECT scenario, position // 20 AS block, sum(2*p*(1-p)) / (max(position)-min(position)+1) AS pi FROM f GROUP BY 1, 2 HAVING count(*) >= 3) SELECT scenario, count(*) AS n, round(avg(pi), 6) AS mean, round(coalesce(stddev_samp(pi)/sqrt(count(*)), 0), 6) AS se FROM w GROUP BY 1")
+def sweep_diversity(spark, sf):
+    d = Data(spark, sf)
+    held = T.carriers(spark, sf, F.col("l_returnflag").alias("scenario"))
+    freqs = S.frequencies(held.groupBy("scenario", "position").agg(F.count("*").alias("ac")), d.n_hap).withColumn("block", F.floor(F.col("position") / 20))
+    return rounded(S.sweep(S.population(freqs, ["scenario", "block"]).filter("n_sites >= 3"), "scenario", "pi"))
+
+
+@query(IV + " SELECT id, s, e, unnest(range(CAST(least(greatest(ceil(s/700), 1), 20) AS BIGINT), CAST(least(greatest(ceil(greatest(s, e-1)/700), 1), 20) AS BIGINT)+1)) AS bin FROM v")
+def bin_clamped(spark, sf):
+    return I.clamped_bins(T.intervals(spark, sf), 700, 20)
+
+
+@query(IV + " SELECT id, min(s) AS min_start, max(e) AS max_end FROM v GROUP BY 1")
+def lineage_bounds(spark, sf):
+    return I.bounds(T.intervals(spark, sf))
+
+
+@query(MERGED + " SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id < b.id AND a.s < b.e AND b.s < a.e ORDER BY 1, 2 LIMIT 1")
+def first_overlapping_pair(spark, sf):
+    return I.first_overlap(I.merge(T.intervals(spark, sf)))
+
+
+@query(SCENARIO + "SELECT hap_id, position FROM h WHERE scenario = 'A' UNION SELECT hap_id, position FROM h WHERE scenario = 'N'")
+def position_union(spark, sf):
+    held = T.carriers(spark, sf, F.col("l_returnflag").alias("scenario"))
+    of = lambda x: held.filter(F.col("scenario") == x).select("hap_id", "position")
+    return of("A").unionByName(of("N")).distinct()
+
+
+@query(MERGED + ", cut AS (SELECT id, greatest(s, 1) AS s, least(e, 15001) AS e FROM m WHERE s < 15001), sums AS (SELECT *, coalesce(sum(e-s) OVER (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(e-s) OVER (PARTITION BY id) AS total FROM cut), aimed AS (SELECT *, floor(CAST(CAST('0x'||substr(md5(id||':at'),1,13) AS BIGINT) AS DOUBLE)/pow(2,52) * total) AS r FROM sums) SELECT id, CAST(total AS BIGINT) AS total, CAST(s + r - before AS BIGINT) AS position FROM aimed WHERE r >= before AND r < before + e - s")
+def interval_sample(spark, sf):
+    merged = I.merge(T.intervals(spark, sf))
+    draws = merged.select("id").distinct().withColumn("u", M.uniform("id", F.lit("at")))
+    return I.sample_position(merged, draws, 15_000)
+
+
+@query("WITH m AS (SELECT * FROM (VALUES (1, 201, 2e-8, 0.0), (201, 501, 0.0, 200*2e-8), (501, 701, 1e-7, 200*2e-8), (701, 1001, 5e-9, 200*2e-8+200*1e-7)) t(s, e, rate, before)), d AS (SELECT p_partkey AS id, CAST(CAST('0x'||substr(md5(p_partkey||':map'),1,13) AS BIGINT) AS DOUBLE)/pow(2,52)*(200*2e-8+200*1e-7+300*5e-9) AS aim FROM part) SELECT id, CAST(least(greatest(floor(s + (aim-before)/rate), 1), 1000) AS BIGINT) AS position FROM d JOIN m ON rate > 0 AND aim > before AND aim <= before + (e-s)*rate")
+def breakpoint_map_sample(spark, sf):
+    draws = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), M.uniform("p_partkey", F.lit("map")).alias("u"))
+    return M.breakpoints(draws, M.recombination_map(spark, [1, 201, 501, 701, 1001], [2e-8, 0.0, 1e-7, 5e-9]), 1000).select("id", "position")
+
+
+@query("SELECT p_partkey AS id, 0.0::DOUBLE AS neutral, CASE WHEN p_partkey = 50 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS directional, CASE WHEN p_partkey = 60 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS balancing, -0.02::DOUBLE AS background FROM part")
+def selection_coefficients(spark, sf):
+    at = F.col("p_partkey")
+    models = {"neutral": None, "directional": M.directional(0.01, 0.5, 50, 100.0), "balancing": M.balancing([0.2, 0.1], 60, [0.5, 0.5]), "background": M.background(1e-8, -0.02, 0.1)}
+    return T.table(spark, sf, "part").select(at.alias("id"), *[M.coefficient_at(m, at).alias(k) for k, m in models.items()])
+
+
+@query("WITH q AS (SELECT p_partkey AS id, p_partkey % 90 + 1 AS n, CASE WHEN p_partkey % 5 = 0 THEN 900000 ELSE 20000 END AS len, CASE WHEN p_partkey % 3 = 0 THEN 5e7 ELSE 1e4 END::DOUBLE AS ne FROM part), z AS (SELECT *, 4*ne*1e-8*len*list_sum(list_transform(range(1, 2*n), lambda x: 1.0::DOUBLE/x)) AS sites FROM q), m AS (SELECT id, 2*n*sites/1048576.0 AS genotype_mb, ((2*n-1)*64 + sites*8)/1048576.0 AS tree_mb FROM z), k AS (SELECT *, genotype_mb + tree_mb AS total_mb FROM m), c AS (SELECT *, CASE WHEN total_mb > 1024 THEN 'large' WHEN total_mb > 512 THEN 'medium' ELSE 'small' END AS class FROM k) SELECT id, round(genotype_mb, 6) AS genotype_mb, round(tree_mb, 6) AS tree_mb, round(total_mb, 6) AS total_mb, class, class = 'large' AS compact_nodes, class <> 'small' AS memory_pool, CASE class WHEN 'large' THEN 5000 WHEN 'medium' THEN 10000 ELSE 20000 END AS max_dense_sites, CASE class WHEN 'large' THEN 0.6 WHEN 'medium' THEN 0.7 ELSE 0.8 END::DOUBLE AS sparsity_threshold FROM c")
+def memory_settings(spark, sf):
+    n, key = F.col("n"), F.col("p_partkey")
+    rows = T.table(spark, sf, "part").select(key.alias("id"), (key % 90 + 1).alias("n"), F.when(key % 5 == 0, 900_000).otherwise(20_000).alias("len"), F.when(key % 3 == 0, 5e7).otherwise(1e4).alias("ne"))
+    rows = rows.withColumns(M.memory_estimate(F.col("ne"), F.lit(1e-8), F.col("len"), n))
+    rows = rows.withColumn("class", M.size_class(n, F.col("len"), F.col("total_mb"))).withColumns(M.memory_settings(F.col("class")))
+    return rounded(rows.drop("n", "len", "ne"))
+
+
+#: A tree over all haplotypes in the shape of a heap, as tables: the driver's tables hold none.
+TREE = """WITH RECURSIVE z AS (SELECT count(*) AS n FROM supplier), ids AS (SELECT unnest([CAST(s_suppkey AS BIGINT)+1, CAST(s_suppkey AS BIGINT)+1+n]) AS node_id, n FROM supplier, z),
+t AS (SELECT node_id, CASE WHEN node_id < 2*n-1 THEN 2*n - (2*n-node_id)//2 END AS parent_id, CASE WHEN node_id <= n THEN 0 ELSE node_id - n END AS time, n FROM ids WHERE node_id < 2*n),
+mu AS (SELECT 1 + CAST(p_partkey AS BIGINT)*31 % (2*n-2) AS node_id, 1 + CAST(p_partkey AS BIGINT)*7 % 1000 AS position FROM part, z),
+iv AS (SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 1 ELSE 201 END AS s, CASE WHEN node_id % 3 = 0 THEN 501 ELSE 1001 END AS e FROM t WHERE node_id % 3 <> 1)
+"""
+
+
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Nodes, mutations and intervals of the tree that TREE gives, and its number of leaves."""
+    keys = T.table(spark, sf, "supplier").select((F.col("s_suppkey").cast("long") + 1).alias("a"))
+    n, node = keys.count(), F.col("node_id")
+    ids = keys.select(F.explode(F.array("a", F.col("a") + n)).alias("node_id")).filter(node < 2 * n)
+    parent = F.when(node < 2 * n - 1, 2 * n - F.floor((2 * n - node) / 2)).cast("long")
+    nodes = ids.select(F.lit(0).cast("long").alias("rep"), "node_id", parent.alias("parent_id"), F.when(node <= n, 0).otherwise(node - n).cast("double").alias("time"))
+    key = F.col("p_partkey").cast("long")
+    mutated = T.table(spark, sf, "part").select(F.lit(0).cast("long").alias("rep"), (1 + key * 31 % (2 * n - 2)).alias("node_id"), (1 + key * 7 % 1000).alias("position"))
+    third = node % 3
+    intervals = nodes.filter(third != 1).select("node_id", F.when(third == 0, 1).otherwise(201).cast("long").alias("s"), F.when(third == 0, 501).otherwise(1001).cast("long").alias("e"))
+    return nodes, mutated, intervals, n
+
+
+@query(TREE + "SELECT CAST(0 AS BIGINT) AS rep, CAST(max(time) AS DOUBLE) AS height, count(*) AS n_nodes, count(*) FILTER (time = 0) AS n_leaves FROM t")
+def tree_shape(spark, sf):
+    return P.shape(_tree(spark, sf)[0])
+
+
+@query(TREE + "SELECT node_id, count(*) AS n_mutations FROM mu GROUP BY 1")
+def mutation_counts(spark, sf):
+    return _tree(spark, sf)[1].groupBy("node_id").agg(F.count("*").alias("n_mutations"))
+
+
+@query(TREE + "SELECT DISTINCT position FROM mu")
+def mutation_positions(spark, sf):
+    return _tree(spark, sf)[1].select("position").distinct()
+
+
+@query(TREE + ", up(node_id, hap_id) AS (SELECT node_id, node_id FROM t WHERE time = 0 UNION ALL SELECT t.parent_id, up.hap_id FROM up JOIN t USING (node_id) WHERE t.parent_id IS NOT NULL) SELECT CAST(0 AS BIGINT) AS rep, CAST(ceil(hap_id/2) AS BIGINT) AS ind_id, position, count(*) AS g FROM (SELECT DISTINCT hap_id, position FROM up JOIN mu USING (node_id)) GROUP BY ALL")
+def tree_genotypes(spark, sf):
+    nodes, mutated, _, _ = _tree(spark, sf)
+    return P.extract_genotypes(nodes, mutated)
+
+
+@query(TREE + ", k AS (SELECT n - n//5 AS h FROM z), down(node_id, position) AS (SELECT DISTINCT node_id, position FROM mu UNION ALL SELECT t.node_id, d.position FROM down d JOIN t ON t.parent_id = d.node_id LEFT JOIN iv ON iv.node_id = t.node_id WHERE iv.s IS NULL OR d.position >= iv.s AND d.position < iv.e), held AS (SELECT DISTINCT CASE WHEN d.node_id <= h THEN d.node_id ELSE d.node_id - h END AS hap_id, position FROM down d JOIN t ON t.node_id = d.node_id AND t.time = 0, k) SELECT hap_id, position FROM held, k WHERE position IN (SELECT position FROM held GROUP BY 1 HAVING count(*) < (SELECT h FROM k))")
+def graph_genotypes(spark, sf):
+    nodes, mutated, intervals, n = _tree(spark, sf)
+    n_hap = n - n // 5  # the leaves beyond are fragments, each of one haplotype
+    samples = nodes.filter((F.col("time") == 0) & (F.col("node_id") > n_hap)).select("node_id", (F.col("node_id") - n_hap).alias("hap_id"))
+    return P.inherited(nodes, mutated, intervals, samples, n_hap)
+
+
+@query(TREE + ", rd AS (SELECT node_id, unnest([300, 600]) AS bp, CASE WHEN (2*n-node_id) % 2 = 0 THEN node_id - 1 ELSE node_id + 1 END AS target FROM t WHERE node_id % 4 = 0 AND node_id < 2*n-2), rs AS (SELECT node_id, bp AS s, coalesce(lead(bp) OVER (PARTITION BY node_id ORDER BY bp), 1000000) AS e, target FROM rd), walk(hap_id, position, node_id, passed) AS (SELECT node_id, x, node_id, CAST(NULL AS BIGINT) FROM t, (SELECT unnest([1, 251, 501, 751]) AS x) WHERE time = 0 UNION ALL SELECT w.hap_id, w.position, CASE WHEN rs.target IS NOT NULL THEN rs.target ELSE t.parent_id END, CASE WHEN rs.target IS NULL THEN t.node_id END FROM walk w JOIN t USING (node_id) LEFT JOIN rs ON rs.node_id = w.node_id AND w.position >= rs.s AND w.position < rs.e LEFT JOIN iv ON iv.node_id = w.node_id WHERE t.parent_id IS NOT NULL AND (rs.target IS NOT NULL OR iv.s IS NULL OR w.position >= iv.s AND w.position < iv.e)) SELECT DISTINCT passed AS node_id, CAST(position AS BIGINT) AS position, hap_id FROM walk WHERE passed IS NOT NULL")
+def redirected_carriers(spark, sf):
+    nodes, _, intervals, n = _tree(spark, sf)
+    node = F.col("node_id")
+    sibling = F.when((2 * n - node) % 2 == 0, node - 1).otherwise(node + 1)
+    redirects = nodes.filter((node % 4 == 0) & (node < 2 * n - 2)).select("node_id", F.explode(F.array(F.lit(300).cast("long"), F.lit(600).cast("long"))).alias("at"), sibling.alias("target"))
+    points = nodes.filter("time = 0").select(node.alias("hap_id"), F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 251, 501, 751)])).alias("position"))
+    return P.branch_carriers(nodes, intervals, redirects, points)
+
+
+@query(TREE + ", f AS (SELECT parent_id, min(node_id) AS child FROM t WHERE parent_id IS NOT NULL GROUP BY 1), down(node_id) AS (SELECT node_id FROM t WHERE parent_id IS NULL UNION ALL SELECT child FROM down JOIN f ON parent_id = node_id) SELECT CAST(0 AS BIGINT) AS rep, x AS start, t.node_id, CAST(500 AS BIGINT) AS position FROM down JOIN t USING (node_id), (SELECT unnest([0.0::DOUBLE, 5.0::DOUBLE, 1000000.0::DOUBLE]) AS x) WHERE t.time = 0 AND (SELECT max(time) FROM t) <= x")
+def beneficial_mutation(spark, sf):
+    nodes = _tree(spark, sf)[0]
+    starts = spark.createDataFrame([(0, 0.0), (0, 5.0), (0, 1_000_000.0)], "rep long, start double")
+    return P.beneficial(nodes, starts, 500)

@@ -136,3 +136,62 @@ def test_whole_tables_equal_brute_force(spark, tmp_path):
     assert {(r["a"], r["b"]): r["n"] for r in Q.QUERIES["interval_overlap_pairs_all"](spark, str(tmp_path)).collect()} == want
     ends = [1, 3, 10, 990, 997, 1004, 6303, 140_003, 140_004]
     assert sorted(map(tuple, Q.QUERIES["breakpoint_intervals_all"](spark, str(tmp_path)).collect())) == list(zip(ends, ends[1:]))
+
+
+def test_parameters_are_checked(spark):
+    assert M.parameters(100, 1e-8, 0.0, 1000, 5)["ne"] == 100
+    wrong = [lambda: M.parameters(0, 1e-8, 0, 10, 5), lambda: M.parameters(10, -1, 0, 10, 5), lambda: M.parameters(10, 0, 0, 10, 0), lambda: M.directional(0, 0.5, 1, 0), lambda: M.directional(0.1, 2, 1, 0), lambda: M.balancing([0.1], 5, [0.5, 0.5]), lambda: M.balancing([0.1, 0.1], 5, [0.6, 0.5]), lambda: M.background(1e-8, 0.1), lambda: M.recombination_map(spark, [1, 5], [0.1, 0.2]), lambda: M.recombination_map(spark, [5, 1], [0.1]), lambda: M.recombination_map(spark, [1, 5], [-0.1])]
+    for f in wrong:
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_maps_without_rates(spark):
+    draws = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 0.999)], "id int, u double")
+    at = lambda m: [r["position"] for r in M.breakpoints(draws, m, 1000).orderBy("id").collect()]
+    assert at(M.recombination_map(spark, [1, 101, 1001], [0.0, 0.0])) == [1, 501, 1000]
+    assert at(M.recombination_map(spark, [1, 101, 1001], [0.0, 0.0]).filter("false")) == [1, 1, 1]
+    assert at(M.recombination_map(spark, [1, 101, 201, 1001], [0.0, 1e-3, 0.0])) == [101, 151, 200]
+
+
+def test_bottleneck_has_three_epochs(spark):
+    rows = [tuple(r) for r in M.bottleneck(spark, 100.0, 10.0, 5.0, 9.0).collect()]
+    assert rows == [(0, 0.0, 5.0, 100.0), (1, 5.0, 9.0, 10.0), (2, 9.0, None, 100.0)]
+
+
+def test_long_files_fill_and_last_rows_win(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("individual,position,genotype\n2,10,1\n1,30,2\n2,10,2\n")
+    got = {(r["ind_id"], r["position"]): r["g"] for r in X.load_long(spark, str(tmp_path / "x.csv")).collect()}
+    assert got == {(1, 10): 0, (1, 30): 2, (2, 10): 2, (2, 30): 0}
+
+
+def test_headers_and_plink(spark, genotypes, tmp_path):
+    people, sites = genotypes.select("ind_id").distinct(), genotypes.select("position").distinct()
+    lines = lambda p: [r["value"] for r in spark.read.text(str(tmp_path / p)).collect()]
+    X.write(genotypes, people, sites, str(tmp_path / "w"), "wide")
+    assert sorted(lines("w")) == ["0,1,2", "1,0,1", "100,200,300", "2,2,0"]
+    X.write(genotypes, people, sites, str(tmp_path / "v"), "vcf")
+    assert {"##fileformat=VCFv4.2", "##contig=<ID=1,length=1000000>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tIND1\tIND2\tIND3"} <= set(lines("v"))
+    X.write(genotypes, people, sites, str(tmp_path / "p"), "plink")
+    assert sorted(lines("p.map")) == ["1\tSNP1\t0\t100", "1\tSNP2\t0\t200", "1\tSNP3\t0\t300"]
+    assert sorted(lines("p.ped"))[0] == "FAM1\tIND1\t0\t0\t0\t-9\tA A\tA T\tT T"
+
+
+def test_an_odd_last_haplotype(spark):
+    from popspark.operators import genotypes as G
+
+    held = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (3, 20)], "hap_id long, position long")
+    samples = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "hap_id long, ind_id long")
+    assert sorted(map(tuple, G.to_diploid(held, samples).collect())) == [(1, 10, 2), (2, 10, 1), (2, 20, 1)]
+
+
+def test_numbers_follow_the_order(spark):
+    from popspark.operators.numbering import numbered
+
+    rows = spark.range(1000).selectExpr("id * 37 % 1009 AS x", "id AS w")
+    got = {r["x"]: (r["k"], r["total"]) for r in numbered(rows, "x", "k", "w").collect()}
+    weights, before = {r["x"]: r["w"] for r in rows.collect()}, 0
+    for k, x in enumerate(sorted(weights), 1):
+        assert got[x] == (k, before)
+        before += weights[x]
+    assert numbered(rows.filter("false"), "x", "k").collect() == []
