@@ -518,3 +518,25 @@ def test_very_deep_addresses_and_odd_captures(spark):
     got = [(r["page_id"], r["n_active"], r["pattern"]) for r in url_filter.evaluate(seen, log).collect()]
     assert sorted(got, key=str) == [(1, 1, "a.com/x"), (1, 1, "a.com/x"), (2, 0, None), (3, 0, None)]
     assert url_filter.evaluate(seen.filter("false"), log).collect() == [] and url_filter.evaluate(seen, log.filter("false")).filter("blocked").count() == 0
+
+
+def test_no_link_is_lost_among_a_thousand_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(path).select("doc_id", "text").collect()}
+    held: dict[tuple, list[int]] = {}
+    sizes, root = {}, {d: d for d in docs}
+    for d, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        own = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        sizes[d] = len(own)
+        for x in own:
+            held.setdefault(x, []).append(d)
+    shared = Counter((a, b) for own in held.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (sizes[a] + sizes[b] - n)]
+    before = None
+    while before != root:
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = near_dedup.near_dedup(spark.read.parquet(path)).collect()
+    assert len(links) > 50 and {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {d: (root[d], sizes[d]) for d in docs}
