@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm import exact_dedup, html_text, language, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from popspark.llm import exact_dedup, fill_middle, html_text, language, manifest, mixing, near_dedup, packing, pieces, quality, toxicity, url_filter, warc
 from popspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,33 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+#: The fields of a row that its leaf covers.
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proofs of all rows, and the root that each gives where a third of the rows was tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower).otherwise(F.col("text"))
+    given = manifest.digest(*[tampered if c == "text" else F.col(c) for c in FIELDS])
+    found = manifest.manifest(docs.withColumn("given", given), FIELDS, keep=["given"])
+    found = found.withColumn("folded_root", manifest.folded(F.col("given"), F.col("slots"), F.col("proof")))
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"))
+    ids, text = F.sha2(F.array_join("ids", ","), 256), F.sha2(pieces.decoded(F.col("ids")), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), text.alias("decoded_sha256"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm
@@ -164,9 +191,56 @@ FROM t
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), k AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _merkle_sql(levels: int = 7, upper: int = 3) -> str:
+    """Trees of up to 8^levels leaves, and of 8^upper groups, one level of nodes after another."""
+    coded = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({v} AS VARCHAR))) || ':' || {v} END"
+    leaf = lambda text: "sha256(" + " || ".join(coded(c, text if c == "text" else c) for c in FIELDS) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "4294967295 - list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, CAST(i AS INTEGER), 1)) AS BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    ctes = [
+        f"d AS (SELECT *, CAST(doc_id AS VARCHAR) AS key, {leaf('text')} AS leaf, {leaf(lower)} AS changed FROM documents)",
+        f"r AS (SELECT doc_id, lang, leaf, CASE WHEN ({crc}) % 3 = 0 THEN changed ELSE leaf END AS given, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "a0 AS (SELECT lang AS g, i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM r)",
+    ]
+    top, grow = f"a{levels}", lambda x, n: [f"{x}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d, CAST(ceil(any_value(n) / 8.0) AS BIGINT) AS n FROM {x}{k} GROUP BY 1, 2)" for k in range(n)]
+    run = lambda x, n: [f"{x}r{k} AS (SELECT g, i, d, n, string_agg(d, '' ORDER BY i) OVER (PARTITION BY g, i // 8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run FROM {x}{k})" for k in range(n)]
+    ctes += grow("a", levels) + run("a", levels)
+    ctes += [f"b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, d, count(*) OVER () AS n, g AS lang FROM {top})"]
+    ctes += grow("b", upper) + run("b", upper)
+    ctes += [f"f0 AS (SELECT r.doc_id, r.leaf, r.lang, r.i, b0.i AS j, b0.d AS subroot, (SELECT d FROM b{upper}) AS root, given AS f, '' AS proof FROM r JOIN b0 ON r.lang IS NOT DISTINCT FROM b0.lang)"]
+    for k in range(levels + upper):
+        x, h, at, g = ("a", k, "i", "f.lang") if k < levels else ("b", k - levels, "j", "0")
+        slot, many = f"64 * CAST(x.i % 8 AS INTEGER)", "x.n > 1"
+        ctes.append(f"f{k + 1} AS (SELECT f.* EXCLUDE (f, proof), CASE WHEN {many} THEN sha256(substr(run, 1, {slot}) || f || substr(run, {slot} + 65)) ELSE f END AS f, CASE WHEN {many} THEN proof || substr(run, 1, {slot}) || substr(run, {slot} + 65) ELSE proof END AS proof FROM f{k} f JOIN {x}r{h} x ON x.g IS NOT DISTINCT FROM {g} AND x.i = f.{at} // {8**h})")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{levels + upper}"
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_dated_url_lists, op2_exact_dedup, op3_warc_zstd, op4_language_backoff, op5_mix_sources, op6_host_suffix_array, op7_best_fit_packing, op8_minhash_near_dedup, op9_toxicity, op10_quality_outliers)}
+    return {q.__name__: q for q in (op1_dated_url_lists, op2_exact_dedup, op3_warc_zstd, op4_language_backoff, op5_mix_sources, op6_host_suffix_array, op7_best_fit_packing, op8_minhash_near_dedup, op9_toxicity, op10_quality_outliers, op11_fill_middle, op12_merkle_manifest, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dated_url_lists": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc_zstd": OP3_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op1_dated_url_lists": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc_zstd": OP3_SQL, "op5_mix_sources": OP5_SQL, "op11_fill_middle": OP11_SQL, "op12_merkle_manifest": _merkle_sql()}
