@@ -23,6 +23,8 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Distinct words whose ids a task remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 200_000, 64
+#: Slots of a table of pairs.
+SLOTS = 1 << 19
 #: The rank of a pair that no piece spells.
 NONE = np.int32(2**31 - 1)
 
@@ -70,8 +72,13 @@ class Pieces:
         of = lambda s: normal.get(s) if len(s) > 1 else int(self.symbol[ord(s)])
         rows = [(a, b, i) for piece, i in normal.items() for k in range(1, len(piece)) if (a := of(piece[:k])) is not None and (b := of(piece[k:])) is not None]
         left, right, merged = np.array(rows, dtype=np.int64).reshape(-1, 3).T
-        order = np.argsort(keys := left << 32 | right)
-        self.keys, self.merged = np.append(keys[order], 1 << 62), np.append(merged[order], self.none).astype(np.int32)
+        self.tables, keys, names = [], left << 32 | right, merged
+        while len(keys):  # a table of slots by a hash of the two symbols; those that find theirs taken go to the next one
+            slots, first = np.unique(self._slot(keys, len(self.tables)), return_index=True)
+            held, piece = np.full(SLOTS, -1), np.full(SLOTS, self.none, np.int32)
+            held[slots], piece[slots] = keys[first], names[first]
+            self.tables.append((held, piece))
+            keys, names = np.delete(keys, first), np.delete(names, first)
         self.unsafe = np.zeros(self.size + 1, bool)
         for side in (left, right):
             inner = side < self.size
@@ -81,6 +88,11 @@ class Pieces:
         """Where a text can be cut: between two characters that stand together in no piece."""
         self.inside = np.unique([ord(p[k - 1]) << 21 | ord(p[k]) for p in normal for k in range(1, len(p))])
         spans = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in normal)
+        pairs = [(chr(x >> 21), chr(x & 0x1FFFFF)) for x in self.inside.tolist()]
+        alone = {*map(chr, range(128))}.difference(*pairs)  # in no piece but of their own
+        marks = {c for _, c in pairs if not c.isalnum() and c != BLANK}  # those that follow none but each other and blanks
+        while more := {c for b, c in pairs if c in marks and b not in marks and b != BLANK}:
+            marks -= more
         # Blanks: pieces of them rank last and alike, so a run is merged from the left, after all else. Where no other
         # piece begins with two, its first m, the longest piece, are cut off as long as more than m follow.
         only = {len(p): int(self.rank[i]) for p, i in normal.items() if len(p) > 1 and not p.strip(BLANK)}
@@ -90,13 +102,26 @@ class Pieces:
             ids = self.encode_words([BLANK * n for n in range(1, 4 * m)])
             even = all(ids[n - 1] == ids[m - 1] + ids[n - m - 1] and len(ids[m - 1]) == 4 for n in range(m + 1, 4 * m))
         runs = f"{BLANK}{{{m}}}(?={BLANK}{{{m + 1}}})|" if even else ""
-        self.words = re.compile("[\\s\\S]+" if spans else f"{runs}{BLANK}*[^{BLANK}]+|{BLANK}+")
+        a, m = ("".join(map(re.escape, sorted(x))) for x in (alone, marks))
+        self.words = re.compile("[\\s\\S]+" if spans or not (alone and marks) else f"{runs}[{a}]+|{BLANK}*[{m}]*[^{BLANK}{m}{a}]+|{BLANK}*[{m}]+|{BLANK}+")
+
+    @staticmethod
+    def _slot(keys: np.ndarray, table: int) -> np.ndarray:
+        return (keys * np.int64(0x9E3779B97F4A7C1 + 2 * table) >> np.int64(40)) & np.int64(SLOTS - 1)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each two symbols spell, or none."""
         keys = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.merged[at], self.none)
+        slot = self._slot(keys, 0)
+        held, piece = self.tables[0]
+        found = np.where(held[slot] == keys, piece[slot], self.none)
+        rest = np.flatnonzero((held[slot] != keys) & (held[slot] >= 0))
+        for k, (held, piece) in enumerate(self.tables[1:], 1):
+            slot = self._slot(keys[rest], k)
+            hit = held[slot] == keys[rest]
+            found[rest[hit]] = piece[slot[hit]]
+            rest = rest[~hit]
+        return found
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of words, none of them empty, as 32-bit integers in bytes."""
@@ -167,7 +192,7 @@ class Pieces:
             sizes = sizes - np.bincount(word, minlength=len(sizes))
             symbols, last, merged, rank = symbols[kept], last[kept], merged[kept], rank[kept]
             at = at - np.arange(len(at))  # where the new symbols are now
-            near = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            near = np.concatenate([at, at[at > 0] - 1])
             merged[near] = self.none
             inner = near[~last[near]]
             merged[inner] = self.lookup(symbols[inner], symbols[inner + 1])
@@ -183,15 +208,16 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers in bytes; none for a null or empty text."""
         split = [self.words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        own = dict(zip(new, self.encode_words(new))) if new else {}
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= LONGEST)
-        table = self.known | own if len(own) > len(self.known) else self.known
-        get = lambda w: table[w] if w in table else own[w]
-        return [b"".join(map(get, words)) for words in split]
+        used = set().union(*split)
+        if len(self.known) + len(used) > REMEMBERED:  # those in use stay
+            self.known = {w: self.known[w] for w in used & self.known.keys()}
+        new = list(used - self.known.keys())
+        self.known.update(zip(new, self.encode_words(new)) if new else ())
+        found = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return found
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The texts of runs of ids, whose sizes are given. Of each the first blank goes, if a piece begins with it."""
