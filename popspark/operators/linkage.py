@@ -1,11 +1,7 @@
-"""Linkage disequilibrium, correlations of sites, and the genetic relatedness matrix."""
+"""Linkage disequilibrium and correlations of sites."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,58 +35,6 @@ def pairs(genotypes: DataFrame, n_ind: DataFrame, first: int = 100, ahead: int =
     return both.select(F.col("position_a").alias("pos_i"), F.col("position_b").alias("pos_j"), (r * r).alias("r2"))
 
 
-def relatedness(genotypes: DataFrame, individuals: DataFrame, n_ind: DataFrame) -> DataFrame:
-    """i, j, k of the relatedness matrix of standardised dosages, every pair of individuals.
-
-    The sum over sites is expanded, so only pairs of carriers of a site meet; the rest follows from sums by individual.
-    """
-    sites = moments(genotypes, n_ind).withColumn("w", 1 / (F.col("sd") * F.col("sd"))).select("position", "mean", "w")
-    held = genotypes.join(sites, "position")
-    a = held.select("position", F.col("ind_id").alias("i"), (F.col("g") * F.col("w")).alias("x"))
-    b = genotypes.select("position", F.col("ind_id").alias("j"), F.col("g").alias("y"))
-    cross = a.join(b, "position").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    own = held.groupBy("ind_id").agg(F.sum(F.col("g") * F.col("mean") * F.col("w")).alias("own"))
-    each = individuals.select("ind_id").distinct().join(own, "ind_id", "left").select("ind_id", F.coalesce("own", F.lit(0.0)).alias("own"))
-    total = sites.agg(F.sum(F.col("mean") * F.col("mean") * F.col("w")).alias("c"), F.count("*").alias("p"))
-    grid = each.select(F.col("ind_id").alias("i"), F.col("own").alias("oi")).crossJoin(each.select(F.col("ind_id").alias("j"), F.col("own").alias("oj"))).crossJoin(F.broadcast(total))
-    k = (F.coalesce("xy", F.lit(0.0)) - F.col("oi") - F.col("oj") + F.col("c")) / F.col("p")
-    return grid.join(cross, ["i", "j"], "left").select("i", "j", k.alias("k"), "p")
-
-
-def matrix_moments(k: DataFrame) -> DataFrame:
-    """Trace, squared norm, eigenvalue variance and participation ratio; none of them needs the eigenvalues themselves."""
-    one = k.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("k")).otherwise(0.0)).alias("trace"), F.sum(F.col("k") * F.col("k")).alias("norm2"), F.count_if(F.col("i") == F.col("j")).alias("n"))
-    return one.select("trace", "norm2", ((F.col("norm2") - F.col("trace") * F.col("trace") / F.col("n")) / (F.col("n") - 1)).alias("eig_variance"), F.try_divide(F.col("trace") * F.col("trace"), F.col("norm2")).alias("participation"))
-
-
-SPECTRUM = "eigenvalues array<double>, participation double, eig_variance double, entropy double, top1 double, top10 double, mp_ratio double, tw_like double"
-
-
-def _spectrum(values: np.ndarray, sites: int) -> tuple:
-    n, total = len(values), values.sum()
-    share = values / total
-    edge, root = (1 + np.sqrt(n / sites)) ** 2, np.sqrt(n - 1) + np.sqrt(sites)
-    middle, width = root**2 / sites, root / sites * (1 / np.sqrt(n - 1) + 1 / np.sqrt(sites)) ** (1 / 3)
-    entropy = -(share[share > 0] * np.log(share[share > 0])).sum()
-    return values.tolist(), total**2 / (values**2).sum(), values.var(ddof=1), entropy, share[0], share[:10].sum(), values[0] / edge, (values[0] - middle) / width
-
-
-def spectrum(k: DataFrame) -> DataFrame:
-    """Eigenvalues in falling order and what is drawn from them, for one matrix of individuals, whose size bounds the task.
-
-    No row comes back for under two individuals or two sites, or a matrix of zeros.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="i", columns="j", values="k").to_numpy(float)
-        sites = int(pdf["p"].iloc[0])
-        values = np.clip(np.linalg.eigvalsh((m + m.T) / 2)[::-1], 0, None)
-        rows = [_spectrum(values, sites)] if len(values) > 1 and sites > 1 and values.sum() > 1e-15 else []
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SPECTRUM.split(", ")])
-
-    return k.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, SPECTRUM)
-
-
 def site_correlation(genotypes: DataFrame, n_ind: DataFrame, first: int | None = 30) -> DataFrame:
     """Pearson's correlation of the dosages of each two of the first sites that vary, of all without first."""
     sites = moments(genotypes, n_ind)

@@ -103,6 +103,13 @@ def sweep(metrics: DataFrame, by: str, value: str) -> DataFrame:
     return metrics.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count("*")), F.lit(0.0)).alias("se"))
 
 
+def sweep_of(metrics: DataFrame, by: str, values: dict[str, str], sites: str) -> DataFrame:
+    """For each by: n, the replicates, the mean of their sites, and mean and standard error (0 for one) of several values."""
+    error = lambda c: F.coalesce(F.stddev_samp(c) / F.sqrt(F.count("*")), F.lit(0.0))
+    each = [x for name, c in values.items() for x in (F.avg(c).alias(name), error(c).alias(f"{name}_se"))]
+    return metrics.groupBy(by).agg(F.count("*").alias("n"), F.avg(sites).alias("mean_sites"), *each)
+
+
 def rank_correlation(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Pearson's correlation of ranks, ties broken by tie; 0 if it isn't defined. For tables of a result's size: ranks need one order of all rows."""
     ranked = rows.select(F.row_number().over(Window.orderBy(x, tie)).alias("rx"), F.row_number().over(Window.orderBy(y, tie)).alias("ry"))

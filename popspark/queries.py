@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from popspark.functions import models as M
 from popspark.operators import genotypes as G
 from popspark.operators import intervals as I
+from popspark.operators import lanczos
 from popspark.operators import linkage as L
 from popspark.operators import stats as S
+from popspark.operators import tiles
 from popspark.plans import genealogy as P
 from popspark.sources import tables as T
 from popspark.sources import text as X
@@ -189,19 +191,48 @@ k AS (SELECT a.ind_id AS i, b.ind_id AS j, (coalesce(xy, 0) - a.own - b.own + (S
 @query(GRM + "SELECT i, j, round(k, 6) AS k FROM k")
 def grm(spark, sf):
     d = Data(spark, sf)
-    return rounded(L.relatedness(d.genotypes, d.individuals, d.n_ind).drop("p"))
+    return rounded(tiles.relatedness(d.genotypes, d.individuals))
 
 
 @query(GRM + ", o1 AS (SELECT sum(CASE WHEN i=j THEN k ELSE 0 END) AS trace, sum(k*k) AS norm2, CAST(count(*) FILTER (i=j) AS DOUBLE) AS c FROM k) SELECT round(trace, 6) AS trace, round(norm2, 6) AS norm2, round((norm2 - trace*trace/c)/(c-1), 6) AS eig_variance, round(trace*trace/norm2, 6) AS participation FROM o1")
 def grm_moments(spark, sf):
     d = Data(spark, sf)
-    return rounded(L.matrix_moments(L.relatedness(d.genotypes, d.individuals, d.n_ind)))
+    return rounded(tiles.moments(d.genotypes, d.individuals).select("trace", "norm2", "eig_variance", "participation"))
 
 
 @query()
 def spectral_stats(spark, sf):
     d = Data(spark, sf)
-    return L.spectrum(L.relatedness(d.genotypes, d.individuals, d.n_ind))
+    return lanczos.summary(d.genotypes, d.individuals)
+
+
+@query(BASE + """, m AS (SELECT position, sum(g)/CAST(any_value(n_ind) AS DOUBLE) AS mean, sqrt(sum(g*g)/CAST(any_value(n_ind) AS DOUBLE) - pow(sum(g)/CAST(any_value(n_ind) AS DOUBLE), 2)) AS sd FROM g, n GROUP BY 1 HAVING sum(g*g)/CAST(any_value(n_ind) AS DOUBLE) - pow(sum(g)/CAST(any_value(n_ind) AS DOUBLE), 2) > 1e-24),
+x AS (SELECT a.position AS i, b.position AS j, sum(a.g*b.g) AS xy FROM g a JOIN g b USING (ind_id) GROUP BY 1, 2),
+r AS (SELECT (coalesce(xy, 0)/CAST((SELECT n_ind FROM n) AS DOUBLE) - a.mean*b.mean)/(a.sd*b.sd) AS r FROM m a CROSS JOIN m b LEFT JOIN x ON x.i = a.position AND x.j = b.position)
+SELECT p, round((norm2 - p)/(p - 1), 6) AS eig_variance, round(p*p/norm2, 6) AS participation FROM (SELECT (SELECT count(*) FROM m) AS p, sum(r*r) AS norm2 FROM r)""")
+def correlation_spectrum(spark, sf):
+    """The spectrum of all correlations between sites that vary; its SQL takes them pair by pair."""
+    d = Data(spark, sf)
+    return rounded(tiles.correlation_moments(tiles.moments(d.genotypes, d.individuals)).select("p", "eig_variance", "participation"))
+
+
+@query(SCENARIO + """, g AS (SELECT scenario, position // 20 AS block, ind_id, position, count(*) AS g FROM h JOIN s USING (hap_id) GROUP BY ALL), n AS (SELECT CAST(count(DISTINCT ind_id) AS DOUBLE) AS n FROM s),
+k AS (SELECT scenario, block FROM g GROUP BY 1, 2 HAVING count(DISTINCT position) >= 3),
+m AS (SELECT scenario, block, position, sum(g)/any_value(n) AS mean, sqrt(sum(g*g)/any_value(n) - pow(sum(g)/any_value(n), 2)) AS sd FROM g, n GROUP BY 1, 2, 3 HAVING sum(g*g)/any_value(n) - pow(sum(g)/any_value(n), 2) > 1e-24),
+x AS (SELECT scenario, block, a.position AS i, b.position AS j, sum(a.g*b.g) AS xy FROM g a JOIN g b USING (scenario, block, ind_id) GROUP BY ALL),
+r AS (SELECT scenario, block, a.position AS i, (coalesce(xy, 0)/n - a.mean*b.mean)/(a.sd*b.sd) AS r FROM m a JOIN m b USING (scenario, block) LEFT JOIN x ON x.scenario = a.scenario AND x.block = a.block AND x.i = a.position AND x.j = b.position, n),
+e AS (SELECT scenario, block, count(DISTINCT i) AS p, sum(r*r) * pow(any_value(n) / count(DISTINCT i), 2) AS norm2, any_value(n) AS n FROM r JOIN k USING (scenario, block), n GROUP BY 1, 2 HAVING count(DISTINCT i) >= 2),
+v AS (SELECT scenario, p, (norm2 - n)/(n - 1) AS ev, n*n/norm2 AS pr FROM e)
+SELECT scenario, count(*) AS n, round(avg(p), 6) AS mean_sites, round(avg(ev), 6) AS eig_variance, round(coalesce(stddev_samp(ev)/sqrt(count(*)), 0), 6) AS eig_variance_se, round(avg(pr), 6) AS participation, round(coalesce(stddev_samp(pr)/sqrt(count(*)), 0), 6) AS participation_se FROM v GROUP BY 1""")
+def sweep_spectrum(spark, sf):
+    """Eigenvalue variance and participation of each block of 20 positions in each scenario, as mean and standard error over the blocks."""
+    d = Data(spark, sf)
+    held = T.carriers(spark, sf, F.col("l_returnflag").alias("scenario")).withColumn("block", F.floor(F.col("position") / 20))
+    genotypes = held.join(d.samples, "hap_id").groupBy("scenario", "block", "ind_id", "position").agg(F.count("*").alias("g"))
+    by = ["scenario", "block"]
+    enough = held.groupBy(*by).agg(F.countDistinct("position").alias("k")).filter("k >= 3")
+    each = tiles.moments(genotypes, d.individuals, by).filter("p >= 2").join(enough, by, "left_semi")
+    return rounded(S.sweep_of(each, "scenario", {"eig_variance": "eig_variance", "participation": "participation"}, "p"))
 
 
 @query(BASE + ", z AS (SELECT (SELECT n_ind FROM n) AS n_rows, (SELECT count(*) FROM c) AS n_cols, (SELECT count(*) FROM g) AS nnz, (SELECT max(g) FROM g) AS top) SELECT n_rows, n_cols, nnz, round((n_rows*n_cols-nnz)/CAST(n_rows*n_cols AS DOUBLE), 6) AS sparsity, 4*nnz + 4*(n_cols+1) + nnz + 4*n_cols + 8 AS bytes, CASE WHEN top <= 1 AND (n_rows*n_cols-nnz)/CAST(n_rows*n_cols AS DOUBLE) > 0.9 THEN 'bitpacked' WHEN (n_rows*n_cols-nnz)/CAST(n_rows*n_cols AS DOUBLE) > 0.7 THEN 'sparse' ELSE 'dense' END AS layout FROM z")

@@ -6,7 +6,7 @@ import pytest
 from popspark import queries as Q
 from popspark.functions import models as M
 from popspark.operators import intervals as I
-from popspark.operators import linkage as L
+from popspark.operators import lanczos
 from popspark.operators import stats as S
 from popspark.plans import genealogy as P
 from popspark.sources import text as X
@@ -38,11 +38,12 @@ def test_small_matrix(freqs):
 
 def test_spectrum_of_relatedness(spark, genotypes):
     people = spark.createDataFrame([(1,), (2,), (3,)], "ind_id long")
-    k = L.relatedness(genotypes, people, spark.createDataFrame([(3,)], "n_ind long"))
-    r = L.spectrum(k).first()
-    assert r["eigenvalues"] == pytest.approx([2.3660254, 0.6339746, 0], abs=1e-6)
+    values, n, p, _ = lanczos.leading(genotypes, people)
+    assert (n, p) == (3, 3) and values == pytest.approx([2.3660254, 0.6339746, 0], abs=1e-6)
+    r = lanczos.summary(genotypes, people).first()
     assert r["entropy"] == pytest.approx(0.5157067364635544) and r["mp_ratio"] == pytest.approx(0.5915063509461094) and r["tw_like"] == pytest.approx(-0.8189606534965251)
-    assert L.matrix_moments(k).first()["eig_variance"] == pytest.approx(1.5)
+    assert r["top1"] == pytest.approx(0.7886751345948129) and r["top10"] == pytest.approx(1) and r["eig_variance"] == pytest.approx(1.5) and r["participation"] == pytest.approx(1.5)
+    assert lanczos.summary(genotypes.filter("position = 100"), people).collect() == [] and lanczos.summary(genotypes.filter("false"), people).collect() == []
 
 
 def test_no_sites(spark, freqs):
