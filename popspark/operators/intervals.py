@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from popspark.operators import ranges as R
 from popspark.operators.numbering import numbered
+from popspark.sources.shared import ship, written
+
 
+def merge(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The union of each id's intervals; those that touch become one. by: other columns than id that tell groups apart.
 
-def merge(rows: DataFrame) -> DataFrame:
-    """The union of each id's intervals; those that touch become one."""
-    order = Window.partitionBy("id").orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("reach", reach).withColumn("island", island).groupBy("id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    Each range of (id, s) is merged by itself. The greatest end of the ranges before tells which of its islands go on
+    from one begun there, and the last start of such an island is carried on too. So an id may span many tasks.
+    """
+    by = by or ["id"]
+    placed = R.ranged(rows.select(*by, "s", "e"), by, ["s", "e"])
+    local = placed.withColumn("fresh", F.when(F.col("s") <= R.before(by, F.col("e"), F.max), 0).otherwise(1))
+    local = local.withColumn("island", R.upto(by, F.col("fresh"), F.sum))
+    islands = local.groupBy(R.RANGE, *by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    open_ = R.carried(written(islands, "islands"), by, "reach", F.max("e"), F.max)
+    begins = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s"))
+    whole = R.carried(written(open_.withColumn("begins", begins), "begun"), by, "start", F.max("begins"), F.max)
+    return whole.groupBy(*by, F.coalesce("begins", "start").alias("s")).agg(F.max("e").alias("e"))
 
 
 def split(rows: DataFrame, at: int) -> DataFrame:
@@ -38,13 +52,68 @@ def intersect(left: DataFrame, right: DataFrame, width: int = 1_000) -> DataFram
     return a.join(b, ["id", "bin"]).filter((lo < hi) & (F.floor(lo / width) == F.col("bin"))).select("id", lo.alias("s"), hi.alias("e"))
 
 
-def overlapping(rows: DataFrame, width: int = 1_000) -> DataFrame:
-    """Pairs a < b of ids any of whose intervals overlap, with the number of overlaps; the range join runs on bins."""
-    a = bins(rows, width).select("bin", F.col("id").alias("a"), "s", "e")
-    b = bins(rows, width).select("bin", F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    lo = F.greatest("s", "s2")
-    met = a.join(b, "bin").filter((F.col("a") < F.col("b")) & (lo < F.least("e", "e2")) & (F.floor(lo / width) == F.col("bin")))
-    return met.groupBy("a", "b").agg(F.count("*").alias("n"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Intervals by range of their starts, each also in every further range that begins before it ends: to, id, s, e, open.
+
+    open marks those carried over a border. An interval has a row for each range it reaches, however long it is.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    placed = R.ranged(rows.select("id", "s", "e").filter("s < e"), [], ["s"])
+    found = placed.groupBy(R.RANGE).agg(F.min("s").alias("s")).orderBy("s").collect()  # a row for each range
+    names, cuts = np.array([r[R.RANGE] for r in found], np.int64), np.array([r["s"] for r in found])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first = np.searchsorted(names, pdf[R.RANGE].to_numpy())
+            reach = np.maximum(np.searchsorted(cuts, pdf["e"].to_numpy(), side="left") - first, 1)  # borders below the end
+            at = np.repeat(np.arange(len(pdf)), reach)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(reach) - reach, reach)
+            out = pdf.iloc[at][["id", "s", "e"]]
+            yield out.assign(to=first[at] + step, open=step > 0)[["to", "id", "s", "e", "open"]]
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "s", "e")}
+    return placed.mapInPandas(run, f"to long, id {kinds['id']}, s {kinds['s']}, e {kinds['e']}, open boolean")
+
+
+def _sweep(rows: DataFrame, met, schema: str) -> DataFrame:
+    """What met makes of each interval and those open where it begins: met(id, ids) gives rows; one range after another, starts ascending.
+
+    A task holds the intervals that are open at one place.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, ends = None, [], np.zeros(0)
+        for pdf in batches:
+            out = []
+            for to, i, s, e, carried in zip(pdf["to"], pdf["id"], pdf["s"], pdf["e"], pdf["open"]):
+                if to != now:
+                    now, ids, ends = to, np.zeros(0, pdf["id"].dtype), np.zeros(0)
+                live = ends > s
+                if not live.all():
+                    ids, ends = ids[live], ends[live]
+                if not carried and len(ids):
+                    out += met(i, ids)
+                ids, ends = np.append(ids, i), np.append(ends, e)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(rows).repartition(parts, "to").sortWithinPartitions("to", F.col("open").desc(), "s", "id")
+    return dealt.mapInPandas(run, schema)
+
+
+def overlapping(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of ids any of whose intervals overlap, with the number of overlaps, by a sweep along the starts.
+
+    Each overlap counts where the later of the two begins. Empty intervals overlap nothing.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def met(i, ids: np.ndarray) -> list[tuple]:
+        others, counts = np.unique(ids[ids != i], return_counts=True)
+        return [(min(i, o), max(i, o), n) for o, n in zip(others.tolist(), counts.tolist())]
+
+    return _sweep(rows, met, f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def containing(points: DataFrame, rows: DataFrame, width: int = 1_000) -> DataFrame:
@@ -64,11 +133,19 @@ def between(breaks: DataFrame, length: int) -> DataFrame:
 
 
 def as_of(points: DataFrame, marks: DataFrame) -> DataFrame:
-    """For each point (id, position) the last mark (id, at, target) at or before it: union, one sort, last value carried on."""
-    kind = dict(marks.dtypes)["target"]
-    both = points.select("id", "position", F.lit(1).alias("is_point"), F.lit(None).cast(kind).alias("target")).unionByName(marks.select("id", F.col("at").alias("position"), F.lit(0).alias("is_point"), "target"))
-    order = Window.partitionBy("id").orderBy("position", "is_point", "target").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("target", F.last("target", ignorenulls=True).over(order)).filter("is_point = 1").select("id", "position", "target")
+    """Each point (id, position, and what else it has) with target, that of the last mark (id, at, target) at or before it, or null.
+
+    Points and marks lie in one order. Each range of it looks back in itself, and the last mark of the ranges before is
+    carried in, so an id may span many tasks. Of marks at one place the greatest target counts.
+    """
+    kind, more = dict(marks.dtypes)["target"], [c for c in points.columns if c not in ("id", "position")]
+    left = points.select("id", "position", F.lit(1).alias("is_point"), F.lit(None).cast(kind).alias("target"), F.struct(F.lit(0).alias("x_"), *more).alias("more"))
+    right = marks.select("id", F.col("at").cast(dict(points.dtypes)["position"]).alias("position"), F.lit(0).alias("is_point"), "target", F.lit(None).cast(left.schema["more"].dataType).alias("more"))
+    both = R.ranged(left.unionByName(right), ["id"], ["position", "is_point", "target"])
+    last = lambda c: F.last(c, ignorenulls=True)
+    out = R.carried(both, ["id"], "carried", F.max_by("target", F.when(F.col("target").isNotNull(), F.col(R.PLACE))), last)
+    own = R.upto(["id"], F.col("target"), last)
+    return out.withColumn("target", F.coalesce(own, F.col("carried"))).filter("is_point = 1").select("id", "position", *[F.col("more")[c].alias(c) for c in more], "target")
 
 
 def clamped_bins(rows: DataFrame, width: int, n_bins: int) -> DataFrame:
@@ -82,9 +159,19 @@ def bounds(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("s").alias("min_start"), F.max("e").alias("max_end"))
 
 
-def first_overlap(rows: DataFrame, width: int = 1_000) -> DataFrame:
-    """The first two ids, in order, any of whose intervals overlap; no row if there are none."""
-    return overlapping(rows, width).agg(F.min(F.struct("a", "b")).alias("x")).filter("x is not null").select("x.a", "x.b")
+def first_overlap(rows: DataFrame) -> DataFrame:
+    """The first two ids, in order, any of whose intervals overlap; no row if there are none.
+
+    The sweep keeps one pair for each interval: of those open where it begins the least id, and the interval's own.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def met(i, ids: np.ndarray) -> list[tuple]:
+        others = ids[ids != i]
+        return [(min(i, o), max(i, o)) for o in [others.min().item()]] if len(others) else []
+
+    found = _sweep(rows, met, f"a {kind}, b {kind}")
+    return found.agg(F.min(F.struct("a", "b")).alias("x")).filter("x is not null").select("x.a", "x.b")
 
 
 def clipped(rows: DataFrame, length: int) -> DataFrame:
@@ -98,9 +185,11 @@ def total_length(rows: DataFrame, length: int) -> DataFrame:
 
 
 def sample_position(rows: DataFrame, draws: DataFrame, length: int) -> DataFrame:
-    """draws (id, u in [0, 1)) with position: a uniform one of those that the id's intervals hold within [1, length]."""
-    order = Window.partitionBy("id").orderBy("s")
-    own = clipped(rows, length).withColumn("before", F.coalesce(F.sum(F.col("e") - F.col("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    aimed = draws.join(total_length(rows, length), "id").withColumn("r", F.floor(F.col("u") * F.col("total")))
-    inside = aimed.join(own, "id").filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("e") - F.col("s")))
-    return inside.select("id", "total", (F.col("s") + F.col("r") - F.col("before")).cast("long").alias("position"))
+    """draws (id, u in [0, 1)) with position: a uniform one of those that the id's intervals hold within [1, length].
+
+    A draw aims at a place in the joined intervals, and the last interval that begins there or before is looked up.
+    """
+    own = R.running_sum(clipped(rows, length).withColumn("size", F.col("e") - F.col("s")), ["id"], ["s"], "size", "before")
+    aimed = draws.join(total_length(rows, length), "id").withColumn("position", F.floor(F.col("u") * F.col("total")).cast("long"))
+    found = as_of(aimed.select("id", "position", "total"), own.select("id", F.col("before").alias("at"), (F.col("s") - F.col("before")).alias("target")))
+    return found.select("id", "total", (F.col("position") + F.col("target")).cast("long").alias("position"))
