@@ -25,6 +25,11 @@ def epochs(spark: SparkSession, rows: Sequence[tuple[float, float | None, float]
     return spark.createDataFrame([(k, s, e, n) for k, (s, e, n) in enumerate(rows)], "idx int, t_start double, t_end double, ne double")
 
 
+def constant(spark: SparkSession, ne: float) -> DataFrame:
+    """A demography of one size throughout."""
+    return epochs(spark, [(0.0, None, ne)])
+
+
 def bottleneck(spark: SparkSession, present: float, reduced: float, start: float, end: float, ancestral: float | None = None) -> DataFrame:
     return epochs(spark, [(0.0, start, present), (start, end, reduced), (end, None, ancestral or present)])
 
@@ -58,6 +63,11 @@ def recombination_map(spark: SparkSession, positions: Sequence[int], rates: Sequ
     return map_cumulative(spark.createDataFrame(rows, "idx int, s long, e long, rate double"))
 
 
+def uniform_map(spark: SparkSession, length: int, rate: float) -> DataFrame:
+    """A map of one rate over positions 1 to length."""
+    return recombination_map(spark, [1, length + 1], [rate])
+
+
 def breakpoints(draws: DataFrame, cumulative: DataFrame, length: int) -> DataFrame:
     """draws (column u) with position: where the map's cumulative rate reaches u of its total.
 

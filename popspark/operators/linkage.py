@@ -1,4 +1,4 @@
-"""Linkage disequilibrium and correlations of sites."""
+"""Linkage disequilibrium; correlations of all sites are in bitmaps, relatedness in tiles."""
 
 from __future__ import annotations
 
@@ -33,18 +33,3 @@ def pairs(genotypes: DataFrame, n_ind: DataFrame, first: int = 100, ahead: int =
     both = grid.join(sums, ["i_a", "i_b"], "left")
     r = (F.coalesce("s", F.lit(0)) / F.col("n_ind") - F.col("mean_a") * F.col("mean_b")) / (F.col("sd_a") * F.col("sd_b"))
     return both.select(F.col("position_a").alias("pos_i"), F.col("position_b").alias("pos_j"), (r * r).alias("r2"))
-
-
-def site_correlation(genotypes: DataFrame, n_ind: DataFrame, first: int | None = 30) -> DataFrame:
-    """Pearson's correlation of the dosages of each two of the first sites that vary, of all without first."""
-    sites = moments(genotypes, n_ind)
-    sites = sites if first is None else F.broadcast(sites.orderBy("position").limit(first))
-    near = genotypes.join(sites, "position")
-    a = near.select("ind_id", F.col("position").alias("pos_i"), F.col("g").alias("ga"))
-    b = near.select("ind_id", F.col("position").alias("pos_j"), F.col("g").alias("gb"))
-    sums = a.join(b, "ind_id").filter("pos_i < pos_j").groupBy("pos_i", "pos_j").agg(F.sum(F.col("ga") * F.col("gb")).alias("s"))
-    left = sites.select(F.col("position").alias("pos_i"), F.col("mean").alias("ma"), F.col("sd").alias("sa"), "n_ind")
-    right = sites.select(F.col("position").alias("pos_j"), F.col("mean").alias("mb"), F.col("sd").alias("sb"))
-    both = left.join(right, F.col("pos_i") < F.col("pos_j")).join(sums, ["pos_i", "pos_j"], "left")
-    r = (F.coalesce("s", F.lit(0)) / F.col("n_ind") - F.col("ma") * F.col("mb")) / (F.col("sa") * F.col("sb"))
-    return both.select("pos_i", "pos_j", r.alias("r"))

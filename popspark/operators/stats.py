@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from popspark.operators.numbering import numbered
 
 
 def harmonic(n: Column, power: int = 1) -> Column:
@@ -111,8 +112,8 @@ def sweep_of(metrics: DataFrame, by: str, values: dict[str, str], sites: str) ->
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
-    """Pearson's correlation of ranks, ties broken by tie; 0 if it isn't defined. For tables of a result's size: ranks need one order of all rows."""
-    ranked = rows.select(F.row_number().over(Window.orderBy(x, tie)).alias("rx"), F.row_number().over(Window.orderBy(y, tie)).alias("ry"))
+    """Pearson's correlation of ranks, ties broken by tie; 0 if it isn't defined. Columns may be of any type that has an order."""
+    ranked = numbered(numbered(rows.select(x, y, tie), [x, tie], "rx"), [y, tie], "ry")
     return ranked.agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from popspark.functions.models import START
+from popspark.operators.intervals import merge
+from popspark.operators.ranges import running_sum
+from popspark.sources.shared import written
 
 NODES = "rep long, node_id long, parent_id long, time double"
 
@@ -92,29 +95,78 @@ def mutations(nodes: DataFrame, mu: float, length: int, seed: int = 1) -> DataFr
     return branches(nodes).mapInPandas(run, "rep long, node_id long, position long")
 
 
+#: Rounds of doubling, enough for paths of 2^ROUNDS nodes; a longer one is a circle.
+ROUNDS = 48
+
+
+def _doubled(state: DataFrame, step) -> DataFrame:
+    """state (rep, node_id, up, ...) after rounds in which step(state, ahead) joins what the node at up holds and up jumps as far again.
+
+    ahead is state with its columns named to_*, joined on by rep and up. Each round's table is written, so its plan
+    doesn't grow; there are as many rounds as the longest path has binary digits.
+    """
+    for _ in range(ROUNDS):
+        state = written(state, "doubled")
+        if state.filter("up IS NOT NULL").isEmpty():
+            return state
+        ahead = state.select(F.col("rep"), F.col("node_id").alias("up"), *[F.col(c).alias(f"to_{c}") for c in state.columns if c not in ("rep", "node_id")])
+        state = step(state, ahead)
+    raise ValueError("the parents form a circle")
+
+
+def leaf_ranges(nodes: DataFrame) -> DataFrame:
+    """rep, node_id, lo, hi, leaf: leaves (time 0) are numbered so that those at or below a node are lo to hi - 1.
+
+    Counts of leaves come from pointer doubling: what lies within twice the distance is what lies within it, and within
+    it of each node just that far below. A node's lo is the sum, along its path to the root, of the leaves of earlier
+    siblings, by doubling as well. Siblings go by node_id, and a node may have any number of children.
+    """
+    start = nodes.select("rep", "node_id", F.col("parent_id").alias("up"), F.when(F.col("time") == 0, 1).otherwise(0).cast("long").alias("n"))
+
+    def count(state: DataFrame, ahead: DataFrame) -> DataFrame:
+        gain = state.filter("up IS NOT NULL").groupBy("rep", F.col("up").alias("node_id")).agg(F.sum("n").alias("gain"))
+        far = state.join(ahead.select("rep", "up", "to_up"), ["rep", "up"], "left").join(gain, ["rep", "node_id"], "left")
+        return far.select("rep", "node_id", F.col("to_up").alias("up"), (F.col("n") + F.coalesce("gain", F.lit(0))).alias("n"))
+
+    sizes = _doubled(start, count).select("rep", "node_id", "n")
+    placed = nodes.select("rep", "node_id", F.col("parent_id").alias("up"), (F.col("time") == 0).alias("leaf")).join(sizes, ["rep", "node_id"])
+    placed = running_sum(placed, ["rep", "up"], ["node_id"], "n", "lo")
+
+    def path(state: DataFrame, ahead: DataFrame) -> DataFrame:
+        far = state.join(ahead.select("rep", "up", "to_up", "to_lo"), ["rep", "up"], "left")
+        return far.select("rep", "node_id", F.col("to_up").alias("up"), "n", (F.col("lo") + F.coalesce("to_lo", F.lit(0))).alias("lo"), "leaf")
+
+    found = _doubled(placed.select("rep", "node_id", "up", "n", "lo", "leaf"), path)
+    return found.select("rep", "node_id", "lo", (F.col("lo") + F.col("n")).alias("hi"), "leaf")
+
+
+def _spread(ranges: DataFrame, found: DataFrame) -> DataFrame:
+    """ranges (rep, lo, hi, ...) with hap_id, a row for each leaf in them; found is leaf_ranges()."""
+    leaves = found.filter("leaf").select("rep", F.col("lo").alias("at"), F.col("node_id").alias("hap_id"))
+    each = ranges.filter("lo < hi").withColumn("at", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    return each.join(leaves, ["rep", "at"]).drop("at", "lo", "hi")
+
+
 def leaves_below(nodes: DataFrame) -> DataFrame:
-    """rep, node_id, hap_id of every leaf at or below every node, by a recursive query from the leaves upwards."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("genealogy_nodes")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "100000")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql("""
-        WITH RECURSIVE up(rep, node_id, hap_id) AS (
-          SELECT rep, node_id, node_id FROM genealogy_nodes WHERE time = 0
-          UNION ALL
-          SELECT u.rep, g.parent_id, u.hap_id FROM up u JOIN genealogy_nodes g ON g.rep = u.rep AND g.node_id = u.node_id WHERE g.parent_id IS NOT NULL)
-        SELECT rep, node_id, hap_id FROM up""")
+    """rep, node_id, hap_id of every leaf at or below every node."""
+    found = leaf_ranges(nodes)
+    return _spread(found.select("rep", "node_id", "lo", "hi"), found)
 
 
-def carriers(mutated: DataFrame, below: DataFrame) -> DataFrame:
-    """rep, hap_id, position: the haplotypes under a mutation; two mutations of a position unite."""
-    return mutated.join(below, ["rep", "node_id"]).select("rep", "hap_id", "position").distinct()
+def carriers(mutated: DataFrame, found: DataFrame) -> DataFrame:
+    """rep, hap_id, position: the haplotypes under a mutation (rep, node_id, position); found is leaf_ranges().
+
+    Ranges of several mutations of a position are united first, so no carrier comes twice.
+    """
+    held = mutated.join(found, ["rep", "node_id"]).filter("lo < hi").select("rep", "position", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    united = merge(held, ["rep", "position"]).select("rep", "position", F.col("s").alias("lo"), F.col("e").alias("hi"))
+    return _spread(united, found).select("rep", "hap_id", "position")
 
 
 def simulate(params: DataFrame, mu: float, length: int, seed: int = 1, demography=None, sweep=None) -> DataFrame:
     """Diploid genotypes (rep, ind_id, position, g) of every replicate."""
     tree = trees(params, demography, sweep).cache()  # replicates' nodes; draws depend on seed and rep alone, so a lost part is drawn again alike
-    held = carriers(mutations(tree, mu, length, seed), leaves_below(tree))
+    held = carriers(mutations(tree, mu, length, seed), leaf_ranges(tree))
     return held.groupBy("rep", F.ceil(F.col("hap_id") / 2).alias("ind_id"), "position").agg(F.count("*").alias("g"))
 
 
@@ -141,7 +193,7 @@ def shape(nodes: DataFrame) -> DataFrame:
 
 def extract_genotypes(nodes: DataFrame, mutated: DataFrame) -> DataFrame:
     """Diploid genotypes (rep, ind_id, position, g) of supplied trees and their mutations (rep, node_id, position)."""
-    held = carriers(mutated, leaves_below(nodes))
+    held = carriers(mutated, leaf_ranges(nodes))
     return held.groupBy("rep", F.ceil(F.col("hap_id") / 2).alias("ind_id"), "position").agg(F.count("*").alias("g"))
 
 

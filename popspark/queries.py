@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions import models as M
+from popspark.operators import bitmaps
 from popspark.operators import genotypes as G
 from popspark.operators import intervals as I
 from popspark.operators import lanczos
 from popspark.operators import linkage as L
 from popspark.operators import stats as S
 from popspark.operators import tiles
+from popspark.operators.numbering import numbered
 from popspark.plans import genealogy as P
 from popspark.sources import tables as T
 from popspark.sources import text as X
+from popspark.sources import vcf
+from popspark.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,19 +171,32 @@ def ld_summary(spark, sf):
     return rounded(L.pairs(d.genotypes, d.n_ind).agg(F.count("*").alias("n_pairs"), F.avg("r2").alias("mean_r2"), F.max("r2").alias("max_r2")))
 
 
-@query(BASE + """, z AS (SELECT position FROM (SELECT position, count(*) AS k, sum(g) AS s1, sum(g*g) AS s2 FROM g GROUP BY 1), n WHERE s2*n_ind > s1*s1 ORDER BY position LIMIT 30),
-d AS (SELECT z.position, i.ind_id, coalesce(g.g, 0) AS g FROM z CROSS JOIN (SELECT DISTINCT ind_id FROM s) i LEFT JOIN g ON g.position = z.position AND g.ind_id = i.ind_id)
-SELECT a.position AS pos_i, b.position AS pos_j, round(corr(a.g, b.g), 6) AS r FROM d a JOIN d b ON a.ind_id = b.ind_id AND a.position < b.position GROUP BY 1, 2""")
+@query(BASE + """, m AS (SELECT position, sum(g)/CAST(any_value(n_ind) AS DOUBLE) AS mean, sqrt(sum(g*g)/CAST(any_value(n_ind) AS DOUBLE) - pow(sum(g)/CAST(any_value(n_ind) AS DOUBLE), 2)) AS sd FROM g, n GROUP BY 1 HAVING sum(g*g)*any_value(n_ind) > sum(g)*sum(g)),
+x AS (SELECT a.position AS i, b.position AS j, sum(a.g*b.g) AS xy FROM g a JOIN g b USING (ind_id) WHERE a.position < b.position GROUP BY 1, 2)
+SELECT a.position AS pos_i, b.position AS pos_j, round((coalesce(xy, 0)/CAST((SELECT n_ind FROM n) AS DOUBLE) - a.mean*b.mean)/(a.sd*b.sd), 6) AS r FROM m a JOIN m b ON a.position < b.position LEFT JOIN x ON x.i = a.position AND x.j = b.position""")
 def site_corr(spark, sf):
+    """The correlations of every two sites that vary."""
     d = Data(spark, sf)
-    return rounded(L.site_correlation(d.genotypes, d.n_ind))
+    people, n = tiles.people_of(d.individuals)
+    return rounded(bitmaps.correlations(bitmaps.build(d.genotypes, people), n))
 
 
-@query()
-def site_corr_all(spark, sf):
-    """site_corr over all sites that vary; its SQL takes the first 30."""
+@query(BASE + "SELECT ind_id, position, g FROM g")
+def bitmap_genotypes(spark, sf):
+    """Genotypes read back from the bitmaps that they were packed in."""
+    d = Data(spark, sf)
+    people, _ = tiles.people_of(d.individuals)
+    return bitmaps.unpack(written(bitmaps.build(d.genotypes, people), "bitmaps"), people)
+
+
+@query(BASE + ", q AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) % (SELECT n_ind FROM n) + 1 AS ind_id, CAST(p_partkey AS BIGINT) AS position FROM part) SELECT q.ind_id, q.position, coalesce(g.g, 0) AS g FROM q LEFT JOIN g ON g.ind_id = q.ind_id AND g.position = q.position")
+def bitmap_lookup(spark, sf):
+    """Cells looked up in bitmaps."""
     d = Data(spark, sf)
-    return rounded(L.site_correlation(d.genotypes, d.n_ind, None))
+    people, n = tiles.people_of(d.individuals)
+    key = F.col("p_partkey").cast("long")
+    cells = T.table(spark, sf, "part").select((key % n + 1).alias("ind_id"), key.alias("position")).distinct().join(people, "ind_id")
+    return bitmaps.lookup(cells, bitmaps.build(d.genotypes, people)).select("ind_id", "position", "g")
 
 
 GRM = BASE + """, m AS (SELECT position, sum(g)/CAST(any_value(n_ind) AS DOUBLE) AS mean, sum(g*g)/CAST(any_value(n_ind) AS DOUBLE) - pow(sum(g)/CAST(any_value(n_ind) AS DOUBLE), 2) AS v FROM g, n GROUP BY 1 HAVING v > 1e-24),
@@ -291,27 +309,22 @@ def epoch_lookup(spark, sf):
 HOT = "WITH b AS (SELECT CAST(x AS BIGINT)*100000+1 AS st FROM range(0, 10) r(x)), q AS (SELECT st AS s, st+5000 AS e, 1e-8::DOUBLE*20/(0.05*20+0.95*0.02) AS rate FROM b UNION ALL SELECT st+5000, st+100000, 1e-8::DOUBLE*0.02/(0.05*20+0.95*0.02) FROM b), m AS (SELECT row_number() OVER (ORDER BY s) AS idx, s, e, rate, sum((e-s)*rate) OVER (ORDER BY s) AS cum FROM q)"
 
 
-@query(HOT + " SELECT idx, s, e, round(rate*1e12, 4) AS rate, round(cum*1e9, 4) AS cum FROM m")
+@query(HOT + ", z AS (SELECT *, cum - (e-s)*rate AS before FROM m), d AS (SELECT p_partkey AS id, CAST(CAST('0x'||substr(md5(p_partkey||':hot'),1,13) AS BIGINT) AS DOUBLE)/pow(2,52) * (SELECT max(cum) FROM m) AS aim FROM part) SELECT id, CAST(least(greatest(floor(s + (aim-before)/rate), 1), 1000000) AS BIGINT) AS position FROM d JOIN z ON rate > 0 AND aim > before AND aim <= cum")
 def hotspot_map(spark, sf):
-    m = M.map_cumulative(M.hotspot_map(spark, 1_000_000, 1e-8))
-    return m.select(F.col("idx").cast("long").alias("idx"), "s", "e", F.round(F.col("rate") * 1e12, 4).alias("rate"), F.round(F.col("cum") * 1e9, 4).alias("cum"))
+    """Breakpoints drawn for every part from a map with periodic hotspots."""
+    draws = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), M.uniform("p_partkey", F.lit("hot")).alias("u"))
+    return M.breakpoints(draws, M.map_cumulative(M.hotspot_map(spark, 1_000_000, 1e-8)), 1_000_000).select("id", "position")
 
 
 @query("SELECT p_partkey AS id, CAST(least(greatest(floor(1 + CAST(CAST('0x'||substr(md5(p_partkey||':break'),1,13) AS BIGINT) AS DOUBLE)/pow(2,52)*100000*1e-8/1e-8), 1), 100000) AS BIGINT) AS position FROM part")
 def breakpoint_sample(spark, sf):
     draws = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), M.uniform("p_partkey", F.lit("break")).alias("u"))
-    one = spark.createDataFrame([(1, 1, 100_001, 1e-8)], "idx int, s long, e long, rate double")
-    return M.breakpoints(draws, M.map_cumulative(one), 100_000).select("id", "position")
+    return M.breakpoints(draws, M.uniform_map(spark, 100_000, 1e-8), 100_000).select("id", "position")
 
 
-@query("WITH b AS (SELECT DISTINCT position FROM (SELECT CAST(p_partkey AS BIGINT)*7+3 AS position FROM part WHERE p_partkey*7+3 <= 1000 UNION ALL SELECT unnest([1, 1001]))) SELECT position AS s, lead(position) OVER (ORDER BY position) AS e FROM b QUALIFY e IS NOT NULL")
+@query("WITH c AS (SELECT DISTINCT CAST(p_partkey AS BIGINT)*7+3 AS position FROM part), b AS (SELECT position FROM c UNION SELECT 1 UNION SELECT max(position)+1 FROM c) SELECT position AS s, lead(position) OVER (ORDER BY position) AS e FROM b QUALIFY e IS NOT NULL")
 def breakpoint_intervals(spark, sf):
-    return I.between(T.table(spark, sf, "part").select((F.col("p_partkey").cast("long") * 7 + 3).alias("position")), 1000)
-
-
-@query()
-def breakpoint_intervals_all(spark, sf):
-    """breakpoint_intervals over a sequence that holds all positions; its SQL ends at 1000."""
+    """The intervals between the breakpoints of a sequence that holds all of them."""
     breaks = T.table(spark, sf, "part").select((F.col("p_partkey").cast("long") * 7 + 3).alias("position"))
     return I.between(breaks, breaks.agg(F.coalesce(F.max("position"), F.lit(1))).first()[0])
 
@@ -336,14 +349,8 @@ def interval_intersect(spark, sf):
     return I.intersect(m, m.withColumn("id", F.col("id") - 1))
 
 
-@query(MERGED + " SELECT a.id AS a, b.id AS b, count(*) AS n FROM m a JOIN m b ON a.id < b.id AND a.s < b.e AND b.s < a.e WHERE a.s < 3000 AND b.s < 3000 GROUP BY 1, 2")
+@query(MERGED + " SELECT a.id AS a, b.id AS b, count(*) AS n FROM m a JOIN m b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY 1, 2")
 def interval_overlap_pairs(spark, sf):
-    return I.overlapping(I.merge(T.intervals(spark, sf)).filter("s < 3000"))
-
-
-@query()
-def interval_overlap_pairs_all(spark, sf):
-    """interval_overlap_pairs over all intervals; its SQL takes starts below 3000."""
     return I.overlapping(I.merge(T.intervals(spark, sf)))
 
 
@@ -390,22 +397,6 @@ def memory_class(spark, sf):
     return T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(sites, 6).alias("sites"), M.size_class(n, F.lit(1000), F.lit(1.0)).alias("class"))
 
 
-@query("WITH RECURSIVE e(c, p) AS (VALUES (1,5),(2,5),(3,6),(5,6),(4,7),(6,7)), up(node_id, hap_id) AS (SELECT x, x FROM (VALUES (1),(2),(3),(4)) t(x) UNION ALL SELECT p, hap_id FROM up JOIN e ON c = node_id) SELECT CAST(node_id AS BIGINT) AS node_id, CAST(hap_id AS BIGINT) AS hap_id FROM up")
-def tree_closure(spark, sf):
-    rows = [(0, 1, 5, 0.0), (0, 2, 5, 0.0), (0, 3, 6, 0.0), (0, 4, 7, 0.0), (0, 5, 6, 10.0), (0, 6, 7, 25.0), (0, 7, None, 40.0)]
-    return P.leaves_below(spark.createDataFrame(rows, P.NODES)).select("node_id", "hap_id")
-
-
-EDGES = [(5, 1, 1, 101), (5, 2, 1, 101), (6, 3, 1, 51), (6, 5, 1, 101), (9, 4, 1, 101), (9, 8, 51, 101), (8, 3, 51, 101), (7, 6, 1, 101), (7, 9, 1, 101)]
-
-
-@query("WITH RECURSIVE e(p, c, s, e) AS (VALUES (5,1,1,101),(5,2,1,101),(6,3,1,51),(6,5,1,101),(9,4,1,101),(9,8,51,101),(8,3,51,101),(7,6,1,101),(7,9,1,101)), pt AS (SELECT n, x FROM (VALUES (5),(6),(7),(9)) a(n), (SELECT unnest(range(1, 101, 10)) AS x) b), d(n, x, cur) AS (SELECT n, x, n FROM pt UNION ALL SELECT n, x, c FROM d JOIN e ON p = cur AND x >= s AND x < e) SELECT DISTINCT CAST(n AS BIGINT) AS node_id, CAST(x AS BIGINT) AS position, CAST(cur AS BIGINT) AS hap_id FROM d WHERE cur <= 4")
-def marginal_carriers(spark, sf):
-    edges = spark.createDataFrame(EDGES, "parent_id long, child_id long, s long, e long")
-    points = spark.createDataFrame([(n, x) for n in (5, 6, 7, 9) for x in range(1, 101, 10)], "node_id long, position long")
-    return P.marginal_carriers(edges, points)
-
-
 @query(SCENARIO + ", t AS (SELECT position, sum(2*p*(1-p)) AS d, count(*) AS k FROM f GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY round(d, 9), position) AS a, row_number() OVER (ORDER BY k, position) AS b FROM t) SELECT round(corr(a, b), 6) AS rho FROM r")
 def rank_corr(spark, sf):
     d = Data(spark, sf)
@@ -419,30 +410,6 @@ def sweep_summary(spark, sf):
     return rounded(S.sweep(T.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "scenario"), "scenario", "l_quantity"))
 
 
-def _replicates(spark: SparkSession, n: int = 20, reps: int = 16) -> DataFrame:
-    return spark.range(reps).select(F.col("id").alias("rep"), F.lit(n).alias("n"), F.lit(1000.0).alias("ne"), F.lit(42).alias("seed"))
-
-
-@query()
-def coalescent_tree(spark, sf):
-    return P.trees(_replicates(spark))
-
-
-@query()
-def demography_tree(spark, sf):
-    return P.trees(_replicates(spark), demography=[(0.0, 100.0, 1000.0), (100.0, 400.0, 100.0), (400.0, float("inf"), 1000.0)])
-
-
-@query()
-def selection_tree(spark, sf):
-    return P.trees(_replicates(spark), sweep=(0.01, 0.5, 1000.0))
-
-
-@query()
-def neutral_genotypes(spark, sf):
-    return P.simulate(_replicates(spark), 2e-6, 1000)
-
-
 @query(BASE + f", a AS (SELECT {ALL.format(p='').replace('round(avg(p), 6)', 'round(avg(p), 4)').replace('round(count(*) / CAST(max(position)-min(position)+1 AS DOUBLE), 6) AS density', 'round(1000 * (count(*) / CAST(max(position)-min(position)+1 AS DOUBLE)), 2) AS density_per_kb')} FROM f) SELECT n_sites, n_common, mean_af, pi, theta_w, density_per_kb FROM a")
 def stats_report(spark, sf):
     return S.rounded_report(S.population(Data(spark, sf).freqs))
@@ -603,3 +570,37 @@ def beneficial_mutation(spark, sf):
     nodes = _tree(spark, sf)[0]
     starts = spark.createDataFrame([(0, 0.0), (0, 5.0), (0, 1_000_000.0)], "rep long, start double")
     return P.beneficial(nodes, starts, 500)
+
+
+@query(TREE + ", up(node_id, hap_id) AS (SELECT node_id, node_id FROM t WHERE time = 0 UNION ALL SELECT t.parent_id, up.hap_id FROM up JOIN t USING (node_id) WHERE t.parent_id IS NOT NULL) SELECT node_id, hap_id FROM up")
+def tree_closure(spark, sf):
+    """The leaves at or below every node."""
+    return P.leaves_below(_tree(spark, sf)[0]).select("node_id", "hap_id")
+
+
+@query(TREE + ", pt AS (SELECT DISTINCT CASE WHEN node_id <= n THEN node_id + n - 1 ELSE node_id END AS node_id, position FROM mu, z), down(top, position, node_id) AS (SELECT node_id, position, node_id FROM pt UNION ALL SELECT d.top, d.position, t.node_id FROM down d JOIN t ON t.parent_id = d.node_id LEFT JOIN iv ON iv.node_id = t.node_id WHERE iv.s IS NULL OR d.position >= iv.s AND d.position < iv.e) SELECT DISTINCT top AS node_id, position, node_id AS hap_id FROM down WHERE node_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL)")
+def marginal_carriers(spark, sf):
+    """The leaves that inherit from an inner node at a position."""
+    nodes, mutated, intervals, n = _tree(spark, sf)
+    edges = nodes.filter("parent_id IS NOT NULL").join(intervals, "node_id", "left").select("parent_id", F.col("node_id").alias("child_id"), F.coalesce("s", F.lit(1)).cast("long").alias("s"), F.coalesce("e", F.lit(1001)).cast("long").alias("e"))
+    inner = F.when(F.col("node_id") <= n, F.col("node_id") + n - 1).otherwise(F.col("node_id"))
+    return P.marginal_carriers(edges, mutated.select(inner.alias("node_id"), "position").distinct())
+
+
+@query(BASE + "SELECT ind_id, position, g FROM g")
+def vcf_round_trip(spark, sf):
+    """Genotypes written and read by the VCF data source."""
+    d = Data(spark, sf)
+    path = f"{shared_dir(spark)}/vcf-{uuid.uuid4().hex}"
+    vcf.save(d.genotypes, d.individuals, path)
+    people = numbered(d.individuals, "ind_id", "at").select(F.col("at").alias("ind_id"), F.col("ind_id").alias("id"))  # columns back to ids
+    return vcf.load(spark, path).filter("g > 0").join(people, "ind_id").select(F.col("id").alias("ind_id"), "position", "g")
+
+
+@query(BASE + "SELECT i.ind_id, c.position, coalesce(g.g, 0) AS g FROM (SELECT DISTINCT ind_id FROM g) i CROSS JOIN c LEFT JOIN g ON g.ind_id = i.ind_id AND g.position = c.position")
+def csv_long_filled(spark, sf):
+    """Genotypes written as a long CSV file and loaded as the dense table."""
+    d = Data(spark, sf)
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    X.write(d.genotypes, d.individuals, d.positions, path)
+    return X.load_long(spark, path)

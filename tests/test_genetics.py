@@ -124,7 +124,7 @@ def test_whole_tables_equal_brute_force(spark, tmp_path):
         if q <= 1 + p % 50:
             sites.setdefault(p + 1, np.zeros(4))[(s + 2) // 2 - 1] += 1
     varying = {p: g for p, g in sites.items() if g.std() > 0}
-    got = {(r["pos_i"], r["pos_j"]): r["r"] for r in Q.QUERIES["site_corr_all"](spark, str(tmp_path)).collect()}
+    got = {(r["pos_i"], r["pos_j"]): r["r"] for r in Q.QUERIES["site_corr"](spark, str(tmp_path)).collect()}
     assert len(varying) > 30 and got == {(a, b): pytest.approx(np.corrcoef(x, y)[0, 1], abs=2e-6) for a, x in varying.items() for b, y in varying.items() if a < b}
     merged: dict[int, list[list[int]]] = {}
     for s, e, i in sorted((p * 10 + 1, p * 10 + 1 + int(q), s) for s, p, q, _ in lines):
@@ -134,9 +134,9 @@ def test_whole_tables_equal_brute_force(spark, tmp_path):
         else:
             own.append([s, e])
     want = {(a, b): n for a in merged for b in merged if a < b and (n := sum(x[0] < y[1] and y[0] < x[1] for x in merged[a] for y in merged[b]))}
-    assert {(r["a"], r["b"]): r["n"] for r in Q.QUERIES["interval_overlap_pairs_all"](spark, str(tmp_path)).collect()} == want
+    assert {(r["a"], r["b"]): r["n"] for r in Q.QUERIES["interval_overlap_pairs"](spark, str(tmp_path)).collect()} == want
     ends = [1, 3, 10, 990, 997, 1004, 6303, 140_003, 140_004]
-    assert sorted(map(tuple, Q.QUERIES["breakpoint_intervals_all"](spark, str(tmp_path)).collect())) == list(zip(ends, ends[1:]))
+    assert sorted(map(tuple, Q.QUERIES["breakpoint_intervals"](spark, str(tmp_path)).collect())) == list(zip(ends, ends[1:]))
 
 
 def test_parameters_are_checked(spark):
@@ -158,6 +158,8 @@ def test_maps_without_rates(spark):
 def test_bottleneck_has_three_epochs(spark):
     rows = [tuple(r) for r in M.bottleneck(spark, 100.0, 10.0, 5.0, 9.0).collect()]
     assert rows == [(0, 0.0, 5.0, 100.0), (1, 5.0, 9.0, 10.0), (2, 9.0, None, 100.0)]
+    assert [tuple(r) for r in M.constant(spark, 7.0).collect()] == [(0, 0.0, None, 7.0)]
+    assert [tuple(r)[1:4] for r in M.uniform_map(spark, 1000, 1e-8).collect()] == [(1, 1001, 1e-8)]
 
 
 def test_long_files_fill_and_last_rows_win(spark, tmp_path):
@@ -196,3 +198,14 @@ def test_numbers_follow_the_order(spark):
         assert got[x] == (k, before)
         before += weights[x]
     assert numbered(rows.filter("false"), "x", "k").collect() == []
+
+
+def test_numbers_of_other_keys(spark, genotypes):
+    from popspark.operators import genotypes as G
+    from popspark.operators.numbering import numbered
+
+    rows = spark.createDataFrame([("b", 2), ("a", 3), (None, 1), ("b", 1), ("a", 3)], "x string, y int")
+    assert [(r["k"], r["x"], r["y"]) for r in sorted(numbered(rows, ["x", "y"], "k").collect(), key=lambda r: r["k"])] == [(1, None, 1), (2, "a", 3), (3, "a", 3), (4, "b", 1), (5, "b", 2)]
+    sites = genotypes.select("position").distinct()
+    assert sorted(r["line"] for r in X.map_lines(sites).collect()) == ["1\tSNP1\t0\t100", "1\tSNP2\t0\t200", "1\tSNP3\t0\t300"]
+    assert sorted(map(tuple, G.column_pointers(genotypes, sites).collect())) == [(100, 1, 1, 2), (200, 2, 3, 2), (300, 3, 5, 2)]
