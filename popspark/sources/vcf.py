@@ -190,15 +190,18 @@ class VcfWriter(DataSourceArrowWriter):
             out.write("\n".join([*HEAD, "\t".join([*COLUMNS, *(f"IND{x}" for x in self.ids)])]).encode() + b"\n")
         for k, m in enumerate(parts, 1):
             system.move(posixpath.join(local, m.name), posixpath.join(local, f"part-{k:05d}.vcf"))
-        for m in messages:
-            if m is not None and m.first < 0:
-                system.delete_file(posixpath.join(local, m.name))
+        self._sweep()
 
     def abort(self, messages: list[Part | None]) -> None:
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Delete what tasks of this run left: empty parts, and those of tries that failed."""
         system, local = _place(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(posixpath.join(local, m.name))
+        if system.get_file_info(local).type == pafs.FileType.Directory:
+            for f in system.get_file_info(pafs.FileSelector(local)):
+                if f.base_name.startswith(f"_part-{self.run}"):
+                    system.delete_file(f.path)
 
 
 class VcfSource(DataSource):
