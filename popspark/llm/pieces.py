@@ -22,7 +22,9 @@ MODEL = "piece_bpe_32k.model"
 #: The mark that stands for a blank, U+2581.
 BLANK = "▁"
 #: Distinct words whose ids a task remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 150_000, 64
+#: Texts that are encoded, and ids that are decoded, at once.
+TEXTS, IDS = 200, 500_000
 #: Slots of a table of pairs.
 SLOTS = 1 << 19
 #: The rank of a pair that no piece spells.
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
         for batch in batches:
-            found = pieces.encode(batch.column("text").to_pylist())
+            found = [ids for at in range(0, batch.num_rows, TEXTS) for ids in pieces.encode(batch.column("text").slice(at, TEXTS).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -302,8 +304,12 @@ def decoded(ids: Column, model: str | None = None) -> Column:
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        runs = [np.asarray(x if x is not None else [], np.int64) for x in column]
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        return pd.Series(loaded(path).decode(flat, np.fromiter(map(len, runs), np.int64, len(runs))), dtype=object)
+        sizes = np.fromiter((0 if x is None else len(x) for x in column), np.int64, len(column))
+        lots, out = np.cumsum(sizes) // IDS, []
+        for lot in np.unique(lots):  # rows that begin within the same IDS ids
+            some = np.flatnonzero(lots == lot)
+            flat = np.concatenate([column.iloc[k] for k in some if sizes[k]] or [np.zeros(0, np.int32)]).astype(np.int64)
+            out += loaded(path).decode(flat, sizes[some])
+        return pd.Series(out, dtype=object)
 
     return run(ids)
