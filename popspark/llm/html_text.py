@@ -43,6 +43,8 @@ MINOR = 0.5
 LINKS = 0.5
 
 RAW = "script style noscript template svg iframe object canvas textarea select title".split()
+#: Of these, those that are over at once if their tag ends in a slash.
+CLOSED = "svg math iframe object canvas select template noscript".split()
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button".split())
 DROP = set("nav aside footer form menu dialog button head".split())
@@ -50,7 +52,9 @@ MAIN = {"article", "main"}
 #: Names of a class or id that mark what isn't the article: whole ones, or as the last part of a name.
 MARKS = set("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination popup promo promos promoted related respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 #: Whole names that mark containers inside an article; all else there is judged by what the host repeats.
-INNER = set("ad ads advert adverts advertisement breadcrumb breadcrumbs comments comment-list menu nav navbar sidebar".split())
+INNER = set("ad ads advert adverts advertisement ad-slot ad-unit ad-container ad-wrapper breadcrumb breadcrumbs comment comments comment-list comments-section comment-section reader-comments user-comments menu nav navbar newsletter newsletter-signup sidebar".split())
+#: A name that begins so and ends so is the article's own heading.
+OWN, HEADING = set("article content entry main post story".split()), {"header", "masthead", "banner"}
 #: Elements that hold text of their own, which no name inside an article marks.
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption span b i em strong a".split())
 #: Roles that do.
@@ -58,7 +62,7 @@ ROLES = set("navigation banner contentinfo complementary search dialog alert ale
 
 # What a tag's text takes in is never given back, and an open quote is read as text, so each pattern ends in linear time.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:" + "|".join(CLOSED) + r")(?=[\s/>])[^>]*+(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
@@ -71,7 +75,8 @@ def _named(tag: str, value: str, inside: bool) -> bool:
     names = value.split()
     if inside:
         return tag not in TEXT and not INNER.isdisjoint(names)
-    return any(n in MARKS or _SPLIT.split(n)[-1] in MARKS for n in names)
+    parts = [_SPLIT.split(n) for n in names]
+    return any(n in MARKS or p[-1] in MARKS and not (p[0] in OWN and p[-1] in HEADING) for n, p in zip(names, parts))
 
 
 def _unwanted(tag: str, rest: str, inside: bool) -> bool:
@@ -90,8 +95,24 @@ def _unwanted(tag: str, rest: str, inside: bool) -> bool:
     return False
 
 
+_NOSCRIPT = re.compile(r"</?noscript(?=[\s/>])[^>]*+>", re.I)
+
+
 def blocks(page: str) -> list[tuple[str, bool, float]]:
-    """The page's blocks of text that structure doesn't rule out: (text, in an article, share of links)."""
+    """The page's blocks of text that structure doesn't rule out: (text, in an article, share of links).
+
+    What stands in noscript counts only if there is more of it than of all else, as on pages that scripts fill.
+    """
+    out = _blocks(page)
+    opened = _NOSCRIPT.sub("", page)
+    if len(opened) < len(page):
+        size = lambda x: sum(len(b[0]) for b in x)
+        whole = _blocks(opened)
+        out = whole if size(whole) > 2 * size(out) else out
+    return out
+
+
+def _blocks(page: str) -> list[tuple[str, bool, float]]:
     out: list[tuple[str, bool, float]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, unwanted, article
     opened: Counter = Counter()  # how many of each tag are open
