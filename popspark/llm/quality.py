@@ -149,13 +149,25 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["group", "mean", "inverse"])
 
 
+def dealt(rows: DataFrame, part: int = PART) -> DataFrame:
+    """rows (row, group, size) with part, so that about part rows of a group share one.
+
+    Rows go by their hash, whatever the layout of files. More than part equal ones, of which there are few kinds, would
+    all meet in one part, so they go by where they lie; as they are equal, it doesn't matter which goes where.
+    """
+    hot = written(rows.groupBy("group", "row").agg(F.count("*").alias("equal")).filter(F.col("equal") > part), "hot")
+    few = hot.limit(1_000_001).count() <= 1_000_000
+    marked = rows.join(F.broadcast(hot) if few else hot, ["group", "row"], "left")
+    key = F.when(F.col("equal").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("row", F.monotonically_increasing_id()))
+    return marked.withColumn("part", F.pmod(key, F.ceil(F.col("size") / part))).drop("equal")
+
+
 def estimates(rows: DataFrame, part: int = PART, steps: int = STEPS) -> DataFrame:
     """One row for each value of group: group, size, mean, inverse. rows: row, group and the vector."""
     sizes = written(rows.groupBy("group").agg(F.count("*").alias("size")), "sizes")
     total = rows.count()
-    rows = written(join_groups(rows, sizes, ["group"], "size", total), "dealt")
-    deal = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / part))
-    parts = rows.withColumn("part", deal).groupBy("group", "part").applyInPandas(_part, "group string, det double, mean array<double>, inverse array<double>")
+    rows = written(join_groups(rows, sizes, ["group"], "size", total), "sized")
+    parts = dealt(rows, part).groupBy("group", "part").applyInPandas(_part, "group string, det double, mean array<double>, inverse array<double>")
     best = written(parts.groupBy("group").agg(F.min_by(F.struct("mean", "inverse"), "det").alias("best")).select("group", "best.*").join(sizes, "group"), "estimates")
     values = [F.col(n) for n in NAMES]
     for _ in range(steps):  # concentration over all rows of the group
@@ -176,7 +188,7 @@ def rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     group's estimate. Only texts that pass the base are estimated from. A null language or source is one of its own.
     Groups under SMALL rows use their language's estimate, languages under SMALL rows that of all texts. Repeated rows
     count each for itself. Rows are dealt out by a hash of doc_id and text, so another layout of files gives the same
-    estimates. An empty table gives an empty result.
+    estimates, up to the deal of thousands of equal rows. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     of_lang, of_source = null_safe(F.col(lang), F.col(source))

@@ -157,3 +157,13 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         pieces.Pieces(str(tmp_path / "m"))
+
+
+def test_equal_rows_of_the_outliers_are_dealt_out(spark):
+    from popspark.llm import quality
+
+    rows = spark.range(14_000).selectExpr("'g' AS group", "CASE WHEN id < 12000 THEN 5 ELSE id END AS row", "CAST(14000 AS BIGINT) AS size").repartition(4)
+    sizes = [r["count"] for r in quality.dealt(rows, 2000).groupBy("part").count().collect()]
+    assert sum(sizes) == 14_000 and max(sizes) < 3000
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words that are the same in each of a very large number of rows of one table and so on and on").alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    assert quality.rules(docs).groupBy("kept").count().collect() == [(True, 5000)]
