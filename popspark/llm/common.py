@@ -22,6 +22,8 @@ HOT_GROUPS = 10_000
 HOT_ROWS = 100
 #: A table of keys is broadcast up to so many rows (some tens of MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Copies of a row that one task makes.
+COPIES = 65_536
 #: Rows that a Python task gets at once; texts may be long.
 BATCH = 1000
 
@@ -104,3 +106,12 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     mark = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
     share = min(1.0, (1.1 * most + 100) / max(total, 1))
     return rows.filter(mark <= int(share * (1 << 30))).orderBy(mark, key).limit(most)
+
+
+def copied(rows: DataFrame, n: str, most: int, name: str = "copy") -> DataFrame:
+    """Each row n times, numbered from 0 in the column name. most is the greatest n; a row of many copies is dealt out to tasks."""
+    first, step = F.lit(0).cast("long"), F.lit(COPIES).cast("long")
+    if most > COPIES:
+        rows = rows.withColumn("first_copy", F.explode(F.sequence(first, F.col(n) - 1, step))).repartition(partitions(rows.sparkSession))
+        first = F.col("first_copy")
+    return rows.withColumn(name, F.explode(F.sequence(first, F.least(first + step, F.col(n)) - 1)))

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from popspark.llm.common import WORD, null_safe, written
+from popspark.llm.common import WORD, copied, null_safe, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows of a source are dealt over so many buckets, so a source of a third of all rows isn't one group.
 BUCKETS = 1024
+#: With more rows than so many for each bucket, buckets are halved until they hold about so many.
+BUCKET_ROWS = 100_000
 SEED = "mix-1"
 
 
@@ -42,22 +44,28 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
     return ranked.withColumn("target", target).select("source", "source_size", "weight", "capped", "target")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """How often each document is taken so that its source comes to its target.
 
     Returns a row for each row of docs: doc_id, size (words), source_size, target, taken (words, repeats counted) and
     repeats. Every document is taken floor(target / source_size) times; the rest of the target is filled with further
     whole documents in an order that a hash of seed and doc_id gives, up to the one whose middle is beyond it. So a
     source misses its target by half a document at most, and reruns agree. Null sources form a source of their own;
-    documents without words, and all of a source without words, take 0. Repeated rows count each for itself. An empty
-    table gives an empty result.
+    documents without words, and all of a source without words, take 0. Repeated rows count each for itself; rows that
+    share source, doc_id (or have none) and size are one row with a count until the end, however many there are. Only
+    the number of a text's words is used, so texts may have any length. An empty table gives an empty result. Whatever
+    else docs holds is left alone, and its names don't matter.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id).cast("string")).cast("binary")), 1, 15)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.conv(mark, 16, 10).cast("long").alias("mark"))
-    rows = rows.withColumns({"of": null_safe(F.col("source"))[0], "bucket": F.col("mark") % buckets})
-    rows = written(rows, "sizes")
-    dealt = written(rows.groupBy("of", "source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    rows = written(rows.groupBy("source", "mark", "doc_id", "size").agg(F.count("*").alias("n")), "sizes")
+    # A mark has 60 bits. Buckets in their order, and marks in theirs within each, give the same order for any number of halvings.
+    halved = max(0, (rows.count() // (BUCKETS * bucket_rows)).bit_length())
+    bucket = F.col("mark") % BUCKETS * (1 << halved) + F.shiftright("mark", 60 - halved)
+    rows = rows.withColumns({"of": null_safe(F.col("source"))[0], "bucket": bucket})
+    dealt = written(rows.groupBy("of", "source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.max("n").alias("most")), "buckets")
+    most = dealt.agg(F.max("most")).first()[0] or 0
     sources = targets(dealt.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     sources = sources.withColumn("of", null_safe(F.col("source"))[0]).drop("source")
     run = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,8 +73,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     own = Window.partitionBy("of", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.drop("source").withColumn("ahead", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    placed = rows.drop("source").withColumn("ahead", F.coalesce(F.sum(F.col("size") * F.col("n")).over(own), F.lit(0)))
     placed = placed.join(plan.select("of", "bucket", "start", "source_size", "target", "whole", "part"), ["of", "bucket"])
-    more = (F.col("start") + F.col("ahead") + F.col("size") / 2 < F.col("part")).cast("long")
+    placed = copied(placed, "n", most)
+    more = (F.col("start") + F.col("ahead") + F.col("copy") * F.col("size") + F.col("size") / 2 < F.col("part")).cast("long")
     placed = placed.withColumn("repeats", F.col("whole") + more)
     return placed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
