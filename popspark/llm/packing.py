@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from popspark.llm.common import ship, written
+from popspark.llm.common import copied, ship, written
 
 MAX_TOKENS = 2048
-#: Pieces of one length are ranked in so many buckets, as one length may hold a third of all pieces.
-BUCKETS = 512
+#: Pieces of one length are ranked in buckets of about so many, as one length may hold a third of all pieces.
+BUCKET_ROWS = 65_536
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 200_000
 SEPARATOR = 0
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class CapacityTree:
@@ -159,13 +160,14 @@ def _tokenise(path: str, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id", size: int = MAX_TOKENS, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id", size: int = MAX_TOKENS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     tokenizer is the path of a tokenizer file, by default that of the public word tokenizer. A document is its ids
     and then id 0; a null or empty text is id 0 alone. Documents over size tokens are cut into pieces of that size.
-    Repeated rows are packed each for itself; pieces of equal length trade places by hash, which reruns repeat.
-    An empty table gives an empty result.
+    Repeated rows are packed each for itself; equal pieces are one row with a count until they get their places, however
+    many there are. Pieces of equal length trade places by hash, which reruns repeat. A text of any length is cut by one
+    task. An empty table gives an empty result. Whatever else docs holds is left alone, and its names don't matter.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -175,9 +177,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_
         tokenizer = public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = rows.mapInPandas(_tokenise(tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = written(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))), "pieces")
-    counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
+    pieces = written(pieces.groupBy(*PIECE).agg(F.count("*").alias("n")), "pieces")
+    lengths = written(pieces.groupBy("length").agg(F.sum("n").alias("pieces"), F.max("n").alias("most"), F.ceil(F.count("*") / bucket_rows).alias("buckets")), "lengths")
+    histogram, most = {}, 0
+    for r in lengths.collect():  # size rows at most
+        histogram[r["length"]], most = r["pieces"], max(most, r["most"])
     steps = np.array(plan(histogram, size), dtype=np.int64).reshape(-1, 6)
     order = np.lexsort((steps[:, 1], steps[:, 0]))
     sent = spark.sparkContext.broadcast(steps[order])
@@ -191,9 +195,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_
         step, ahead = known[at], r - known[at, 1]
         return pd.DataFrame({"sequence_id": step[:, 3] + ahead // step[:, 4], "offset": step[:, 5] + ahead % step[:, 4] * n})
 
+    pieces = pieces.join(F.broadcast(lengths.select("length", "buckets")), "length").withColumn("bucket", F.pmod(F.xxhash64(*PIECE), F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(own)).join(starts, ["length", "bucket"])
-    placed = ranked.withColumn("at", place("length", F.col("before") + F.col("own") - 1))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    starts = pieces.groupBy("length", "bucket").agg(F.sum("n").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    own = Window.partitionBy("length", "bucket").orderBy(*PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = pieces.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, ["length", "bucket"])
+    placed = copied(ranked, "n", most).withColumn("at", place("length", F.col("before") + F.col("own") + F.col("copy")))
+    return placed.select(*PIECE, "at.sequence_id", "at.offset")
