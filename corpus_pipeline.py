@@ -23,9 +23,9 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def _row_key(docs: DataFrame, *more: str) -> Column:
-    """A digest of doc_id, text and further columns: rows that share it count as the same document."""
-    ids = null_safe(F.col("doc_id"), *map(F.col, more))
-    return F.unhex(F.md5(F.concat_ws("\n", *ids, F.coalesce("text", F.lit("")))))
+    """A digest of doc_id, text and further columns, each after its length: rows that share it count as the same document."""
+    parts = [*null_safe(F.col("doc_id"), *map(F.col, more)), F.coalesce("text", F.lit(""))]
+    return F.unhex(F.md5(F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
