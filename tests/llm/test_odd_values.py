@@ -102,3 +102,33 @@ def test_scores_of_odd_rows_with_a_model(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "x" * 50_000), (5, "12 !!"), (6, LONG)], "doc_id long, text string")
     got = {r["doc_id"]: r["s"] for r in rows.select("doc_id", toxicity.chance(model)(F.col("text")).alias("s")).collect()}
     assert got[1] == got[2] == got[3] and all(0 <= s <= 1 for s in got.values()) and got[1] < toxicity.CUT
+
+
+@pytest.mark.parametrize("most", [65_536, 1000])
+def test_a_hundred_thousand_equal_rows_are_mixed_and_packed(spark, monkeypatch, most):
+    from popspark.llm import common
+
+    monkeypatch.setattr(common, "COPIES", most)
+    hot = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("web").alias("source"), F.lit("one two three").alias("text"))
+    docs = hot.unionByName(spark.range(50).select("id", F.lit("books"), F.expr("repeat('word ', cast(id as int))")).toDF("doc_id", "source", "text"))
+    got = mixing.mix(docs)
+    sums = {r["source_size"]: r for r in got.groupBy("source_size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert sums[300_000]["n"] == 100_000 and sums[1225]["n"] == 50
+    assert all(abs(r["taken"] - r["target"]) <= 50 for r in sums.values())
+    packed = packing.pack(docs)
+    assert packed.count() == 100_050 and packed.select("sequence_id", "offset").distinct().count() == 100_050
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert used.filter("n <> end or n > 2048").isEmpty()
+
+
+def test_smaller_buckets_change_no_decision(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.expr("substring('abbccc', cast(id % 6 as int) + 1, 1)").alias("source"), F.expr("repeat('w ', cast(id % 7 as int))").alias("text"))
+    whole, halved = (mixing.mix(docs, **more).toPandas().sort_values("doc_id").reset_index(drop=True) for more in ({}, {"bucket_rows": 1}))
+    assert whole.equals(halved) and len(whole) == 10_000 and whole["repeats"].nunique() > 1
+    bins = lambda x: x.select("sequence_id").distinct().count()
+    assert bins(packing.pack(docs)) == bins(packing.pack(docs, bucket_rows=3))
+
+
+def test_a_line_end_in_a_column_makes_no_equal_keys(spark):
+    rows = spark.createDataFrame([(1, "A\nvB", "C"), (1, "A", "vB\nC")], "doc_id long, source string, text string")
+    assert rows.select(corpus_pipeline._row_key(rows, "source").alias("k")).distinct().count() == 2

@@ -384,7 +384,7 @@ def test_pipeline_equals_a_plain_version(spark):
     root = _components({d: r["text"] for d, r in rows.items()}, 5)
     rows = [r for d, r in rows.items() if root[d] == d]
     tagged = lambda x: "n" if x is None else f"v{x}"
-    key = lambda r: hashlib.md5("\n".join([tagged(r["doc_id"]), tagged(r["source"]), r["text"] or ""]).encode()).hexdigest().upper()
+    key = lambda r: hashlib.md5("".join(f"{len(x)}:{x}" for x in [tagged(r["doc_id"]), tagged(r["source"]), r["text"] or ""]).encode()).hexdigest().upper()
     times = _mixed([(key(r), r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in rows])
     whole, want = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), []
     for r in rows:
