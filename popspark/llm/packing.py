@@ -12,6 +12,8 @@ import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import cache
+from struct import pack as pack_ids
 from unicodedata import is_normalized
 
 import numpy as np
@@ -26,7 +28,7 @@ MAX_TOKENS = 2048
 #: Pieces of one length are ranked in buckets of about so many, as one length may hold a third of all pieces.
 BUCKET_ROWS = 65_536
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a worker process remembers.
 REMEMBERED = 200_000
 SEPARATOR = 0
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -110,6 +112,7 @@ class Ids(dict):
 
     The tokenizer cuts between letters and punctuation and ignores case, so a word is looked up as its letters in lower
     case and what follows them. Letters alone go to the tokenizer's model straight away, all else through all of it.
+    Words are remembered in two halves: when the newer is full it becomes the older, and words in use move back.
     """
 
     def __init__(self, path: str):
@@ -117,18 +120,24 @@ class Ids(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        core = word.rstrip(_TAIL)
-        if core != word and core.isalpha() and core.lower().isalpha():
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and is_normalized("NFC", word) and word.lower() == word:
-            ids = np.array([t.id for t in self.model.tokenize(_shown(word.encode()))], dtype="<u4").tobytes()
-        else:
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_TAIL)
+            if core != word and core.isalpha() and core.lower().isalpha():
+                ids = self[core] + self[word[len(core) :]]
+            elif word.isalpha() and (word.isascii() or is_normalized("NFC", word)) and word.lower() == word:
+                tokens = self.model.tokenize(word if word.isascii() else _shown(word.encode()))
+                ids = pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
+            else:
+                found = self.whole.encode(word, add_special_tokens=False).ids
+                ids = pack_ids(f"<{len(found)}I", *found)
         if len(word) < 100:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -145,9 +154,15 @@ class Ids(dict):
 _KEEP_CASE = re.compile("<\\||[\u03a3\u0130]")
 
 
+@cache
+def _ids(path: str) -> Ids:
+    """One for each worker process, so its later tasks know the words of earlier ones."""
+    return Ids(path)
+
+
 def _tokenise(path: str, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end = Ids(path), SEPARATOR.to_bytes(4, "little")
+        ids, end = _ids(path), SEPARATOR.to_bytes(4, "little")
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
