@@ -262,8 +262,31 @@ def _plausible(percent: int):
     return _by_run(["region"], out)
 
 
+def _forest(linked: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links of a region, a symmetric matrix, those that join its groups as all of them do: one for each group joined."""
+    seen, kept = np.zeros(group.max(initial=-1) + 1, bool), []
+    for start in range(len(group)):
+        if seen[group[start]]:
+            continue
+        seen[group[start]] = True
+        ahead = np.flatnonzero(group == group[start]).tolist()
+        while ahead:
+            i = ahead.pop()
+            j = np.flatnonzero(linked[i] & ~seen[group])
+            new, first = np.unique(group[j], return_index=True)
+            if len(new):
+                kept += [(i, int(x)) for x in j[first]]
+                seen[new] = True
+                ahead += np.flatnonzero(np.isin(group, new)).tolist()
+    return kept
+
+
 def _block_links(percent: int):
-    """Links between different roots in each region: the shared shingles of all its nodes at once, as products of incidence."""
+    """Links that join the roots in each region: the shared shingles of all its nodes at once, as products of incidence.
+
+    All pairs are compared; of their links a spanning forest of the roots goes out, as components need no more, so rows
+    out grow as the nodes and not as their pairs.
+    """
 
     def out(pdf: pd.DataFrame) -> pa.RecordBatch:
         edge = np.append(np.flatnonzero(_starts(pdf, ["region"])), len(pdf)).tolist()
@@ -282,9 +305,8 @@ def _block_links(percent: int):
                 held = np.zeros((e - f, COLUMNS), np.float32)
                 held[who[part], code[part] - at] = 1
                 shared += held @ held.T
-            i, j = np.nonzero(100 * shared >= percent * (n[:, None] + n[None, :] - shared))
-            may = (i < j) & (root[f + i] != root[f + j])
-            links += zip(node[f + i[may]], node[f + j[may]])
+            linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+            links += [(node[f + i], node[f + j]) for i, j in _forest(linked, np.unique(root[f:e], return_inverse=True)[1])]
         return pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.binary()), pa.array([min(x) for x in links], pa.binary())], ["a", "b"])
 
     return _by_run(["region"], out)

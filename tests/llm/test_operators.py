@@ -220,6 +220,30 @@ def test_large_runs_are_compared_in_full(spark):
         assert want <= {(x, y) for m in regions.values() for x in m for y in m}
 
 
+def _joined(size, links):
+    """The least member of each member's component."""
+    at = list(range(size))
+    for a, b in links:
+        low, high = sorted((at[a], at[b]))
+        at = [low if x == high else x for x in at]
+    return at
+
+
+@pytest.mark.parametrize("size,share", [(1, 1.0), (30, 0.02), (60, 0.05), (200, 0.5), (300, 1.0)])
+def test_a_block_sends_as_few_links_as_join_the_same_groups(size, share):
+    rng = np.random.default_rng(size)
+    linked = np.triu(rng.random((size, size)) < share)
+    linked |= linked.T
+    for groups in (1, max(size // 5, 1), size):
+        group = np.unique(rng.integers(0, groups, size), return_inverse=True)[1]
+        found = near_dedup._forest(linked, group)
+        want = _joined(group.max() + 1, [(group[i], group[j]) for i, j in np.argwhere(linked)])
+        assert all(linked[i, j] for i, j in found)
+        assert _joined(group.max() + 1, [(group[i], group[j]) for i, j in found]) == want
+        assert len(found) == len(want) - len(set(want))
+    assert near_dedup._forest(np.zeros((0, 0), bool), np.zeros(0, np.int64)) == []
+
+
 def test_runs_are_sought_over_the_whole_host(spark):
     rng = random.Random(4)
     own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(640)]
