@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from codecs import charmap_decode
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import cache
-from struct import pack as pack_ids
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,8 +29,8 @@ MAX_TOKENS = 2048
 #: Pieces of one length are ranked in buckets of about so many, as one length may hold a third of all pieces.
 BUCKET_ROWS = 65_536
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker process remembers.
-REMEMBERED = 200_000
+#: Distinct words whose ids a worker process remembers, some 200 bytes each.
+REMEMBERED = 400_000
 SEPARATOR = 0
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -99,19 +100,26 @@ def plan(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple]:
 
 def _shown(data: bytes) -> str:
     """Bytes as the characters that byte-level tokenizers show them as: printable ones as themselves, the others from U+0100 on."""
-    return data.decode("latin-1").translate(_SHOWN)
+    return charmap_decode(data, "strict", _SHOWN)[0]
 
 
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_TAIL = ",.!?|:;"
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+_SHOWN = "".join(chr(b if b in _PRINTED else 256 + _HIDDEN.index(b)) for b in range(256))
+#: Words in which the tokenizer's cuts are surely known, and these cuts.
+_PLAIN = re.compile("[!-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+_CUTS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Here case counts, or lower case isn't made letter by letter: special tokens, the final sigma, the dotted I.
+_KEEP_CASE = ("<|", "\u03a3", "\u0130")
+#: Python's split takes these for white space, the tokenizer doesn't.
+_NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Ids(dict):
     """The ids of a word, as little-endian unsigned 32-bit bytes; words are remembered up to a bound.
 
-    The tokenizer cuts between letters and punctuation and ignores case, so a word is looked up as its letters in lower
-    case and what follows them. Letters alone go to the tokenizer's model straight away, all else through all of it.
+    The tokenizer cuts between letters, digits and punctuation and ignores case, so a word is looked up by these parts
+    in lower case. Letters alone go to the tokenizer's model straight away, what is cut no further through all of it.
     Words are remembered in two halves: when the newer is full it becomes the older, and words in use move back.
     """
 
@@ -121,19 +129,12 @@ class Ids(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.older: dict[str, bytes] = {}
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(max(self.whole.get_vocab().values()) + 1)]
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            core = word.rstrip(_TAIL)
-            if core != word and core.isalpha() and core.lower().isalpha():
-                ids = self[core] + self[word[len(core) :]]
-            elif word.isalpha() and (word.isascii() or is_normalized("NFC", word)) and word.lower() == word:
-                tokens = self.model.tokenize(word if word.isascii() else _shown(word.encode()))
-                ids = pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
-            else:
-                found = self.whole.encode(word, add_special_tokens=False).ids
-                ids = pack_ids(f"<{len(found)}I", *found)
+            ids = self._new(word)
         if len(word) < 100:
             if len(self) >= REMEMBERED // 2:
                 self.older = dict(self)
@@ -141,17 +142,26 @@ class Ids(dict):
             self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        """Words are cut at blanks and line ends, where the tokenizer itself always cuts."""
-        if not text:
-            return b""
-        if is_normalized("NFC", text) and not _KEEP_CASE.search(text):
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
-
+    def _new(self, word: str) -> bytes:
+        if word.isalpha():
+            if word.lower() == word and (word.isascii() or is_normalized("NFC", word)):
+                return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(word if word.isascii() else _shown(word.encode()))])
+        else:
+            core = word.rstrip(punctuation)
+            if core != word and core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):
+                return self[core] + self[word[len(core) :]]
+            if _PLAIN.fullmatch(word) and "<|" not in word and len(parts := _CUTS.findall(word)) > 1:
+                return b"".join(map(self.__getitem__, parts))
+        return b"".join([self.bytes_of[i] for i in self.whole.encode(word, add_special_tokens=False).ids])
 
-#: Here case counts, or lower case isn't made letter by letter: special tokens, the final sigma, the dotted I.
-_KEEP_CASE = re.compile("<\\||[\u03a3\u0130]")
+    def of(self, text: str) -> bytes:
+        """Words are cut at white space, where the tokenizer itself always cuts."""
+        if is_normalized("NFC", text) and not any(map(text.__contains__, _KEEP_CASE)):
+            lower = text.lower()
+            if is_normalized("NFC", lower):  # a mark may join a small letter but not the capital
+                text = lower
+        words = re.split("[ \t\n\r]+", text) if any(map(text.__contains__, _NO_SPACE)) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @cache

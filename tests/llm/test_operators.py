@@ -98,6 +98,31 @@ def test_word_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(ids.of(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_letters_of_words_never_go_through_the_whole_tokenizer():
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole, ids, sent = Tokenizer.from_file(path), packing.Ids(path), []
+    ids.whole = SimpleNamespace(encode=lambda word, **how: sent.append(word) or whole.encode(word, **how))
+    text = " ".join(f"{a}{b}%%%, L'{a}{b}e-{b}2 (\u00e9{a}{b}) {b}{a}'ll_" for a in "abcdefghij" for b in "klmnopqrst")
+    assert np.frombuffer(ids.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(sent) < 20
+
+
+def test_word_ids_of_odd_characters_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole, ids = Tokenizer.from_file(path), packing.Ids(path)
+    marks = ["H\u0331 x", "H\u0331, T\u0308.", "\u0958, x", "\ufb1d. <|x", "a\x1cb\x1f c", "a\xa0b\u2003c\u0085d", "x<|endoftext|>, y", "'S 'll 'sam I'VE", "_a_ 1,5%", "\u00b5m \u00aa\u00b2"]
+    for t in [*marks, *(f"Ab{c}c {c}, {c} 'S{c}x" for c in map(chr, range(0x1000)))]:
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_best_fit_plan_places_every_piece_once():
     rng = random.Random(1)
     counts = Counter(rng.randrange(1, 65) for _ in range(500))
