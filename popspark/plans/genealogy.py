@@ -7,7 +7,8 @@ side. All that grows with sites and samples (branches, mutations, carriers, geno
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from popspark.functions.models import START
 from popspark.operators.intervals import merge
 from popspark.operators.ranges import running_sum
-from popspark.sources.shared import written
+from popspark.sources.shared import BROADCAST_ROWS, shared_dir, written
 
 NODES = "rep long, node_id long, parent_id long, time double"
 
@@ -170,20 +171,44 @@ def simulate(params: DataFrame, mu: float, length: int, seed: int = 1, demograph
     return held.groupBy("rep", F.ceil(F.col("hap_id") / 2).alias("ind_id"), "position").agg(F.count("*").alias("g"))
 
 
+def _levels(start: DataFrame, moves: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The rows of start and all that step(rows, moves) makes of them again and again; moves has a column from_, the node that a move leaves.
+
+    Each level is written, so plans don't grow and no number of rows or levels is too many; rows alike in a level are
+    one. A path leaves each node once at most, so more levels mean a circle.
+    """
+    spark = start.sparkSession
+    base, paths, most = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", [], math.inf
+    moves = written(moves, "moves")
+    near = F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves
+    level = start
+    while True:
+        paths.append(f"{base}/{len(paths)}")
+        level.distinct().write.option("compression", "zstd").parquet(paths[-1])
+        level = spark.read.schema(start.schema).parquet(paths[-1])
+        if level.isEmpty():
+            return spark.read.schema(start.schema).parquet(*paths)
+        if len(paths) == 16:
+            most = moves.select("from_").distinct().count() + 1
+        if len(paths) > most:
+            raise ValueError("the graph holds a circle")
+        level = step(level, near)
+
+
 def marginal_carriers(edges: DataFrame, points: DataFrame) -> DataFrame:
     """For points (node_id, position) the leaves (hap_id) below that hold the position.
 
     edges: parent_id, child_id, s, e; a child inherits from its parent on [s, e) only. A leaf is its own parent.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("genealogy_edges")
-    points.createOrReplaceTempView("genealogy_points")
-    return spark.sql("""
-        WITH RECURSIVE down(top, position, node_id) AS (
-          SELECT node_id, position, node_id FROM genealogy_points
-          UNION ALL
-          SELECT d.top, d.position, x.child_id FROM down d JOIN genealogy_edges x ON x.parent_id = d.node_id AND d.position >= x.s AND d.position < x.e)
-        SELECT DISTINCT top AS node_id, position, node_id AS hap_id FROM down WHERE node_id NOT IN (SELECT parent_id FROM genealogy_edges)""")
+    moves = edges.select(F.col("parent_id").alias("from_"), "child_id", "s", "e")
+
+    def step(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        met = (F.col("from_") == F.col("node_id")) & (F.col("position") >= F.col("s")) & (F.col("position") < F.col("e"))
+        return rows.join(moves, met).select("top", "position", F.col("child_id").alias("node_id"))
+
+    down = _levels(points.select(F.col("node_id").alias("top"), "position", "node_id"), moves, step)
+    leaves = down.join(edges.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    return leaves.select(F.col("top").alias("node_id"), "position", F.col("node_id").alias("hap_id")).distinct()
 
 
 def shape(nodes: DataFrame) -> DataFrame:

@@ -204,3 +204,24 @@ def test_vcf_writer_refuses_what_it_cannot_order(spark, dosages, tmp_path):
     assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_part")]
     vcf.save(genotypes.filter("position < 100"), people, path, "overwrite")
     assert vcf.load(spark, path).agg(F.max("position")).first()[0] < 100
+
+
+def _comb(depth: int) -> list[tuple]:
+    """parent_id, child_id, s, e of a comb: node k has the leaf k + 1000 and the node k + 1; odd nodes inherit on [0, 50) only."""
+    return [x for k in range(depth) for x in ((k, k + 1000, 0, 100), (k, k + 1, 0, 50 if k % 2 else 100))]
+
+
+@pytest.fixture
+def few_recursive_rows(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)  # what a recursive query stops at with an error, a million if not set
+    yield
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_marginal_carriers_have_no_limit(spark, few_recursive_rows):
+    edges = spark.createDataFrame(_comb(12), "parent_id long, child_id long, s long, e long")
+    points = spark.createDataFrame([(0, 10), (0, 70), (10, 70), (12, 5)], "node_id long, position long")
+    want = {(0, 10, k + 1000) for k in range(12)} | {(0, 10, 12), (0, 70, 1000), (0, 70, 1001), (10, 70, 1010), (10, 70, 1011), (12, 5, 12)}
+    assert sorted(map(tuple, P.marginal_carriers(edges, points).collect())) == sorted(want)
+    with pytest.raises(ValueError):  # a circle
+        P.marginal_carriers(spark.createDataFrame([(1, 2, 0, 9), (2, 1, 0, 9)], "parent_id long, child_id long, s long, e long"), spark.createDataFrame([(1, 3)], "node_id long, position long")).collect()
