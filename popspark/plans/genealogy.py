@@ -229,17 +229,14 @@ def inherited(nodes: DataFrame, mutated: DataFrame, intervals: DataFrame, sample
     samples: node_id, hap_id, the haplotypes that a fragment leaf stands for; leaves up to n_hap stand for themselves.
     Positions that none or all of the n_hap haplotypes carry are left out.
     """
-    spark = nodes.sparkSession
     up = nodes.filter("parent_id is not null").select("node_id", "parent_id")
-    takes = up.join(intervals, "node_id", "left").select("node_id", "parent_id", F.coalesce("s", F.lit(-(2**62))).alias("s"), F.coalesce("e", F.lit(2**62)).alias("e"))
-    takes.createOrReplaceTempView("genealogy_takes")
-    mutated.select("node_id", "position").distinct().createOrReplaceTempView("genealogy_mutated")
-    below = spark.sql("""
-        WITH RECURSIVE down(node_id, position) AS (
-          SELECT node_id, position FROM genealogy_mutated
-          UNION ALL
-          SELECT t.node_id, d.position FROM down d JOIN genealogy_takes t ON t.parent_id = d.node_id AND d.position >= t.s AND d.position < t.e)
-        SELECT node_id, position FROM down""")
+    takes = up.join(intervals, "node_id", "left").select(F.col("parent_id").alias("from_"), F.col("node_id").alias("child_id"), F.coalesce("s", F.lit(-(2**62))).alias("s"), F.coalesce("e", F.lit(2**62)).alias("e"))
+
+    def step(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        met = (F.col("from_") == F.col("node_id")) & (F.col("position") >= F.col("s")) & (F.col("position") < F.col("e"))
+        return rows.join(moves, met).select(F.col("child_id").alias("node_id"), "position")
+
+    below = _levels(mutated.select("node_id", "position"), takes, step)
     leaves = below.join(up.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
     own = leaves.filter(F.col("node_id") <= n_hap).select(F.col("node_id").alias("hap_id"), "position")
     routed = leaves.filter(F.col("node_id") > n_hap).join(samples, "node_id").filter(F.col("hap_id").between(1, n_hap)).select("hap_id", "position")

@@ -225,3 +225,13 @@ def test_marginal_carriers_have_no_limit(spark, few_recursive_rows):
     assert sorted(map(tuple, P.marginal_carriers(edges, points).collect())) == sorted(want)
     with pytest.raises(ValueError):  # a circle
         P.marginal_carriers(spark.createDataFrame([(1, 2, 0, 9), (2, 1, 0, 9)], "parent_id long, child_id long, s long, e long"), spark.createDataFrame([(1, 3)], "node_id long, position long")).collect()
+
+
+def test_inherited_mutations_have_no_limit(spark, few_recursive_rows):
+    nodes = spark.createDataFrame([(0, None), *((c, p) for p, c, _, _ in _comb(12))], "node_id long, parent_id long")
+    intervals = spark.createDataFrame([(c, s, e) for _, c, s, e in _comb(12) if e == 50], IV.replace("id", "node_id"))
+    mutated = spark.createDataFrame([(0, 10), (0, 70), (5, 20)], "node_id long, position long")
+    samples = spark.createDataFrame([(k + 1000, k + 20) for k in range(12)], "node_id long, hap_id long")
+    got = P.inherited(nodes, mutated, intervals, samples, 100)
+    want = {(k + 20, 10) for k in range(12)} | {(12, 10), (20, 70), (21, 70)} | {(k + 20, 20) for k in range(5, 12)} | {(12, 20)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
