@@ -252,22 +252,21 @@ def branch_carriers(nodes: DataFrame, intervals: DataFrame, redirects: DataFrame
     position, and that branch doesn't count; else on to the parent, if the node's intervals hold the position or there
     are none, and else it ends. points: hap_id, position. The root has no branch.
     """
-    spark, far = nodes.sparkSession, F.lit(2**62)
+    far = F.lit(2**62)
     order = Window.partitionBy("node_id").orderBy("at")
     sent = redirects.select("node_id", F.col("at").alias("s"), F.coalesce(F.lead("at").over(order), far).alias("e"), F.col("target").alias("to"), F.lit(False).alias("counts"))
     first = redirects.groupBy("node_id").agg(F.min("at").alias("first"))
     own = nodes.filter("parent_id is not null").join(intervals, "node_id", "left").join(first, "node_id", "left")
     own = own.select("node_id", F.coalesce("s", -far).alias("s"), F.least(F.coalesce("e", far), F.coalesce("first", far)).alias("e"), F.col("parent_id").alias("to"), F.lit(True).alias("counts"))
     rooted = nodes.filter("parent_id is null").select("node_id")
-    own.unionByName(sent.join(rooted, "node_id", "left_anti")).filter("s < e").createOrReplaceTempView("genealogy_moves")
-    points.select("hap_id", "position").createOrReplaceTempView("genealogy_walks")
-    walked = spark.sql("""
-        WITH RECURSIVE walk(hap_id, position, node_id, passed) AS (
-          SELECT hap_id, position, hap_id, CAST(NULL AS BIGINT) FROM genealogy_walks
-          UNION ALL
-          SELECT w.hap_id, w.position, m.to, CASE WHEN m.counts THEN m.node_id END FROM walk w JOIN genealogy_moves m ON m.node_id = w.node_id AND w.position >= m.s AND w.position < m.e)
-        SELECT passed AS node_id, position, hap_id FROM walk WHERE passed IS NOT NULL""")
-    return walked.distinct()
+    moves = own.unionByName(sent.join(rooted, "node_id", "left_anti")).filter("s < e").withColumnRenamed("node_id", "from_")
+
+    def step(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        met = (F.col("from_") == F.col("node_id")) & (F.col("position") >= F.col("s")) & (F.col("position") < F.col("e"))
+        return rows.join(moves, met).select("hap_id", "position", F.col("to").alias("node_id"), F.when(F.col("counts"), F.col("from_")).alias("passed"))
+
+    start = points.select("hap_id", "position", F.col("hap_id").alias("node_id"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("passed"))
+    return _levels(start, moves, step).filter("passed IS NOT NULL").select(F.col("passed").alias("node_id"), "position", "hap_id").distinct()
 
 
 def beneficial(nodes: DataFrame, start: DataFrame, position: int) -> DataFrame:

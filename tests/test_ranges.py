@@ -235,3 +235,24 @@ def test_inherited_mutations_have_no_limit(spark, few_recursive_rows):
     got = P.inherited(nodes, mutated, intervals, samples, 100)
     want = {(k + 20, 10) for k in range(12)} | {(12, 10), (20, 70), (21, 70)} | {(k + 20, 20) for k in range(5, 12)} | {(12, 20)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_walks_have_no_limit(spark, few_recursive_rows):
+    parent = {1: 11, 2: 11, 11: 12, 3: 12, 12: 13, 4: 13, 13: 14, 5: 14}
+    nodes = spark.createDataFrame([(14, None), *parent.items()], "node_id long, parent_id long")
+    intervals = spark.createDataFrame([(12, 0, 50)], "node_id long, s long, e long")  # node 12 inherits there only
+    redirects = spark.createDataFrame([(11, 30, 4)], "node_id long, at long, target long")
+    points = spark.createDataFrame([(h, x) for h in (1, 2, 3, 5) for x in (10, 40, 60)], "hap_id long, position long")
+    want = set()
+    for h in (1, 2, 3, 5):
+        for x in (10, 40, 60):
+            at = h
+            while at in parent:
+                if at == 11 and x >= 30:
+                    at = 4
+                elif at == 12 and x >= 50:
+                    break
+                else:
+                    want.add((at, x, h))
+                    at = parent[at]
+    assert len(want) > 20 and sorted(map(tuple, P.branch_carriers(nodes, intervals, redirects, points).collect())) == sorted(want)
