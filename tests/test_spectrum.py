@@ -94,3 +94,16 @@ def test_leading_eigenvalues_of_five_thousand_individuals(spark):
     genotypes = spark.createDataFrame(pd.DataFrame({"ind_id": rows[:, 0], "position": rows[:, 1], "g": m[rows[:, 0], rows[:, 1]]}))
     values, n, p, held = lanczos.leading(genotypes, spark.range(5000).withColumnRenamed("id", "ind_id"))
     assert (n, p) == (5000, z.shape[1]) and held < 200 and values[:10] == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("full", [26, 0])  # products of every two carriers, or dense ones
+def test_few_or_many_carriers_give_the_same_tiles(spark, monkeypatch, full):
+    monkeypatch.setattr(tiles, "FULL", full)
+    monkeypatch.setattr(tiles, "PRODUCTS", 200)
+    genotypes, people, m = _random(spark, 31, 60, 3, 0.1)
+    z = _standard(m)
+    k = z @ z.T / z.shape[1]
+    for held in (128, 2):
+        got = tiles.relatedness(genotypes, people, 4, held, digits=6).toPandas()
+        assert len(got) == 31 * 31 and np.abs(got.pivot(index="i", columns="j", values="k").to_numpy() - k).max() < 6e-7 and (got["k"] * 1e6 - (got["k"] * 1e6).round()).abs().max() < 1e-3
+    assert tiles.half_up(np.array([0.5, 1.5, -0.5, -0.2, 2.4]), 0).tolist() == [1, 2, -1, 0, 2]
