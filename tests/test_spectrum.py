@@ -107,3 +107,12 @@ def test_few_or_many_carriers_give_the_same_tiles(spark, monkeypatch, full):
         got = tiles.relatedness(genotypes, people, 4, held, digits=6).toPandas()
         assert len(got) == 31 * 31 and np.abs(got.pivot(index="i", columns="j", values="k").to_numpy() - k).max() < 6e-7 and (got["k"] * 1e6 - (got["k"] * 1e6).round()).abs().max() < 1e-3
     assert tiles.half_up(np.array([0.5, 1.5, -0.5, -0.2, 2.4]), 0).tolist() == [1, 2, -1, 0, 2]
+
+
+def test_rare_sites_take_work_by_their_carriers_alone(spark):
+    n = 40_000  # 79 blocks; dense products of 600 sites would be 3160 tiles of 512 x 512 x 600
+    genotypes = spark.range(600).selectExpr("explode(array(id * 61 % 40000, (id * 61 + 20011) % 40000)) AS ind_id", "id AS position", "CAST(1 AS BIGINT) AS g")
+    people = tiles.written(spark.range(n).selectExpr("id AS ind_id", "CAST(id AS INT) AS r"), "people")
+    sites = tiles.site_rows(genotypes, people, n).withColumn("rep", tiles.F.lit(0).cast("long"))
+    rows = tiles.gram(sites, n).collect()
+    assert sum(len(r["data"]) // 8 for r in rows) < 4 * 600 and sum(np.frombuffer(r["data"]).sum() for r in rows) > 0
