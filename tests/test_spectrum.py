@@ -116,3 +116,15 @@ def test_rare_sites_take_work_by_their_carriers_alone(spark):
     sites = tiles.site_rows(genotypes, people, n).withColumn("rep", tiles.F.lit(0).cast("long"))
     rows = tiles.gram(sites, n).collect()
     assert sum(len(r["data"]) // 8 for r in rows) < 4 * 600 and sum(np.frombuffer(r["data"]).sum() for r in rows) > 0
+
+
+def test_correlations_of_rare_sites_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    m = (rng.random((1100, 90)) < 0.004).astype(int)  # three blocks of individuals, a few carriers a site
+    rows = [(int(i), int(j), 1) for i, j in zip(*np.nonzero(m))]
+    genotypes, people = spark.createDataFrame(rows, "ind_id long, position long, g long"), spark.range(1100).withColumnRenamed("id", "ind_id")
+    values = np.linalg.eigvalsh(np.corrcoef(m[:, m.std(axis=0) > 0].T))
+    r = tiles.correlation_moments(tiles.moments(genotypes, people, small=0)).first()
+    assert r["p"] == len(values) and r["eig_variance"] == pytest.approx(values.var(ddof=1)) and r["participation"] == pytest.approx(values.sum() ** 2 / (values**2).sum())
+    d = tiles.gram(tiles.written(tiles.site_rows(genotypes, *tiles.people_of(people)).withColumn("rep", tiles.F.lit(0).cast("long")), "sites"), 1100).filter("cells IS NULL")
+    assert d.count() == 0  # no tile is dense
