@@ -128,3 +128,14 @@ def test_correlations_of_rare_sites_over_many_blocks(spark):
     assert r["p"] == len(values) and r["eig_variance"] == pytest.approx(values.var(ddof=1)) and r["participation"] == pytest.approx(values.sum() ** 2 / (values**2).sum())
     d = tiles.gram(tiles.written(tiles.site_rows(genotypes, *tiles.people_of(people)).withColumn("rep", tiles.F.lit(0).cast("long")), "sites"), 1100).filter("cells IS NULL")
     assert d.count() == 0  # no tile is dense
+
+
+def test_the_whole_matrix_gives_what_lanczos_gives(spark):
+    genotypes, people, m = _random(spark, 600, 1500, 5, 0.05)  # two blocks; Lanczos stops before it has all eigenvalues
+    z = _standard(m)
+    values = np.linalg.eigvalsh(z @ z.T / z.shape[1])
+    share = values[values > 1e-12] / 600
+    one, other = lanczos.summary(genotypes, people).first(), lanczos.summary(genotypes, people, whole=0, most=32).first()
+    assert one["entropy"] == pytest.approx(-(share * np.log(share)).sum()) and other["entropy"] is None
+    assert one["top10"] == pytest.approx(np.sort(share)[-10:].sum()) and one["eig_variance"] == pytest.approx(values.var(ddof=1))
+    assert all(one[c] == pytest.approx(other[c]) for c in ("p", "eig_variance", "participation"))
