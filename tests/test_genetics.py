@@ -209,3 +209,17 @@ def test_numbers_of_other_keys(spark, genotypes):
     sites = genotypes.select("position").distinct()
     assert sorted(r["line"] for r in X.map_lines(sites).collect()) == ["1\tSNP1\t0\t100", "1\tSNP2\t0\t200", "1\tSNP3\t0\t300"]
     assert sorted(map(tuple, G.column_pointers(genotypes, sites).collect())) == [(100, 1, 1, 2), (200, 2, 3, 2), (300, 3, 5, 2)]
+
+
+def test_long_lines_take_pages_of_their_own(spark, tmp_path):
+    n = 300_000
+    sites, people = spark.range(1, n + 1).withColumnRenamed("id", "position"), spark.range(1, 31).withColumnRenamed("id", "ind_id")
+    genotypes = spark.createDataFrame([(1, 1, 1), (1, n, 2), (2, 7, 2)], "ind_id long, position long, g long")
+    spark.conf.unset("parquet.page.size.row.check.min")
+    wide, ped = X.wide_lines(genotypes, people, sites), X.ped_lines(genotypes, people, sites)
+    assert spark.conf.get("parquet.page.size.row.check.min") == "1"  # else a hundred lines are held at once
+    wide.coalesce(1).write.parquet(str(tmp_path / "w"))
+    lines = {r["ind_id"]: r["line"] for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    zeros = ["0"] * n
+    assert len(lines) == 30 and lines[30] == ",".join(zeros) and lines[2] == ",".join([*zeros[:6], "2", *zeros[7:]]) and lines[1] == ",".join(["1", *zeros[2:], "2"])
+    assert ped.filter("ind_id = 1").first()["line"] == "\t".join(["FAM1", "IND1", "0", "0", "0", "-9", "A T", *["A A"] * (n - 2), "T T"])
