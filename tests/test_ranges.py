@@ -256,3 +256,11 @@ def test_walks_have_no_limit(spark, few_recursive_rows):
                     want.add((at, x, h))
                     at = parent[at]
     assert len(want) > 20 and sorted(map(tuple, P.branch_carriers(nodes, intervals, redirects, points).collect())) == sorted(want)
+
+
+def test_bitmaps_grow_with_carriers(spark):
+    people = spark.range(200_000).selectExpr("id AS ind_id", "CAST(id AS INT) AS r")
+    rows = [(r, p, 1 + r % 2) for p in range(40) for r in (p, 63, 64, 199_999 - p)]
+    built = bitmaps.build(spark.createDataFrame(rows, "ind_id long, position long, g long"), people)
+    assert built.count() == 40 * 3 and {x for _, x in built.dtypes} == {"bigint", "int"}  # words of 64 bits, those with a carrier alone
+    assert sorted(map(tuple, bitmaps.unpack(built, people).collect())) == sorted(rows)
