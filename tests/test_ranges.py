@@ -264,3 +264,19 @@ def test_bitmaps_grow_with_carriers(spark):
     built = bitmaps.build(spark.createDataFrame(rows, "ind_id long, position long, g long"), people)
     assert built.count() == 40 * 3 and {x for _, x in built.dtypes} == {"bigint", "int"}  # words of 64 bits, those with a carrier alone
     assert sorted(map(tuple, bitmaps.unpack(built, people).collect())) == sorted(rows)
+
+
+def test_correlations_come_from_products_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    m = (rng.random((300, 1500)) < 0.02).astype(int) + (rng.random((300, 1500)) < 0.01)
+    m[:, :1400] *= rng.integers(0, 2, (300, 1)) * (np.arange(1400) < 700) | 1  # sites that share words and others that don't
+    m[200:, 64:] = 0
+    rows = [(int(i), int(j), int(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    people = spark.range(1500).selectExpr("id AS ind_id", "CAST(id AS INT) AS r")
+    built = bitmaps.build(spark.createDataFrame([(i, p, g) for p, i, g in rows], "ind_id long, position long, g long"), people)
+    vary = np.flatnonzero(m.std(axis=1) > 0)
+    want, up = np.corrcoef(m[vary]), np.triu_indices(len(vary), 1)
+    out = bitmaps.correlations(built, 1500, digits=6)
+    assert "BatchEvalPython" not in (plan := out._jdf.queryExecution().toString()) and "zip_with" not in plan  # no pair of sites is a row before the result
+    got = out.toPandas().sort_values(["pos_i", "pos_j"])
+    assert got["pos_i"].tolist() == vary[up[0]].tolist() and got["pos_j"].tolist() == vary[up[1]].tolist() and np.abs(got["r"].to_numpy() - want[up]).max() < 6e-7
