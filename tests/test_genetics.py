@@ -223,3 +223,19 @@ def test_long_lines_take_pages_of_their_own(spark, tmp_path):
     zeros = ["0"] * n
     assert len(lines) == 30 and lines[30] == ",".join(zeros) and lines[2] == ",".join([*zeros[:6], "2", *zeros[7:]]) and lines[1] == ",".join(["1", *zeros[2:], "2"])
     assert ped.filter("ind_id = 1").first()["line"] == "\t".join(["FAM1", "IND1", "0", "0", "0", "-9", "A T", *["A A"] * (n - 2), "T T"])
+
+
+def test_the_dense_table_passes_no_shuffle(spark, monkeypatch):
+    from popspark.operators import genotypes as G
+
+    monkeypatch.setattr(G, "PEOPLE", 3)
+    monkeypatch.setattr(G, "PLACES", 7)
+    monkeypatch.setattr(G, "BATCH", 16)
+    cells = [(i, p, (i * p) % 3, t) for i in range(10) for p in range(0, 40, 2) for t in (0, 1) if (i + p + t) % 4 == 0] + [(3, 4, 2, 9), (3, 4, 0, 10), (None, 4, 2, 1), (7, None, 1, 1), (5, 100, None, 1)]
+    out = G.last_wins(spark.createDataFrame(cells, "ind_id long, position long, g long, t long"), ["t"])
+    last = {(i, p): g for i, p, g, _ in sorted(cells, key=lambda c: c[3])}
+    ids, places = {c[0] for c in cells}, {c[1] for c in cells}
+    want = [(i, p, (last.get((i, p)) or 0) if i is not None and p is not None else 0) for i in ids for p in places]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "CartesianProduct" not in plan
