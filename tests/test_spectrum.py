@@ -139,3 +139,20 @@ def test_the_whole_matrix_gives_what_lanczos_gives(spark):
     assert one["entropy"] == pytest.approx(-(share * np.log(share)).sum()) and other["entropy"] is None
     assert one["top10"] == pytest.approx(np.sort(share)[-10:].sum()) and one["eig_variance"] == pytest.approx(values.var(ddof=1))
     assert all(one[c] == pytest.approx(other[c]) for c in ("p", "eig_variance", "participation"))
+
+
+def test_sweeps_deal_carriers_out_once(spark, monkeypatch):
+    plans, real = [], tiles.written
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(tiles, "written", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of the size at hand go out because they are counted
+    try:
+        Q.QUERIES["sweep_spectrum"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = next(x for name, x in plans if name == "sites")
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
