@@ -239,3 +239,8 @@ def test_the_dense_table_passes_no_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "CartesianProduct" not in plan
+
+
+def test_vcf_lines_read_genotypes_once(spark):
+    plan = Q.QUERIES["vcf_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and plan.count("Relation [l_") + plan.count("Relation[l_") == 1
