@@ -280,3 +280,19 @@ def test_correlations_come_from_products_of_blocks(spark):
     assert "BatchEvalPython" not in (plan := out._jdf.queryExecution().toString()) and "zip_with" not in plan  # no pair of sites is a row before the result
     got = out.toPandas().sort_values(["pos_i", "pos_j"])
     assert got["pos_i"].tolist() == vary[up[0]].tolist() and got["pos_j"].tolist() == vary[up[1]].tolist() and np.abs(got["r"].to_numpy() - want[up]).max() < 6e-7
+
+
+def test_compressed_vcf_files_hold_the_same(spark, tmp_path):
+    import gzip
+
+    for n in (5, 20_000):  # lines of a few bytes, several to a block, and lines of two blocks
+        people = spark.range(1, n + 1).withColumnRenamed("id", "ind_id")
+        rows = sorted({(1 + (p * 7919 + k * 9001) % n, p, 1 + (p + k) % 2) for p in range(1, 30) for k in (0,)})
+        genotypes = spark.createDataFrame(rows, "ind_id long, position long, g long")
+        vcf.save(genotypes, people, str(tmp_path / f"z{n}"), compression="bgzf")
+        vcf.save(genotypes, people, str(tmp_path / f"p{n}"))
+        packed, plain = ([x for x in sorted((tmp_path / f"{c}{n}").iterdir()) if x.name.startswith("part-")] for c in "zp")
+        assert b"".join(gzip.decompress(x.read_bytes()) for x in packed) == b"".join(x.read_bytes() for x in plain)
+        for c in "zp":
+            assert sorted(map(tuple, vcf.load(spark, str(tmp_path / f"{c}{n}"), carriers=True).collect())) == rows
+    assert sum(x.stat().st_size for x in packed[1:]) < sum(x.stat().st_size for x in plain[1:]) / 50  # without the header of names
